@@ -8,9 +8,9 @@ estimated from the bit count of the planes' differences, corrected for chance co
 
 No bucket's pairs are listed. First each bucket's members are compared with its least document: a
 star. Components of the confirmed links leave few buckets with members of two components; there, the
-members outside the least document's component are compared with all others of other components, in
-blocks of signatures of which only promising pairs come out. Pairs within one component can't change
-it, so the components are those of all links.
+members outside the least document's component are held against all of other components, block by
+block, on estimates and then on full sets, and only links come out. Pairs within one component can't
+change it, so the components are those of all links.
 
 Class of a document: component_id, the smallest doc_id it reaches, and whether it is kept.
 
@@ -135,41 +135,88 @@ def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"])
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """If two full sets reach the threshold."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
+
+
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with their full sets -> the links."""
     for batch in batches:
         keep = []
         for a, b in zip(batch.column(2), batch.column(3)):
-            a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= THRESHOLD * (len(a) + len(b) - both))
+            keep.append(similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)))
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two blocks of a bucket -> promising pairs of different components."""
+    """Two blocks after another, sorted: items of a block, then the items to hold against them -> links between components.
+
+    One link for each item and component of the block is enough, and no other comes out.
+    """
     shape = (-1, BITS, MINIMA // 64)
+    at, block, tables = None, [], None
     for batch in batches:
         us, vs = [], []
-        for row in batch.to_pylist():
-            a, b = (np.frombuffer(b"".join(x["sig"] for x in row[k]), np.uint64).reshape(shape) for k in ("few", "all"))
-            (ia, ca), (ib, cb) = ((np.array([x["id"] for x in row[k]]), np.array([x["comp"] for x in row[k]])) for k in ("few", "all"))
-            for i in range(len(ia)):
-                hit = (estimates(a[i], b) >= LEAST_ESTIMATE) & (cb != ca[i])
-                us.extend([int(ia[i])] * int(hit.sum()))
-                vs.extend(ib[hit].tolist())
-        yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in zip(us, vs)], pa.int64()), pa.array([min(p) for p in zip(us, vs)], pa.int64())], names=["u", "v"])
+        for lead, few, every, side, i, comp, sig, own in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lead, few, every) != at:
+                at, block, tables = (lead, few, every), [], None
+            if side == 0:
+                block.append((i, comp, sig, own))
+                continue
+            if not block:
+                continue
+            if tables is None:
+                tables = np.frombuffer(b"".join(x[2] for x in block), np.uint64).reshape(shape), np.array([x[1] for x in block])
+            sigs, comps = tables
+            mine, met = np.frombuffer(own, np.uint64), set()
+            for k in np.flatnonzero((estimates(np.frombuffer(sig, np.uint64).reshape(shape[1:]), sigs) >= LEAST_ESTIMATE) & (comps != comp)).tolist():
+                if block[k][1] not in met and similar(mine, np.frombuffer(block[k][3], np.uint64)):
+                    met.add(block[k][1])
+                    us.append(max(i, block[k][0]))
+                    vs.append(min(i, block[k][0]))
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, shingles: the sets of the documents named by ids.doc_id. The join is of one kind at every size."""
+    return written(docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "sets")
 
 
 def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """u, v: those of the pairs whose full sets are similar enough."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    full = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "sets")
+    full = full_sets(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")), docs)
     met = pairs.join(full.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(full.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     return written(met.select("u", "v", "a", "b").mapInArrow(confirmed, "u long, v long"), "links")
 
 
+def links_across(members: DataFrame, roots: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """u, v: links between components of documents that share a bucket. members: lead, rid.
+
+    Buckets with one least document are one group: its members stand there once, however many buckets they
+    share. Those outside the least document's component (the few) are held against all, block by block.
+    """
+    placed = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
+    main = F.max(F.when(F.col("rid") == F.col("lead"), F.col("comp")))
+    groups = placed.groupBy("lead").agg(main.alias("main"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b").drop("a", "b")
+    rest = placed.join(groups.hint("merge"), "lead").withColumn("few", F.col("comp") != F.col("main"))
+    rest = written(rest.select("lead", "rid", "comp", "few", "n"), "rest")
+    counts = rest.groupBy("lead").agg(F.count_if("few").alias("k"))
+    full = full_sets(rest.select(F.col("rid").alias("doc_id")), docs)
+    items = rest.join(counts.hint("merge"), "lead").join(sigs, "rid").join(full.withColumnRenamed("id", "rid"), "rid")
+    blocks_all, blocks_few = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("k") / BLOCK)
+    mine = lambda blocks: F.pmod(F.xxhash64("rid", "lead"), blocks)
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    rows = [
+        items.select("lead", each(blocks_few).alias("x"), mine(blocks_all).alias("y"), F.lit(0).alias("side"), "rid", "comp", "sig", "shingles"),
+        items.where("few").select("lead", mine(blocks_few).alias("x"), each(blocks_all).alias("y"), F.lit(1).alias("side"), "rid", "comp", "sig", "shingles"),
+    ]
+    dealt = rows[0].union(rows[1]).repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y", "side")
+    return written(dealt.mapInArrow(across, "u long, v long").distinct(), "across")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     docs = id_text(docs)
@@ -184,17 +231,7 @@ def classes(docs: DataFrame) -> DataFrame:
     met = stars.join(sigs.select(F.col("rid").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("rid").alias("v"), F.col("sig").alias("b")), "v")
     first = links(met.select("u", "v", "a", "b").mapInArrow(promising, "u long, v long"), docs)
     roots = components(first)
-    placed = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("comp", F.coalesce("root", "rid"))
-    mixed_ = placed.groupBy("bucket").agg(F.min_by("comp", "rid").alias("main"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket", "main")
-    rest = placed.join(mixed_.hint("merge"), "bucket").join(sigs, "rid")
-    item = F.struct(F.col("rid").alias("id"), "comp", "sig")
-    block = F.pmod(F.xxhash64("rid", "bucket"), F.ceil(F.col("size") / BLOCK)).alias("block")
-    rest = written(rest.select("bucket", block, (F.col("comp") != F.col("main")).alias("minor"), item.alias("item")), "rest")
-    every = rest.groupBy("bucket", "block").agg(F.collect_list("item").alias("all"))
-    few = rest.where("minor").groupBy("bucket", F.col("block").alias("from")).agg(F.collect_list("item").alias("few"))
-    found = few.join(every.hint("merge"), "bucket").select("few", "all").mapInArrow(across, "u long, v long").distinct()
-    found = found.join(stars, ["u", "v"], "left_anti")
-    second = links(found, docs)
+    second = links_across(members.select("lead", "rid").distinct(), roots, sigs, docs)
     roots = components(first.union(second)).select(F.col("node").alias("rid"), "root")
     least = reps.select("set_key", "rid").join(roots, "rid", "left").select("set_key", F.coalesce("root", "rid").alias("root"))
     out = sketch.select("doc_id", "n", "set_key").join(least.hint("merge"), "set_key", "left")
