@@ -31,18 +31,20 @@ KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that Java takes them without recursion and without retries.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++(?:\.[0-9]++){3}+",
+    "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: Strings of which a text must have one, or a short pattern, before the pattern itself is tried: most texts have none.
+NEEDS = {"email": ["@"], "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": ["+"]}
 #: Generators of further candidates.
 MORE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\}|@|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+(?![0-9A-Fa-f:])",
+    "ip": r"(?=[0-9A-Fa-f])(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+(?![0-9A-Fa-f:])",
     "card": BASE["card"],
-    "phone": r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,5}+\)?(?:[\x20.()-]{1,2}+[0-9]{2,4}+){2,4}+(?![0-9A-Za-z])",
+    "phone": r"(?=[0-9(])(?<![0-9A-Za-z+.(-])\(?[0-9]{2,5}+\)?(?:[\x20.()-]{1,2}+[0-9]{2,4}+){2,4}+(?![0-9A-Za-z])",
 }
+MORE_NEEDS = {"email": ["dot)", "dot]", "dot}", " dot "], "ip": [":"], "phone": "[0-9]"}
 CONTEXT = 24
 #: Share of right spans above a kind's threshold, on templates the trees haven't seen.
 PRECISION = 0.97
@@ -56,7 +58,7 @@ WORDS = {
 FEATURES = ("kind", "digits", "length", "groups", "longest", "check", "paren", "double_zero", "word", "other", "before", "date_like", "letters")
 
 
-def spans(text: Column, pattern: str, needs: str | None = None) -> Column:
+def spans(text: Column, pattern: str, needs: str | list[str]) -> Column:
     """array<struct<start, end, match>> of a pattern's matches."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
@@ -71,7 +73,8 @@ def spans(text: Column, pattern: str, needs: str | None = None) -> Column:
     pairs = F.filter(F.arrays_zip(between.alias("between"), matches.alias("match")), lambda x: x["match"].isNotNull())
     out = F.aggregate(pairs, first, add, lambda acc: acc["all"])
     empty = F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)")
-    ok = F.contains(text, F.lit(needs)) & text.rlike(pattern) if needs else text.rlike(pattern)
+    gate = text.rlike(needs) if isinstance(needs, str) else functools.reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in needs])
+    ok = gate & text.rlike(pattern)
     return F.when(ok, out).otherwise(empty)
 
 
@@ -238,7 +241,7 @@ def with_spans(docs: DataFrame, model: tuple | None = None) -> DataFrame:
     """docs, whose text isn't null, with the columns base and all."""
     base, trees, cuts = model or _model(docs.sparkSession.sparkContext.applicationId)
     own, text = docs.columns, F.col("text")
-    docs = docs.withColumns({f"_b_{k}": spans(text, BASE[k], NEEDS[k]) for k in KINDS} | {f"_m_{k}": spans(text, MORE[k]) for k in KINDS if k != "card"})
+    docs = docs.withColumns({f"_b_{k}": spans(text, BASE[k], NEEDS[k]) for k in KINDS} | {f"_m_{k}": spans(text, MORE[k], MORE_NEEDS[k]) for k in KINDS if k != "card"})
     docs = docs.withColumn("_m_card", F.filter("_b_card", lambda s: ~accepted("card", s["match"])))
     for k in KINDS:
         docs = docs.withColumn(f"_b_{k}", F.filter(f"_b_{k}", lambda s: accepted(k, s["match"])))
