@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.llm.common import id_text, table, texts
 
-FIT_ROWS = 6_000
+FIT_ROWS = 3_000
 #: Least likelihood-ratio statistic of a kept word, and least number of documents with it.
 LEAST_G2, LEAST_DOCS = 16.0, 3
 REJECT_AT = 0.5
@@ -95,12 +95,13 @@ def g2(a: int, b: int, na: int, nb: int) -> float:
 
 def fit_ordinal(rows: list[tuple[bytes, int]], rounds: int = 40, ridge: float = 1e-4) -> OrdinalModel:
     """rows: text and toxic."""
-    counted = [(words(t), int(y)) for t, y in rows if t]
+    # Texts are counted twice rather than kept as counts, which take far more of the driver's memory.
+    rows = [(t, int(y)) for t, y in rows if t]
     toxic, other = Counter(), Counter()
-    for c, y in counted:
-        (toxic if y else other).update({f for w in c for f in features(w)})
-    n1 = sum(y for _, y in counted)
-    n0 = len(counted) - n1
+    for t, y in rows:
+        (toxic if y else other).update({f for w in set(words(t)) for f in features(w)})
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
     if not n1 or not n0:
         return OrdinalModel()
     kept = sorted(w for w in toxic.keys() | other.keys() if toxic[w] + other[w] >= LEAST_DOCS and abs(g2(toxic[w], other[w], n1, n0)) >= LEAST_G2)
@@ -108,9 +109,11 @@ def fit_ordinal(rows: list[tuple[bytes, int]], rounds: int = 40, ridge: float =
         return OrdinalModel()
     column = {w: i for i, w in enumerate(kept)}
     marks = {w for w in kept if toxic[w] * n0 > other[w] * n1}
-    x = np.zeros((len(counted), len(kept)))
-    share = np.zeros(len(counted))
-    for i, (c, _) in enumerate(counted):
+    del toxic, other
+    x = np.zeros((len(rows), len(kept)))
+    share = np.zeros(len(rows))
+    for i, (t, _) in enumerate(rows):
+        c = words(t)
         size, found = max(1, sum(c.values())), Counter()
         for w, n in c.items():
             for f in features(w):
@@ -119,7 +122,7 @@ def fit_ordinal(rows: list[tuple[bytes, int]], rounds: int = 40, ridge: float =
         for f, n in found.items():
             x[i, column[f]] = math.log1p(100 * n / size)
         share[i] = sum(n for f, n in found.items() if f in marks) / size
-    y = np.array([y for _, y in counted])
+    y = np.array([y for _, y in rows])
     grade = np.where(y == 1, 1 + (share > np.median(share[y == 1])), 0)
     above = np.stack([grade > 0, grade > 1], 1).astype(float)
     # Both thresholds stacked: a row of x with minus one in the column of its threshold; Newton steps.
