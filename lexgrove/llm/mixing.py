@@ -65,13 +65,13 @@ def uniform(seed: str):
 def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs, each row as often as drawn, with copy (from 0), n_copies and shuffle_key; in no order."""
     docs = docs.drop(*OWN)
-    drawn = docs.withColumns({"_group": group_key(), "_u": uniform(seed)})
+    drawn = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", group_key().alias("_group"), uniform(seed).alias("_u"))
     drawn = drawn.join(inverse_tables(source_rates(docs, weights, size)), "_group")
     n = F.size(F.filter("cdf", lambda c: c <= F.col("_u"))).cast("long")
     drawn = drawn.withColumn("n_copies", n).where("n_copies > 0").drop("cdf", "_group", "_u")
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     mark = F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))
-    return drawn.withColumn("shuffle_key", F.md5(mark.cast("binary")))
+    return drawn.select("_row.*", "copy", "n_copies", F.md5(mark.cast("binary")).alias("shuffle_key"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -246,7 +246,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows that repeat a kept doc_id all stay.
     """
     gone = classes(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

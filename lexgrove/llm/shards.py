@@ -150,12 +150,12 @@ def resharded(docs: DataFrame, **options) -> DataFrame:
     """
     own = [c for c in docs.columns if c not in ("shard", "slot", "moved")]
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    copy = W.partitionBy(F.xxhash64("doc_id", "text"), "doc_id", F.crc32(body)).orderBy(F.lit(0))
     to = assign(docs, **options)
     to = to.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot", (F.col("shard") != F.col("old_shard")).alias("moved"), F.row_number().over(W.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")).alias("_n"))
-    docs = docs.select(*own, F.crc32(body).alias("_own_crc"), F.row_number().over(copy).alias("_own_n"))
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_crc") == F.col("_crc")) & (F.col("_own_n") == F.col("_n"))
-    return docs.join(to, met).select(*own, "shard", "slot", "moved")
+    docs = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("_own_id"), F.crc32(body).alias("_own_crc"))
+    docs = docs.withColumn("_own_n", F.row_number().over(W.partitionBy("_own_id", "_own_crc").orderBy(F.lit(0))))
+    met = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_crc") == F.col("_crc")) & (F.col("_own_n") == F.col("_n"))
+    return docs.join(to, met).select("_row.*", "shard", "slot", "moved")
 
 
 def rewrite(docs: DataFrame, path: str, **options) -> None:
