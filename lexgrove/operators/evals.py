@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -27,3 +28,28 @@ def percentiles_by(rows: DataFrame, split: str, value: str) -> DataFrame:
     each = rows.select(F.col(split).alias("_s"), F.col(value).alias("_v"))
     out = each.groupingSets([[F.col("_s")], []], F.col("_s")).agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by _v)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by _v)").alias("p95"))
     return out.select(F.coalesce("_s", F.lit("all")).alias("split"), "n", "p50", "p95")
+
+
+def metrics_by_split(ranked: DataFrame) -> DataFrame:
+    """OP-A07 to A09, A18: split (and all), items, hit1, mrr. ranked: split, first (null: never found)."""
+    out = ranked.select(F.col("split").alias("_s"), "first").groupingSets([[F.col("_s")], []], F.col("_s"))
+    out = out.agg(F.count("*").alias("items"), F.round(F.avg(F.when(F.col("first") <= 1, 1.0).otherwise(0.0)), 6).alias("hit1"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return out.select(F.coalesce("_s", F.lit("all")).alias("split"), "items", "hit1", "mrr")
+
+
+def gate(rows: DataFrame, points: float) -> DataFrame:
+    """OP-A20: config, dev, holdout, verdict: means by split, and if they differ by more than points."""
+    out = rows.groupBy("config").pivot("split", ["dev", "holdout"]).agg(F.round(F.avg("value"), 6))
+    return out.withColumn("verdict", F.when(F.abs(F.col("dev") - F.col("holdout")) > points, "differs").otherwise("alike"))
+
+
+def best_setting(found: DataFrame, grid: DataFrame, names: list[str], score: Column, right: Column) -> DataFrame:
+    """OP-J17, A19: the setting with the best mean reciprocal rank; ties go to the least setting.
+
+    found: item_id, doc_id. grid, a small table made by rule, is broadcast.
+    """
+    order = W.partitionBy(*names, "item_id").orderBy(F.col("_score").desc(), "doc_id")
+    ranked = found.join(F.broadcast(grid)).withColumn("_score", score).withColumn("_rank", F.row_number().over(order))
+    first = ranked.groupBy(*names, "item_id").agg(F.min(F.when(right, F.col("_rank"))).alias("_first"))
+    each = first.groupBy(*names).agg(F.round(F.avg(F.coalesce(1.0 / F.col("_first"), F.lit(0.0))), 6).alias("mrr"))
+    return each.orderBy(F.col("mrr").desc(), *names).limit(1)

@@ -88,3 +88,16 @@ def refusal(summary: DataFrame, threshold: float) -> DataFrame:
         .when(F.col("best").isNull() | (F.col("best") < threshold), "low_score")
     )
     return summary.withColumn("refused", reason)
+
+
+def overlap(questions: DataFrame, posted: DataFrame, head: DataFrame) -> DataFrame:
+    """OP-R15's deterministic scorer: qid, id, score (how many of a question's terms a document has), for the rows of head only."""
+    met = posted.join(question_terms(questions), "term").join(head.select("qid", "id"), ["qid", "id"], "left_semi")
+    return met.groupBy("qid", "id").agg(F.count("*").alias("score"))
+
+
+def blend(original: DataFrame, reranked: DataFrame, k: int = 60) -> DataFrame:
+    """OP-R14, R16: qid, id, score, rank: equal-weight reciprocal ranks of what both have; ties keep the original order."""
+    met = original.select("qid", "id", F.col("rank").alias("_a")).join(reranked.select("qid", "id", F.col("rank").alias("_b")), ["qid", "id"])
+    scored = met.withColumn("score", F.round(1.0 / (k + F.col("_a")) + 1.0 / (k + F.col("_b")), 6))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "_a"))).drop("_a", "_b")

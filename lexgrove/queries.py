@@ -16,15 +16,16 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str):
-    """Registers a function (read) -> DataFrame under its name, with its SQL."""
+def query(sql: str | None = None):
+    """Registers a function (read) -> DataFrame under its name, with its SQL where that can express it."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         QUERIES[f.__name__] = run
-        ORACLE_SQL[f.__name__] = sql
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -345,3 +346,110 @@ def refusal_cascade(read):
     one = lambda n: F.when(k % n == 1, 1).otherwise(0)
     s = read("customer").select(k.alias("qid"), one(9).alias("explicit"), one(7).alias("missing"), one(5).alias("foreign"), F.when(k % 4 > 0, F.col("c_acctbal")).alias("best"))
     return S.refusal(s, 1000.0).select("qid", "refused")
+
+
+CNPJ = "lpad((s_suppkey * 104729 % 1000000000000)::VARCHAR, 12, '0')"
+
+
+@query(f"""WITH a AS (SELECT s_suppkey, {CNPJ} AS b FROM supplier), x AS (SELECT *, b || ({_mod11('b', [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])}) AS c FROM a), y AS (SELECT *, c || ({_mod11('c', [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])}) AS good FROM x)
+SELECT s_suppkey, good AS cnpj, NOT regexp_matches(good, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') AS valid, false AS shifted FROM y""")
+def cnpj_validate(read):
+    weights = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    base = F.lpad((F.col("s_suppkey") * 104729 % 1000000000000).cast("string"), 12, "0")
+    one = F.concat(base, T.check_digit(base, weights[1:]).cast("string"))
+    good = F.concat(one, T.check_digit(one, weights).cast("string"))
+    wrong = F.concat(F.substring("cnpj", 1, 13), ((F.substring("cnpj", 14, 1).cast("int") + 1) % 10).cast("string"))
+    return read("supplier").select("s_suppkey", good.alias("cnpj")).select("s_suppkey", "cnpj", T.valid_cnpj(F.col("cnpj")).alias("valid"), T.valid_cnpj(wrong).alias("shifted"))
+
+
+@query(f"""WITH {POSTED} {BM25}, a AS ({TOP10}),
+o AS (SELECT q.qid, p.id, count(DISTINCT p.term) AS o FROM p JOIN q USING (term) GROUP BY ALL),
+b AS (SELECT a.qid, a.id, a.rank AS r1, row_number() OVER (PARTITION BY a.qid ORDER BY o DESC, a.id) AS r2 FROM a JOIN o ON a.qid = o.qid AND a.id = o.id),
+c AS (SELECT qid, id, r1, round(1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2), 6) AS score FROM b)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r1) AS rank FROM c""")
+def rerank_blend(read):
+    posted = S.postings(read("documents"))
+    head = S.top(S.bm25(read("benchmark"), posted), 10)
+    return S.blend(head, S.top(S.overlap(read("benchmark"), posted, head), 10)).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH s AS ({DENSE}) {TOP10}".replace("rank <= 10", "rank <= 3"))
+def topk_nearest3(read):
+    return S.top(_dense(read), 3).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+FOUND = """h AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+r AS (SELECT b.item_id, CASE WHEN b.item_id % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split, min(CASE WHEN doc_id % 3 = 0 THEN rank END) AS first FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY ALL)"""
+
+
+@query(f"""WITH {FOUND} SELECT coalesce(split, 'all') AS split, count(*) AS items, round(avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit1,
+round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM r GROUP BY GROUPING SETS ((split), ())""")
+def eval_grouping_sets(read):
+    from lexgrove.operators.evals import metrics_by_split, passages_in
+
+    b = read("benchmark")
+    found = passages_in(b, read("documents")).withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")))
+    first = found.where("doc_id % 3 = 0").groupBy("item_id").agg(F.min("rank").alias("first"))
+    split = F.when(F.col("item_id") % 3 == 0, "holdout").otherwise("dev").alias("split")
+    return metrics_by_split(b.select("item_id", split).join(first, "item_id", "left"))
+
+
+@query("""WITH p AS (SELECT event_type AS config, round(avg(value) FILTER (user_id % 3 > 0), 6) AS dev, round(avg(value) FILTER (user_id % 3 = 0), 6) AS holdout FROM events GROUP BY 1)
+SELECT config, dev, holdout, CASE WHEN abs(dev - holdout) > 3 THEN 'differs' ELSE 'alike' END AS verdict FROM p""")
+def gate_pivot(read):
+    from lexgrove.operators.evals import gate
+
+    split = F.when(F.col("user_id") % 3 == 0, "holdout").otherwise("dev")
+    return gate(read("events").select(F.col("event_type").alias("config"), split.alias("split"), "value"), 3.0)
+
+
+@query("""WITH h AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+c AS (SELECT a.x AS a, b.x AS b, k.x AS k FROM (SELECT unnest(range(5)) AS x) a, (SELECT unnest(range(3)) AS x) b, (SELECT unnest(range(4)) AS x) k),
+r AS (SELECT a, b, k, item_id, doc_id, row_number() OVER (PARTITION BY a, b, k, item_id ORDER BY a * (doc_id % 7) + b * (doc_id % 5) + k * (doc_id % 3) DESC, doc_id) AS rank FROM h, c),
+f AS (SELECT a, b, k, item_id, coalesce(1.0::DOUBLE / min(CASE WHEN doc_id % 4 = 0 THEN rank END), 0) AS rr FROM r GROUP BY ALL),
+m AS (SELECT a, b, k, round(avg(rr), 6) AS mrr FROM f GROUP BY ALL)
+SELECT a, b, k, mrr FROM m ORDER BY mrr DESC, a, b, k LIMIT 1""")
+def grid_search(read):
+    """60 settings, a table of that size, scored in one job."""
+    from lexgrove.operators.evals import best_setting, passages_in
+
+    spark = read("benchmark").sparkSession
+    grid = spark.createDataFrame([(a, b, k) for a in range(5) for b in range(3) for k in range(4)], "a long, b long, k long")
+    d = F.col("doc_id")
+    score = F.col("a") * (d % 7) + F.col("b") * (d % 5) + F.col("k") * (d % 3)
+    return best_setting(passages_in(read("benchmark"), read("documents")), grid, ["a", "b", "k"], score, d % 4 == 0)
+
+
+@query()
+def rate_limit(read):
+    from lexgrove.streaming.admission import admitted
+
+    return admitted(read("events").withColumn("client", F.col("user_id") % 4), "client", "ts", "event_id", 3600, 3)
+
+
+@query()
+def html_blocks(read):
+    from lexgrove.sources import html
+
+    return html.html_blocks(read("pages"))
+
+
+@query()
+def html_lines(read):
+    from lexgrove.sources import html
+
+    return html.html_lines(read("pages"))
+
+
+@query()
+def redact_counts(read):
+    from lexgrove.functions.privacy import redact
+
+    return redact(read("documents").select("doc_id", "text")).select("doc_id", "n_cnpj", "n_cpf", "n_email", "n_phone", F.sha2("text", 256).alias("redacted_sha256"))
+
+
+@query()
+def hashing_embed(read):
+    from lexgrove.functions import embedding
+
+    return read("documents").select("doc_id", F.array_join(embedding.hashing_embed(F.col("text"), 64), ",").alias("embedding"))

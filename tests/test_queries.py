@@ -9,7 +9,7 @@ from tests.oracle import rows_of
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     found, expected = rows_of(spark, QUERIES[name], ORACLE_SQL[name], SF)
     assert found == expected
