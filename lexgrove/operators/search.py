@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,14 +55,47 @@ def bm25(questions: DataFrame, posted: DataFrame, k1: float = 1.2, b: float = 0.
     return met.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def cosine(a: str, b: str):
-    mul = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return mul(F.col(a), F.col(b)) / (F.sqrt(mul(F.col(a), F.col(a))) * F.sqrt(mul(F.col(b), F.col(b))))
+BLOCK = 1024
+
+
+def packed(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """ids, flat: rows in blocks of at most BLOCK, sorted by id within, without a shuffle. Rows without a vector go."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.iloc[at : at + BLOCK].sort_values("id", kind="stable")
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "flat": [np.concatenate(part["v"].to_numpy())]})
+
+    slim = rows.where(F.size(vector) > 0).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return slim.mapInPandas(run, f"ids array<{kind}>, flat array<double>")
+
+
+def unit(ids, flat) -> np.ndarray:
+    m = np.asarray(flat).reshape(len(ids), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1, norm)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    """OP-R04, T02: qid, id, score, rank: exact cosine of every query (qid, q) with every vector (id, v), the n best; ties by id.
+
+    Blocks of queries meet blocks of vectors, and each meeting passes on only n rows a query. Spark broadcasts
+    the query blocks if their size allows it and pairs the blocks' partitions otherwise. A zero vector scores 0.
+    """
+    kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for vids, v, qids, q in batch.itertuples(index=False):
+                scores = np.round(unit(qids, q) @ unit(vids, v).T, 6)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"qid": np.repeat(qids, best.shape[1]), "id": np.asarray(vids)[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
 
-def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """OP-R04: exact cosine of every query vector (qid, q) with every vector (id, v); queries are the stated, small side."""
-    return vectors.join(F.broadcast(queries)).select("qid", "id", F.round(cosine("q", "v"), 6).alias("score"))
+    asked = packed(queries, "qid", "q").select(F.col("ids").alias("qids"), F.col("flat").alias("q"))
+    met = packed(vectors, "id", "v").crossJoin(asked)
+    return top(met.mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, score double"), n)
 
 
 def rrf(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
