@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrove.functions.text import ancestors
+
 
 def passages_in(items: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
     """item_id, doc_id: documents that hold an item's text verbatim.
@@ -53,3 +55,17 @@ def best_setting(found: DataFrame, grid: DataFrame, names: list[str], score: Col
     first = ranked.groupBy(*names, "item_id").agg(F.min(F.when(right, F.col("_rank"))).alias("_first"))
     each = first.groupBy(*names).agg(F.round(F.avg(F.coalesce(1.0 / F.col("_first"), F.lit(0.0))), 6).alias("mrr"))
     return each.orderBy(F.col("mrr").desc(), *names).limit(1)
+
+
+def citation_recall(cited: DataFrame, expected: DataFrame) -> DataFrame:
+    """OP-J12, A14, E14: qid, expected, met, recall: the share of a question's expected ids that a cited id is, contains, or lies in.
+
+    cited, expected: qid, id; repeats count once. Each side's ancestors meet the other's ids: two equi-joins, no prefix comparison.
+    """
+    own, sought = cited.select("qid", "id").distinct(), expected.select("qid", "id").distinct()
+    up = lambda df, name: df.withColumnRenamed("id", name).select("qid", name, F.explode(ancestors(F.col(name))).alias("_k"))
+    below = up(sought, "id").join(own.withColumnRenamed("id", "_k"), ["qid", "_k"]).select("qid", "id")
+    above = sought.join(up(own, "_c").select("qid", F.col("_k").alias("id")), ["qid", "id"]).select("qid", "id")
+    met = below.unionByName(above).distinct().withColumn("_met", F.lit(1))
+    out = sought.join(met, ["qid", "id"], "left").groupBy("qid").agg(F.count("*").alias("expected"), F.count("_met").alias("met"))
+    return out.withColumn("recall", F.round(F.col("met") / F.col("expected"), 6))

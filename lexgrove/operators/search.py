@@ -138,3 +138,13 @@ def blend(original: DataFrame, reranked: DataFrame, k: int = 60) -> DataFrame:
     met = original.select("qid", "id", F.col("rank").alias("_a")).join(reranked.select("qid", "id", F.col("rank").alias("_b")), ["qid", "id"])
     scored = met.withColumn("score", F.round(1.0 / (k + F.col("_a")) + 1.0 / (k + F.col("_b")), 6))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "_a"))).drop("_a", "_b")
+
+
+def explicit_first(explicit: DataFrame, fused: DataFrame, n: int) -> DataFrame:
+    """OP-X02: qid, id, score, rank: what a question names (qid, id) at score 1.0, by id, then fused hits (qid, id, rank, score); each id once."""
+    named = explicit.select("qid", "id", F.lit(0).alias("_turn"), F.lit(0).alias("_at"), F.lit(1.0).alias("score"))
+    rest = fused.select("qid", "id", F.lit(1).alias("_turn"), F.col("rank").alias("_at"), "score")
+    first = named.unionByName(rest).groupBy("qid", "id").agg(F.min(F.struct("_turn", "_at", "score")).alias("_f"))
+    order = W.partitionBy("qid").orderBy("_f._turn", "_f._at", "id")
+    ranked = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return ranked.select("qid", "id", F.col("_f.score").alias("score"), "rank")

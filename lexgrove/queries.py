@@ -452,3 +452,6 @@ def hashing_embed(read):
     from lexgrove.functions import embedding
 
     return read("documents").select("doc_id", F.array_join(embedding.hashing_embed(F.col("text"), 64), ",").alias("embedding"))
+
+
+from lexgrove import act_queries  # noqa: E402, F401  (registers its queries)
