@@ -99,3 +99,15 @@ def length_batches(read):
     from lexgrove.operators.batches import token_batches
 
     return token_batches(read("documents"), "doc_id", "text")
+
+
+@query(f"""WITH {ACTS}, s AS (SELECT 'act-' || o_custkey AS act, art, {ROMANS}[inc] AS inc, art % 5 + 1 AS a, {ROMANS}[inc % 4 + 1] AS b FROM i),
+k AS (SELECT *, act || ':art' || art || ':inc' || inc AS source, act || ':art' || a || ':inc' || b AS target FROM s)
+SELECT source, 11::INT AS "start", (11 + length('art. ' || a || ', inciso ' || b || ', desta Lei'))::INT AS "end", target FROM k WHERE source <> target AND target IN (SELECT source FROM k)""")
+def xref_edges(read):
+    from lexgrove.operators.crossrefs import edges
+
+    i = _acts(read).where("inc > 0")
+    name = F.format_string("%s:art%d:inc%s", "document_id", "art", T.roman(F.col("inc")))
+    text = F.format_string("Conforme o art. %d, inciso %s, desta Lei.", F.col("art") % 5 + 1, T.roman(F.col("inc") % 4 + 1))
+    return edges(i.select(name.alias("id"), text.alias("text")))
