@@ -9,20 +9,32 @@ from pyspark.sql import functions as F
 from lexgrove.functions.text import ancestors
 
 
+def word_runs(words: str, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+
+
 def passages_in(items: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
-    """item_id, doc_id: documents that hold an item's text verbatim.
+    """item_id, doc_id: documents that hold an item's text verbatim; an item without text is in none.
 
-    The items' opening words meet the documents' word runs by an equi-join; only what meets is searched.
+    Words inside an item stand between spaces wherever it occurs, so its second and following words (as many as
+    words) meet the documents' runs of that many words by an equi-join; only what meets is searched. Items of one
+    or two words have no inner word: these few are looked for in every text.
     """
-    opening = F.array_join(F.slice(F.split("text", " "), 1, words), " ")
-    sought = items.select("item_id", F.col("text").alias("_item"), opening.alias("_key"))
-    split = docs.select("doc_id", "text", F.split("text", " ").alias("_w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, F.lit(words)), " "))
-    each = split.select("doc_id", F.explode(F.array_distinct(runs)).alias("_run"))
-    # The first word of a run may follow a line feed rather than a space.
-    each = each.select("doc_id", F.explode(F.array(F.col("_run"), F.regexp_extract("_run", r"^[^ ]*\n([^\n ]+ .*)$", 1))).alias("_key")).where("_key <> ''").distinct()
-    met = each.join(sought, "_key").select("doc_id", "item_id", "_item").join(docs.select("doc_id", "text"), "doc_id")
-    return met.where(F.contains("text", F.col("_item"))).select("item_id", "doc_id").distinct()
+    n = F.size(F.split("text", " "))
+    sought = items.where("text <> ''").select("item_id", F.col("text").alias("_item"), F.least(n - 2, F.lit(words)).alias("_n"), F.split("text", " ").alias("_w"))
+    long = sought.where("_n > 0").select("item_id", "_item", "_n", F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " ").alias("_key"))
+    split = docs.where("text is not null").select("doc_id", F.split("text", " ").alias("_d"))
+    # At most as many lengths as words.
+    lengths = sorted(r[0] for r in long.select("_n").distinct().collect())
+    met = None
+    for k in lengths:
+        part = split.select("doc_id", F.explode(F.array_distinct(word_runs("_d", k))).alias("_key")).join(long.where(F.col("_n") == k), "_key").select("doc_id", "item_id", "_item")
+        met = part if met is None else met.unionByName(part)
+    short = sought.where("_n <= 0").select("item_id", "_item")
+    found = docs.select("doc_id", "text").join(short, F.contains("text", F.col("_item"))).select("item_id", "doc_id")
+    if met is not None:
+        found = found.unionByName(met.distinct().join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("_item"))).select("item_id", "doc_id"))
+    return found.distinct()
 
 
 def percentiles_by(rows: DataFrame, split: str, value: str) -> DataFrame:

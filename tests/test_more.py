@@ -82,3 +82,13 @@ def test_raw_files_and_replaced_documents(spark, tmp_path):
     replace_documents(make(("x", 1), ("x", 2), ("y", 3)), f"{tmp_path}/t")
     replace_documents(make(("x", 9)), f"{tmp_path}/t")
     assert sorted((r.document_id, r.id) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [("x", 9), ("y", 3)]
+
+
+def test_passages_are_found_wherever_they_begin(spark):
+    from lexgrove.operators.evals import passages_in
+
+    texts = ["one two three four five six seven eight nine ten", "xone two three", "a\none two threes", "two", "tw o", "", None, "one  two three"]
+    items = ["one two three", "one two three four five six seven eight nine ten", "two", "two three", "", None, "one", "ne two thr", "nine ten eleven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in passages_in(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), docs).collect())
+    assert got == [(i, d) for i, x in enumerate(items) for d, t in enumerate(texts) if x and t and x in t]
