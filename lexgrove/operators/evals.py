@@ -44,11 +44,24 @@ def percentiles_by(rows: DataFrame, split: str, value: str) -> DataFrame:
     return out.select(F.coalesce("_s", F.lit("all")).alias("split"), "n", "p50", "p95")
 
 
-def metrics_by_split(ranked: DataFrame) -> DataFrame:
-    """OP-A07 to A09, A18: split (and all), items, hit1, mrr. ranked: split, first (null: never found)."""
-    out = ranked.select(F.col("split").alias("_s"), "first").groupingSets([[F.col("_s")], []], F.col("_s"))
-    out = out.agg(F.count("*").alias("items"), F.round(F.avg(F.when(F.col("first") <= 1, 1.0).otherwise(0.0)), 6).alias("hit1"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
-    return out.select(F.coalesce("_s", F.lit("all")).alias("split"), "items", "hit1", "mrr")
+def expected_ranks(expected: DataFrame, ranked: DataFrame) -> DataFrame:
+    """item_id, id, rank (null: never found): where each expected id comes first. expected: item_id, id; ranked: item_id, id, rank from 1."""
+    return expected.join(ranked.groupBy("item_id", "id").agg(F.min("rank").alias("rank")), ["item_id", "id"], "left")
+
+
+def metrics_by_split(items: DataFrame, expected: DataFrame) -> DataFrame:
+    """OP-A07 to A09, A18: split (and all), items, recall1, recall5, recall10, hit1, hit5, mrr.
+
+    items: item_id, split. expected: a row for each expected id, with item_id and rank, as expected_ranks gives them. An
+    item without expected ids has no recall, so the means of recall pass it over; it counts as not found in the others.
+    """
+    share = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))
+    each = expected.groupBy("item_id").agg(F.min("rank").alias("_first"), *[share(k).alias(f"_r{k}") for k in (1, 5, 10)])
+    out = items.join(each, "item_id", "left").select(F.col("split").alias("_s"), "_first", "_r1", "_r5", "_r10").groupingSets([[F.col("_s")], []], F.col("_s"))
+    recalls = [F.round(F.avg(f"_r{k}"), 6).alias(f"recall{k}") for k in (1, 5, 10)]
+    hits = [F.round(F.avg(F.when(F.col("_first") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit{k}") for k in (1, 5)]
+    out = out.agg(F.count("*").alias("items"), *recalls, *hits, F.round(F.avg(F.coalesce(1.0 / F.col("_first"), F.lit(0.0))), 6).alias("mrr"))
+    return out.select(F.coalesce("_s", F.lit("all")).alias("split"), *out.columns[1:])
 
 
 def gate(rows: DataFrame, points: float) -> DataFrame:

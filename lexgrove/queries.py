@@ -384,13 +384,26 @@ r AS (SELECT b.item_id, CASE WHEN b.item_id % 3 = 0 THEN 'holdout' ELSE 'dev' EN
 @query(f"""WITH {FOUND} SELECT coalesce(split, 'all') AS split, count(*) AS items, round(avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit1,
 round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM r GROUP BY GROUPING SETS ((split), ())""")
 def eval_grouping_sets(read):
+    return _metrics(read, 3).select("split", "items", "hit1", "mrr")
+
+
+def _metrics(read, step):
+    """Documents that hold an item's passage, ranked by id; those whose id step divides are the expected ones."""
     from lexgrove.operators.evals import metrics_by_split, passages_in
 
     b = read("benchmark")
-    found = passages_in(b, read("documents")).withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")))
-    first = found.where("doc_id % 3 = 0").groupBy("item_id").agg(F.min("rank").alias("first"))
     split = F.when(F.col("item_id") % 3 == 0, "holdout").otherwise("dev").alias("split")
-    return metrics_by_split(b.select("item_id", split).join(first, "item_id", "left"))
+    found = passages_in(b, read("documents")).withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")))
+    return metrics_by_split(b.select("item_id", split), found.where(F.col("doc_id") % step == 0))
+
+
+@query("""WITH h AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+e AS (SELECT item_id, min(rank) AS first, avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS r1, avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS r5, avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS r10 FROM h WHERE doc_id % 2 = 0 GROUP BY 1),
+r AS (SELECT CASE WHEN item_id % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split, first, r1, r5, r10 FROM benchmark LEFT JOIN e USING (item_id))
+SELECT coalesce(split, 'all') AS split, count(*) AS items, round(avg(r1), 6) AS recall1, round(avg(r5), 6) AS recall5, round(avg(r10), 6) AS recall10, round(avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit1,
+round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM r GROUP BY GROUPING SETS ((split), ())""")
+def recall_at_k(read):
+    return _metrics(read, 2)
 
 
 @query("""WITH p AS (SELECT event_type AS config, round(avg(value) FILTER (user_id % 3 > 0), 6) AS dev, round(avg(value) FILTER (user_id % 3 = 0), 6) AS holdout FROM events GROUP BY 1)
