@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +34,18 @@ def clip(c: Column, n: int) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, n - 1), " [^ ]*$", ""), F.lit("…")))
 
 
+#: Quotation marks, dashes, degree sign and hard space, as the reference makes them alike.
+ALIKE = str.maketrans("“”„‘’–—°\xa0", "\"\"\"''--º ")
+
+
 def normalize_for_match(c: Column) -> Column:
-    """OP-C04: quotation marks, dashes and spaces made alike; case stays."""
-    c = F.translate(c, "“”„«»‘’‚‐‑‒–—―º° ", "\"\"\"\"\"'''------oo ")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """OP-C04: NFC; quotation marks, dashes and spaces made alike; case stays. In Python, as SQL has no NFC."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFC", t).translate(ALIKE)).strip())
+
+    return run(c)
 
 
 def check_digit(digits: Column, weights: list[int]) -> Column:

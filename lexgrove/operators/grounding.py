@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.functions.grammar import ID
+from lexgrove.functions.text import normalize_for_match
+
 
 def check_citations(citations: DataFrame, corpus: DataFrame, key: str, least: int = 10) -> DataFrame:
-    """citations (key, quote, ...) with known_id and issue: unknown, too_short, not_found, or null. Keyed, so an equi-join."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    known = corpus.select(F.col(key).alias("known_id"), F.col("text").alias("_text"))
+    """citations (key, quote, ...) with known_id and issue: the first that holds of malformed, unknown, revoked, vetoed, too_short, not_found, or null.
+
+    corpus: key, text, and, if it has them, revoked and vetoed. A key that is a string is a provision's id, and malformed
+    if it is null or doesn't follow their grammar; others have none. A null text or quote is an empty one. Keyed, so an
+    equi-join; what is compared is normalised after it, so only texts that are cited.
+    """
+    flag = lambda name: (F.col(name) if name in corpus.columns else F.lit(False)).alias(f"_{name}")
+    known = corpus.select(F.col(key).alias("known_id"), F.col("text").alias("_text"), flag("revoked"), flag("vetoed"))
+    own = citations[key]
+    is_id = citations.schema[key].dataType.typeName() == "string"
+    malformed = ~F.coalesce(own.rlike(ID.removesuffix("$") + r"\z"), F.lit(False)) if is_id else F.lit(False)
+    same = lambda c: normalize_for_match(F.coalesce(F.col(c), F.lit("")))
     issue = (
-        F.when(F.col("known_id").isNull(), "unknown")
-        .when(F.length(F.btrim(F.col("quote"), F.lit(" .;:,"))) < least, "too_short")
-        .when(~F.contains(flat(F.col("_text")), flat(F.col("quote"))), "not_found")
+        F.when(F.col("_malformed"), "malformed")
+        .when(F.col("known_id").isNull(), "unknown")
+        .when(F.col("_revoked"), "revoked")
+        .when(F.col("_vetoed"), "vetoed")
+        .when(F.length("_quote") < least, "too_short")
+        .when(~F.contains(F.col("_text"), F.col("_quote")), "not_found")
     )
-    return citations.join(known, citations[key] == F.col("known_id"), "left").withColumn("issue", issue).drop("_text")
+    out = citations.withColumn("_malformed", malformed).join(known, own == F.col("known_id"), "left")
+    out = out.withColumns({"_quote": F.btrim(same("quote"), F.lit(" .;:,\"'")), "_text": same("_text")})
+    return out.withColumn("issue", issue).drop("_text", "_quote", "_malformed", "_revoked", "_vetoed")
