@@ -8,8 +8,8 @@ change what a difference means.
 
 Only rows whose crc32(doc_id as text) mod 4 is not 2 are learnt from; the rest are held out. labels,
 lang, source and doc_id are no inputs of a score. At most FIT_ROWS labelled rows of each class, those
-whose hash is least, reach the driver: a bounded sample. Texts of over PIECE bytes give the
-dictionaries their first PIECE bytes in fitting; scoring compresses every whole text.
+whose hash is least, are learnt from: a bounded sample. Texts of over PIECE bytes give the
+dictionaries their first PIECE bytes; calibration and scoring compress every whole text.
 
 Nulls: a null text is an empty text; an empty text compresses to the same size with each dictionary,
 so it has the score of difference 0 and length 0. A null doc_id counts as the text ''. Label rows without
@@ -111,22 +111,41 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e
     raise ArithmeticError(f"the calibration of {len(y)} texts hasn't converged after {rounds} steps")
 
 
+def constant_model(good: bool, bad: bool) -> CompressionModel:
+    """For labels that aren't of both classes."""
+    p = 0.5 if not good and not bad else (1 - 1e-6 if good else 1e-6)
+    return CompressionModel(constant=math.log(p / (1 - p)))
+
+
+def calibrated(model: CompressionModel, good: list[list[float]], bad: list[list[float]]) -> CompressionModel:
+    """The model with weights from the features of good and bad texts."""
+    *weights, model.constant = map(float, calibrate(np.array([*good, *bad]), np.array([1.0] * len(good) + [0.0] * len(bad))))
+    model.weights = tuple(weights)
+    return model
+
+
 def fit_compression(good: list[bytes], bad: list[bytes]) -> CompressionModel:
+    """Every other text is for the dictionaries, the others for the calibration."""
     if not good or not bad:
-        p = 0.5 if not good and not bad else (1 - 1e-6 if good else 1e-6)
-        return CompressionModel(constant=math.log(p / (1 - p)))
+        return constant_model(bool(good), bool(bad))
     half = lambda rows, k: rows[k::2] or rows
-    model = CompressionModel(dictionary(half(good, 0)), dictionary(half(bad, 0)))
+    model = CompressionModel(*(dictionary([t[:PIECE] for t in half(rows, 0)]) for rows in (good, bad)))
     coders = model.coders()
-    x = np.array([model.features(coders, t) for t in (*half(good, 1), *half(bad, 1))])
-    y = np.array([1.0] * len(half(good, 1)) + [0.0] * len(half(bad, 1)))
-    *weights, model.constant = map(float, calibrate(x, y))
-    model.weights = tuple(weights)
-    return model
+    return calibrated(model, *([model.features(coders, t) for t in half(rows, 1)] for rows in (good, bad)))
+
+
+def featurer(model: CompressionModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders = model.coders()
+        for batch in batches:
+            x = pa.array([model.features(coders, t) for t in texts(batch)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), x], names=["doc_id", "_h", "quality", "x"])
+
+    return run
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CompressionModel:
-    """Fits on at most `rows` labelled documents of each class, none of them held out."""
+    """Fits on at most `rows` labelled documents of each class, none of them held out. Only what the dictionaries are cut from and feature rows reach the driver."""
     labels = labels.where("doc_id is not null and quality in (0, 1)").where(fold() != 2)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).withColumn("_h", F.xxhash64("doc_id"))
     sample = None
@@ -134,9 +153,25 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Compress
         part = labels.where(F.col("quality") == k).orderBy("_h", "doc_id").limit(rows)
         sample = part if sample is None else sample.union(part)
     body = F.substring(F.col("text").cast("binary"), 1, PIECE)
-    found = id_text(docs).join(F.broadcast(sample), "doc_id").select("_h", "doc_id", body.alias("body"), "quality")
-    rows_ = sorted((r._h, r.doc_id, bytes(r.body), r.quality) for r in found.toLocalIterator(prefetchPartitions=True))
-    return fit_compression(*([b for _, _, b, q in rows_ if q == k] for k in (1, 0)))
+    # Counts and halves go by what is found: labels may name documents that aren't there.
+    keys = id_text(docs).select("doc_id").join(F.broadcast(sample), "doc_id")
+    found = sorted((r._h, r.doc_id, r.quality) for r in keys.toLocalIterator(prefetchPartitions=True))
+    own = {k: [i for _, i, q in found if q == k] for k in (1, 0)}
+    if not own[1] or not own[0]:
+        return constant_model(bool(own[1]), bool(own[0]))
+    # A document's rows share a half, so that none calibrates the dictionaries it is in.
+    ids = {k: list(dict.fromkeys(own[k])) for k in own}
+    chosen = [[(i, k) for k in own for i in (ids[k][n::2] or ids[k])] for n in (0, 1)]
+
+    def part_of(n: int) -> DataFrame:
+        few = docs.sparkSession.createDataFrame(chosen[n], "doc_id long, quality int")
+        return id_text(docs).join(F.broadcast(sample.join(few, ["doc_id", "quality"])), "doc_id")
+
+    cut = sorted((r._h, r.doc_id, bytes(r.body), r.quality) for r in part_of(0).select("_h", "doc_id", body.alias("body"), "quality").toLocalIterator(prefetchPartitions=True))
+    model = CompressionModel(*(dictionary([b for _, _, b, q in cut if q == k]) for k in (1, 0)))
+    x = part_of(1).select("doc_id", "text", "_h", "quality").mapInArrow(featurer(model), "doc_id long, _h long, quality int, x array<double>")
+    x = sorted((r._h, r.doc_id, r.x, r.quality) for r in x.toLocalIterator(prefetchPartitions=True))
+    return calibrated(model, *([v for _, _, v, q in x if q == k] for k in (1, 0)))
 
 
 def scorer(model: CompressionModel):

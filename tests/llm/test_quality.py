@@ -40,3 +40,20 @@ def test_calibration_ends_at_the_least_loss_or_fails():
     assert np.abs(z.T @ (y - 1 / (1 + np.exp(-z @ own))) - 0.01 * own).max() < 1e-3
     with pytest.raises(ArithmeticError):
         quality.calibrate(x, y, rounds=2)
+
+
+def test_calibration_sees_whole_texts_and_the_fit_is_that_of_the_driver(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda k: "".join(r.choice("abcdefgh" if k else "mnopqrst") for _ in range(5))
+    rows = [(i, " ".join(word(i % 2 if r.random() < 0.8 else 1 - i % 2) for _ in range(r.randint(20, 4000))), i % 2) for i in range(80)]
+    seen = []
+    own = quality.calibrate
+    monkeypatch.setattr(quality, "calibrate", lambda x, y: seen.append(x) or own(x, y))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = quality.fitted(docs, labels)
+    kept = {h.doc_id: h._h for h in docs.where(quality.fold() != 2).selectExpr("doc_id", "xxhash64(doc_id) _h").collect()}
+    order = sorted((kept[i], t.encode(), q) for i, t, q in rows if i in kept)
+    assert model == quality.fit_compression(*([t for _, t, q in order if q == k] for k in (1, 0)))
+    longest = max(len(t) for k in (1, 0) for t in [t for _, t, q in order if q == k][1::2])
+    assert longest > quality.PIECE and abs(seen[0][:, 6].max() - np.log1p(longest) / 10) < 1e-9
