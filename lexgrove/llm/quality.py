@@ -72,7 +72,10 @@ class CompressionModel:
 
 
 def dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
-    """As raw content: pieces dealt evenly over the samples, so that each has a part."""
+    """As raw content: from the middle of each sample an even share of size, but at least 256 bytes, until size is held.
+
+    So of over size // 256 samples only about the first size // 256 have a part: shares of 43 bytes (1,500 samples) did worse.
+    """
     if not samples:
         return b""
     piece = max(256, size // len(samples))

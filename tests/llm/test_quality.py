@@ -57,3 +57,11 @@ def test_calibration_sees_whole_texts_and_the_fit_is_that_of_the_driver(spark, m
     assert model == quality.fit_compression(*([t for _, t, q in order if q == k] for k in (1, 0)))
     longest = max(len(t) for k in (1, 0) for t in [t for _, t, q in order if q == k][1::2])
     assert longest > quality.PIECE and abs(seen[0][:, 6].max() - np.log1p(longest) / 10) < 1e-9
+
+
+def test_dictionary_holds_middle_pieces_of_as_many_samples_as_fit():
+    samples = [b"<" * 22 + bytes([97 + n % 26]) * 256 + b">" * 22 for n in range(1000)]
+    held = quality.dictionary(samples).split(b"\n")
+    assert sum(map(len, held)) + len(held) - 1 == quality.DICTIONARY and quality.DICTIONARY // 256 - 1 <= len(held) <= quality.DICTIONARY // 256
+    assert held[:-1] == [s[22:278] for s in samples[: len(held) - 1]]
+    assert quality.dictionary(samples[:2]) == b"\n".join(samples[:2]) and quality.dictionary([]) == b""
