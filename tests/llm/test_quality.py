@@ -65,3 +65,27 @@ def test_dictionary_holds_middle_pieces_of_as_many_samples_as_fit():
     assert sum(map(len, held)) + len(held) - 1 == quality.DICTIONARY and quality.DICTIONARY // 256 - 1 <= len(held) <= quality.DICTIONARY // 256
     assert held[:-1] == [s[22:278] for s in samples[: len(held) - 1]]
     assert quality.dictionary(samples[:2]) == b"\n".join(samples[:2]) and quality.dictionary([]) == b""
+
+
+def test_scores_and_the_cases_of_the_docstring(spark):
+    r = random.Random(11)
+    word = lambda k: "".join(r.choice("abcdefgh" if k else "mnopqrst") for _ in range(5))
+    rows = [(i, " ".join(word(i % 2) for _ in range(r.randint(30, 200)))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (None, rows[1][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, i % 2) for i, _ in rows], (None, 1), (1, None)], "doc_id long, quality int")
+    model = quality.fitted(docs, labels)
+    got = {r.doc_id: r for r in quality.scores(docs, model).collect()}
+    assert len(got) == 303 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    assert {i for i in got if got[i].held_out} == {i for i in got if fold("" if i is None else i) == 2}
+    held = [i for i, _ in rows if got[i].held_out]
+    assert len(held) > 40 and sum(got[i].predicted != i % 2 for i in held) <= 0.05 * len(held)
+    assert got[900].score == got[901].score == model.score([0.0] * 3 + model.features(model.coders(), b"")[3:])
+    assert got[None].score == got[1].score
+    # The labels of held-out rows are not learnt from.
+    other = labels.selectExpr("doc_id", "case when pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2 then 1 - quality else quality end quality")
+    assert quality.fitted(docs, other) == model
+    assert quality.scores(docs.limit(0), model).collect() == []
+    for some, share in ((labels.where("quality = 1"), 1.0), (labels.where("quality = 0"), 0.0), (labels.limit(0), 0.5)):
+        assert {round(r.score, 5) for r in quality.scores(docs, quality.fitted(docs, some)).collect()} == {share}
+    # Repeated labels count as often as they stand there, in one half.
+    assert quality.fitted(docs, labels.union(labels)) != model
