@@ -37,14 +37,18 @@ BASE = {
 }
 #: Strings of which a text must have one, or a short pattern, before the pattern itself is tried: most texts have none.
 NEEDS = {"email": ["@"], "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": ["+"]}
+#: Parts of addresses of which at least one separator is spelled.
+LOCAL, LABEL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++", "[A-Za-z0-9-]++"
+AT = r"\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?"
+DOT = r"\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?"
 #: Generators of further candidates.
 MORE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\}|@|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?=[0-9A-Fa-f])(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+(?![0-9A-Fa-f:])",
+    "email": rf"{LOCAL}(?:{AT}{LABEL}(?:(?:{DOT}|\.){LABEL})++|\x20?@\x20?{LABEL}(?:\.{LABEL})*+{DOT}{LABEL}(?:(?:{DOT}|\.){LABEL})*+)",
+    "ip": r"(?=[0-9A-Fa-f])(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+(?![0-9A-Fa-f:])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?+::(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?+(?![0-9A-Za-z:])",
     "card": BASE["card"],
     "phone": r"(?=[0-9(])(?<![0-9A-Za-z+.(-])\(?[0-9]{2,5}+\)?(?:[\x20.()-]{1,2}+[0-9]{2,4}+){2,4}+(?![0-9A-Za-z])",
 }
-MORE_NEEDS = {"email": ["dot)", "dot]", "dot}", " dot "], "ip": [":"], "phone": "[0-9]"}
+MORE_NEEDS = {"email": r"(?i)[(\[{]at[)\]}]|\x20at\x20|[(\[{]dot[)\]}]|\x20dot\x20", "ip": [":"], "phone": "[0-9]"}
 CONTEXT = 24
 #: Share of right spans above a kind's threshold, on templates the trees haven't seen.
 PRECISION = 0.97
