@@ -1,22 +1,31 @@
-"""Removal of repeated 400-byte strings by suffix grouping.
+"""Removal of repeated 400-byte strings by suffix grouping, and passages of words that documents share.
 
 A byte goes if a string of 400 bytes that covers it also starts anywhere else in the corpus.
 
 1. Each window of 400 bytes has an anchor: the leftmost of its 64-byte strings with the least hash.
    Equal windows have equal anchors at equal places, so only windows whose anchor occurs twice can
    repeat: no other window is looked at again. Neighbouring windows share an anchor and make a run;
-   a run is known by the hashes of its anchor and of all its text.
+   a run is known by two 64-bit hashes, of its anchor and of all its text.
 2. A run whose text occurs twice repeats in full. Where an anchor has one text only, that is all.
 3. Other runs are cut, at places counted from the anchor, into blocks of up to 16 windows. What all
    windows of a block share, 385 bytes, becomes one symbol: the core. A block is thus a string of up
    to 31 symbols, and its windows are the substrings of 16 symbols. Blocks are dealt by core; in each
    task, the strings of many cores are suffix-sorted by linear grouping (suffixes.py), and windows
    whose 16 symbols equal those of a neighbour in the order repeat.
-4. A core with over HOT different blocks isn't brought into one task: its windows are counted as rows,
-   which map-side aggregation keeps small. The outcome is the same.
+4. A hot core, one with over HOT different blocks, is split before it is dealt: its blocks are cut into
+   blocks of 4 windows, which share 397 bytes and so have other cores, and these once more into
+   single windows. Their parts are sorted in the same way; all blocks of one window and one core are
+   equal, so no core stays hot.
+
+Passages: `passage_words` counts the words of a document that stand in a string of 51 words which
+another document has too. Words are what white space (\\x20, \\x09-\\x0D) separates, A-Z in lower case.
+A passage of 51 words may have fewer than 400 bytes, in which case nothing of it is removed: the
+column says that it is there. It is found on the way: windows of 51 words have anchors of 8 words and
+make runs like those of bytes; runs that occur in one document only are cut into single windows.
 
 Copies of a run, in one document or in many, are one row with a count from the start, so groups of
-copies of any size cost one row for each task.
+copies of any size cost one row for each task. Equality is that of 128 bits of hashes: at 10^11 runs,
+two that differ are taken for equal with a chance of about 10^-17.
 
 Nulls: a null text is empty; texts of under 400 bytes, and windows that cross documents, never match.
 A null doc_id is kept, a repeated row is another document: its text repeats. An empty table gives an
@@ -36,12 +45,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import table, texts, written
-from lexgrove.llm.near_dedup import mixed
+from lexgrove.llm.common import discard, table, texts, written
+from lexgrove.llm.near_dedup import HASHES, mixed
 from lexgrove.llm.suffixes import suffix_array
 
 SPAN, GRAM, BLOCK = 400, 64, 16
-HOT = 4096
+#: Words of a shared passage, and of its anchors.
+PASSAGE, PASSAGE_GRAM = 51, 8
+#: Different blocks of one core that go to one task, and the windows of a block before and after hot cores are split.
+HOT, WIDTHS = 4096, (16, 4, 1)
 #: Bytes hashed at once, and symbols sorted at once.
 SEGMENT, SYMBOLS = 2 << 20, 1 << 18
 POSITION = np.uint64((1 << 26) - 1)
@@ -51,26 +63,45 @@ BYTE_HASHES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
 FACTORS = _random.integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start, the place of its anchor; for each place, the hash of its 64 bytes."""
-    h = BYTE_HASHES[data]
-    for i, factor in enumerate(FACTORS):
-        h = h[: -(1 << i)] * factor + h[1 << i :]
-    h = mixed(h)
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` hashes, the place of the leftmost least one."""
     v = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
-    width, reach = SPAN - GRAM + 1, 1
+    reach = 1
     while 2 * reach <= width:
         v = np.minimum(v[:-reach], v[reach:])
         reach *= 2
     v = np.minimum(v[: len(v) - (width - reach)], v[width - reach :])
-    return (v & POSITION).astype(np.int64), h
+    return (v & POSITION).astype(np.int64)
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of bytes, the place of its anchor; for each place, the hash of its 64 bytes."""
+    h = BYTE_HASHES[data]
+    for i, factor in enumerate(FACTORS):
+        h = h[: -(1 << i)] * factor + h[1 << i :]
+    h = mixed(h)
+    return least_places(h, SPAN - GRAM + 1), h
+
+
+def word_anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As anchors(), for windows of words, given by their hashes."""
+    h = words
+    for i, factor in enumerate(FACTORS[: PASSAGE_GRAM.bit_length() - 1]):
+        h = h[: -(1 << i)] * factor + h[1 << i :]
+    h = mixed(h + np.uint64(PASSAGE))
+    return least_places(h, PASSAGE - PASSAGE_GRAM + 1), h
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def runs_of(text: bytes | memoryview) -> Iterator[tuple[int, int, int, int]]:
-    """(first window start, last window start, anchor, anchor's hash) of each run of one text."""
-    for base in range(0, max(0, len(text) - SPAN + 1), SEGMENT):
-        part = np.frombuffer(text[base : base + SEGMENT + SPAN - 1], np.uint8)
-        at, h = anchors(part)
+def runs_of(units, span: int, anchored) -> Iterator[tuple[int, int, int, int]]:
+    """(first window start, last window start, anchor, anchor's hash) of each run of one text's bytes or words."""
+    for base in range(0, max(0, len(units) - span + 1), SEGMENT):
+        part = units[base : base + SEGMENT + span - 1]
+        at, h = anchored(part)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
         where = at[first]
@@ -86,26 +117,31 @@ def doc_key(doc_id: int | None, text: bytes) -> int:
     return signed(xxhash.xxh3_64_intdigest(text, seed=0 if doc_id is None else (doc_id * 2 + 1) & (2**64 - 1)))
 
 
-RUNS = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("windows", pa.int32()), ("start", pa.int32()), ("starts", pa.binary())])
+RUNS = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("words", pa.bool_()), ("windows", pa.int32()), ("start", pa.int32()), ("starts", pa.binary())])
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> one row for each different run of each, with all its starts there."""
+    """Documents -> one row for each different run of bytes or words of each, with all its starts there."""
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
-            if len(text) < SPAN:
-                continue
-            key, found = doc_key(doc_id, text), {}
-            for first, last, anchor, h in runs_of(text):
-                ctx = signed(xxhash.xxh3_64_intdigest(text[first : last + SPAN], seed=anchor - first))
-                found.setdefault((h, ctx, last - first + 1), []).append(first)
-            rows.extend((h, ctx, key, n, at[0], np.array(at, np.int32).tobytes()) for (h, ctx, n), at in found.items())
+            key, words = doc_key(doc_id, text), word_hashes(text)
+            raw = words.tobytes()
+            for units, body, size, span, anchored in ((np.frombuffer(text, np.uint8), text, 1, SPAN, anchors), (words, raw, 8, PASSAGE, word_anchors)):
+                found: dict[tuple, list[int]] = {}
+                for first, last, anchor, h in runs_of(units, span, anchored):
+                    ctx = signed(xxhash.xxh3_64_intdigest(body[first * size : (last + span) * size], seed=anchor - first))
+                    found.setdefault((h, ctx, last - first + 1), []).append(first)
+                rows.extend((h, ctx, key, size == 8, n, at[0], np.array(at, np.int32).tobytes()) for (h, ctx, n), at in found.items())
             if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RUNS)], schema=RUNS)
+                yield batch_of(rows, RUNS)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RUNS)], schema=RUNS)
+            yield batch_of(rows, RUNS)
 
 
 def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,31 +154,43 @@ def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array([coder.compress(t) for t in bodies], pa.binary())], names=["doc_id", "doc", "body"])
 
 
-BLOCKS = pa.schema([("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("windows", pa.int32()), ("ctx", pa.int64()), ("first", pa.int32())])
+BLOCKS = pa.schema([("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("windows", pa.int32()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("words", pa.bool_()), ("doc", pa.int64()), ("first", pa.int32())])
 
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the runs to be looked into -> their blocks. first: the block's first window, counted from the run's."""
+    """Texts with the runs to be looked into -> their blocks; windows of words are blocks of one. first: the block's first window, counted from the run's."""
     coder = zstandard.ZstdDecompressor()
     for batch in batches:
         rows: list[tuple] = []
-        for body, runs in zip(batch.column(0), batch.column(1).to_pylist()):
-            text = coder.decompress(body.as_py())
+        for doc, body, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            text, words = coder.decompress(body.as_py()), None
             for run in runs:
-                lo, n, anchor = run["start"], run["windows"], None
-                hi = lo + n - 1
+                lo, n = run["start"], run["windows"]
+                hi, known = lo + n - 1, (run["anchor"], run["ctx"], run["words"], doc)
+                if run["words"]:
+                    words = word_hashes(text).tobytes() if words is None else words
+                    rows.extend((xxhash.xxh3_128_digest(words[8 * i : 8 * (i + PASSAGE)], seed=PASSAGE), b"", b"", 1, *known, i - lo) for i in range(lo, hi + 1))
+                    continue
                 at, _ = anchors(np.frombuffer(text[lo : lo + SPAN], np.uint8))
                 anchor = lo + int(at[0])
                 for b in range((anchor - hi) // BLOCK, (anchor - lo) // BLOCK + 1):
                     top, low = anchor - b * BLOCK, anchor - b * BLOCK - BLOCK + 1
                     a, z = max(lo, low), min(hi, top)
-                    core = xxhash.xxh3_128_digest(text[top : low + SPAN], seed=b)
-                    rows.append((core, text[a:top], text[low + SPAN : z + SPAN], z - a + 1, run["ctx"], a - lo))
+                    core = core_of(text[top : low + SPAN], b * BLOCK, BLOCK)
+                    rows.append((core, text[a:top], text[low + SPAN : z + SPAN], z - a + 1, *known, a - lo))
+            if len(rows) > 20_000:
+                yield batch_of(rows, BLOCKS)
+                rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCKS)], schema=BLOCKS)
+            yield batch_of(rows, BLOCKS)
+
 
+def core_of(text: bytes, place: int, width: int) -> bytes:
+    """A block's core: what its windows share, at its place before the anchor."""
+    return xxhash.xxh3_128_digest(text, seed=(place + SPAN) * 2 * BLOCK + width)
 
-def repeated_windows(strings: list[tuple[int, bytes, bytes, int]]) -> list[int]:
+
+def repeated_windows(strings: list[tuple[int, bytes, bytes, int]], width: int) -> list[int]:
     """(core's number, left, right, windows) of each different block -> bits of the windows that another block has too."""
     s: list[int] = []
     begins: list[int] = []
@@ -159,7 +207,7 @@ def repeated_windows(strings: list[tuple[int, bytes, bytes, int]]) -> list[int]:
         if at not in owner:
             before = None
             continue
-        if before is not None and s[before : before + BLOCK] == s[at : at + BLOCK]:
+        if before is not None and s[before : before + width] == s[at : at + width]:
             for k, i in (owner[before], owner[at]):
                 bits[k] |= 1 << i
         before = at
@@ -169,36 +217,57 @@ def repeated_windows(strings: list[tuple[int, bytes, bytes, int]]) -> list[int]:
 MASKS = pa.schema([("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("windows", pa.int32()), ("bits", pa.int32())])
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different blocks sorted by core, with the number of each -> the bits of their repeated windows, if any."""
-    held: list[tuple] = []
+def grouped(width: int):
+    """Different blocks sorted by core, and whether each occurs twice -> the bits of their repeated windows, if any."""
+    most = SYMBOLS // (2 * width)
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         numbers: dict[bytes, int] = {}
-        bits = repeated_windows([(numbers.setdefault(r[0], len(numbers)), r[1], r[2], r[3]) for r in rows])
-        out = [(*r[:4], (1 << r[3]) - 1 if r[4] > 1 else b) for r, b in zip(rows, bits)]
+        bits = repeated_windows([(numbers.setdefault(r[0], len(numbers)), r[1], r[2], r[3]) for r in rows], width)
+        out = [(*r[:4], (1 << r[3]) - 1 if r[4] else b) for r, b in zip(rows, bits)]
         if out := [r for r in out if r[4]]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), MASKS)], schema=MASKS)
-
-    def split(rows: list[tuple], whole: bool) -> tuple[list[tuple], list[tuple]]:
-        """What can be sorted now: all but the last core's rows."""
-        if whole:
-            return rows, []
-        k = len(rows)
-        while k and rows[k - 1][0] == rows[-1][0]:
-            k -= 1
-        return rows[:k], rows[k:]
-
-    for batch in batches:
-        held.extend(zip(*(c.to_pylist() for c in batch.columns[:5])))
-        while len(held) * 2 * BLOCK > SYMBOLS:
-            now, held = split(held, False)
-            if not now:
-                break
-            for i in cores_up_to(now, SYMBOLS // (2 * BLOCK)):
-                yield from flush(i)
-    for i in cores_up_to(held, SYMBOLS // (2 * BLOCK)):
-        yield from flush(i)
+            yield batch_of(out, MASKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held.extend(zip(*(c.to_pylist() for c in batch.columns)))
+            # The last core's rows may go on in the next batch.
+            k = len(held)
+            while k and len(held) > most and held[k - 1][0] == held[-1][0]:
+                k -= 1
+            if len(held) > most and k:
+                for part in cores_up_to(held[:k], most):
+                    yield from flush(part)
+                held = held[k:]
+        for part in cores_up_to(held, most):
+            yield from flush(part)
+
+    return run
+
+
+CUT = pa.schema([*list(BLOCKS)[:4], ("twice", pa.bool_()), ("_core", pa.binary()), ("_left", pa.binary()), ("_right", pa.binary()), ("_windows", pa.int32()), ("shift", pa.int32())])
+
+
+def narrowed(width: int, to: int):
+    """Blocks of up to `width` windows -> each with its blocks of up to `to` windows, and where they begin in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                core, left, right, windows, _ = row
+                for g in range(width // to):
+                    # Windows are told apart by how many bytes before the core they have.
+                    least, most = max(len(left) - windows + 1, to * g), min(len(left), to * g + to - 1)
+                    if least <= most:
+                        common = len(left) - to * g, width - to * (g + 1)
+                        inner = core_of(core + left[common[0] :] + b"|" + right[: common[1]], g, to)
+                        rows.append((*row, inner, left[len(left) - most : common[0]], right[common[1] : width - 1 - least], most - least + 1, len(left) - most))
+            if rows:
+                yield batch_of(rows, CUT)
+
+    return run
 
 
 def cores_up_to(rows: list[tuple], most: int) -> Iterator[list[tuple]]:
@@ -213,26 +282,37 @@ def cores_up_to(rows: list[tuple], most: int) -> Iterator[list[tuple]]:
         yield part
 
 
-def spans(text: bytes, runs: list[dict] | None) -> list[tuple[int, int]]:
-    """The removed runs of a text: from, to (exclusive)."""
-    if not runs:
-        return []
-    cover = np.zeros(len(text) + 1, np.int32)
+def covered(size: int, span: int, runs: list[dict]) -> np.ndarray:
+    """Which of `size` bytes or words repeated windows cover."""
+    cover = np.zeros(size + 1, np.int32)
     for r in runs:
         for start in np.frombuffer(r["starts"], np.int32).tolist():
             if r["full"]:
                 cover[start] += 1
-                cover[start + r["windows"] - 1 + SPAN] -= 1
+                cover[start + r["windows"] - 1 + span] -= 1
             else:
                 for part in r["parts"] or ():
                     for i in range(BLOCK):
                         if part["bits"] >> i & 1:
                             cover[start + part["first"] + i] += 1
-                            cover[start + part["first"] + i + SPAN] -= 1
-    edge = np.flatnonzero(np.diff(np.cumsum(cover)[:-1] > 0, prepend=False, append=False))
+                            cover[start + part["first"] + i + span] -= 1
+    return np.cumsum(cover)[:-1] > 0
+
+
+def spans(text: bytes, runs: list[dict] | None) -> list[tuple[int, int]]:
+    """The removed runs of a text: from, to (exclusive)."""
+    mine = [r for r in runs or () if not r["words"]]
+    if not mine:
+        return []
+    edge = np.flatnonzero(np.diff(covered(len(text), SPAN, mine), prepend=False, append=False))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def passage_words(text: bytes, runs: list[dict] | None) -> int:
+    mine = [r for r in runs or () if r["words"]]
+    return int(covered(len(text.split()), PASSAGE, mine).sum()) if mine else 0
+
+
 def cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     at, parts = 0, []
     for a, b in gone:
@@ -241,6 +321,9 @@ def cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
+VERDICTS = pa.schema([*((c, pa.int64()) for c in ("doc_id", "doc", "n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), ("passage_words", pa.int64()), ("text_sha256", pa.string()), ("gone", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))])
+
+
 def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -248,51 +331,92 @@ def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, key, body, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
             text = coder.decompress(body.as_py())
             gone = spans(text, runs)
-            rows.append((doc_id, key, len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(cut(text, gone)).hexdigest(), [{"from": a, "to": b} for a, b in gone]))
+            rows.append((doc_id, key, len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(cut(text, gone)).hexdigest(), passage_words(text, runs), hashlib.sha256(text).hexdigest(), [{"from": a, "to": b} for a, b in gone]))
         if rows:
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "gone"])
-
-
-def hot_masks(blocks: DataFrame) -> DataFrame:
-    """As grouped(), by counting each window's text: for cores with more blocks than one task should sort."""
-    each = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
-    rest = F.expr("substring(left, i + 1, length(left))")
-    ending = F.expr(f"substring(right, 1, {BLOCK - 1} - length(left) + i)")
-    each = each.select("core", "left", "right", "windows", "n", "i", F.struct("core", rest.alias("l"), ending.alias("r")).alias("w"))
-    twice = each.groupBy("w").agg(F.sum("n").alias("total")).where("total > 1").select("w")
-    met = each.join(twice.hint("merge"), "w")
-    return met.groupBy("core", "left", "right", "windows").agg(F.expr("cast(bit_or(shiftleft(1, i)) as int)").alias("bits"))
+            yield batch_of(rows, VERDICTS)
+
+
+BLOCK_KEY = ["core", "left", "right", "windows"]
+
+
+def masks(blocks: DataFrame, hot: int, level: int = 0) -> DataFrame:
+    """core, left, right, windows, twice of different blocks -> the bits of their windows that occur in another block or twice."""
+    width = WIDTHS[level]
+    if width == 1:
+        return blocks.where("twice").select(*BLOCK_KEY, F.lit(1).alias("bits"))
+    sizes = blocks.groupBy("core").agg(F.count("*").alias("k"), F.max("twice").alias("any")).where("k > 1 or any").select("core", "k")
+    sized = blocks.join(sizes.hint("merge"), "core")
+    cold = sized.where(F.col("k") <= hot).select(*BLOCK_KEY, "twice").repartition("core").sortWithinPartitions("core", "left", "right")
+    out = cold.mapInArrow(grouped(width), "core binary, left binary, right binary, windows int, bits int")
+    if blocks.groupBy("core").count().where(F.col("count") > hot).isEmpty():
+        return out
+    # A hot core's blocks go through a table of narrower ones; the salt of their common part is in the new cores.
+    rows = sized.where(F.col("k") > hot).select(*BLOCK_KEY, "twice").mapInArrow(narrowed(width, WIDTHS[level + 1]), "core binary, left binary, right binary, windows int, twice boolean, _core binary, _left binary, _right binary, _windows int, shift int")
+    rows = written(rows, "hot")
+    inner = [f"_{c}" for c in BLOCK_KEY]
+    finer = rows.groupBy(*inner).agg(((F.count("*") > 1) | F.max("twice")).alias("twice"))
+    finer = written(finer.select(*[F.col(f"_{c}").alias(c) for c in BLOCK_KEY], "twice"), "finer")
+    found = masks(finer, hot, level + 1).select(*[F.col(c).alias(f"_{c}") for c in BLOCK_KEY], "bits")
+    bits = rows.join(found, inner).groupBy(*BLOCK_KEY).agg(F.expr("cast(bit_or(shiftleft(bits, shift)) as int)").alias("bits"))
+    return out.unionByName(bits)
 
 
 def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, gone (byte ranges): one row for each document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words, text_sha256, gone (byte ranges): one row for each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    runs = written(docs.mapInArrow(run_rows, "anchor long, ctx long, doc long, windows int, start int, starts binary"), "runs")
-    times = F.length("starts") / 4
+    runs = written(docs.mapInArrow(run_rows, "anchor long, ctx long, doc long, words boolean, windows int, start int, starts binary"), "runs")
+    # A passage counts once for each document that has it, a string of bytes as often as it starts.
+    times = F.when(F.col("words"), 1).otherwise(F.length("starts") / 4)
     several = runs.groupBy("anchor").agg(F.sum(times).alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1")
     several = several.select("anchor", (F.col("a") != F.col("b")).alias("differ"))
     met = written(runs.join(several.hint("merge"), "anchor"), "repeats")
-    each = met.where("differ").groupBy("anchor", "ctx").agg(F.sum(times).cast("long").alias("n"), F.min(F.struct("doc", "windows", "start")).alias("rep"))
+    discard(runs)
+    each = met.where("differ").groupBy("anchor", "ctx").agg(F.sum(times).cast("long").alias("n"), F.min(F.struct("doc", "words", "windows", "start")).alias("rep"))
     each = written(each, "contexts")
-    inside = each.groupBy(F.col("rep.doc").alias("doc")).agg(F.collect_list(F.struct("ctx", F.col("rep.windows").alias("windows"), F.col("rep.start").alias("start"))).alias("runs"))
+    run = F.struct("anchor", "ctx", F.col("rep.words").alias("words"), F.col("rep.windows").alias("windows"), F.col("rep.start").alias("start"))
+    inside = each.groupBy(F.col("rep.doc").alias("doc")).agg(F.collect_list(run).alias("runs"))
     packed = docs.mapInArrow(squeezed, "doc_id long, doc long, body binary")
-    once = packed.join(inside, "doc").dropDuplicates(["doc"]).select("body", "runs")
-    blocks = written(once.mapInArrow(block_rows, "core binary, left binary, right binary, windows int, ctx long, first int"), "blocks")
-    weighed = blocks.join(each.select("ctx", "n").groupBy("ctx").agg(F.sum("n").alias("n")), "ctx")
-    different = written(weighed.groupBy("core", "left", "right", "windows").agg(F.sum("n").alias("n")), "different")
-    sizes = different.groupBy("core").agg(F.count("*").alias("k"), F.sum("n").alias("all")).where("all > 1")
-    sized = different.join(sizes.hint("merge"), "core")
-    sorted_ = sized.where(F.col("k") <= hot).select("core", "left", "right", "windows", "n").repartition("core").sortWithinPartitions("core", "left", "right")
-    masks = sorted_.mapInArrow(grouped, "core binary, left binary, right binary, windows int, bits int").unionByName(hot_masks(sized.where(F.col("k") > hot)))
-    parts = blocks.join(masks, ["core", "left", "right", "windows"]).groupBy("ctx").agg(F.collect_list(F.struct("first", "bits")).alias("parts"))
-    copies = each.where("n > 1").select("ctx", "anchor").withColumn("copied", F.lit(True))
+    once = packed.join(inside, "doc").dropDuplicates(["doc"]).select("doc", "body", "runs")
+    blocks = written(once.mapInArrow(block_rows, "core binary, left binary, right binary, windows int, anchor long, ctx long, words boolean, doc long, first int"), "blocks")
+    weighed = blocks.join(each.select("anchor", "ctx", "n"), ["anchor", "ctx"])
+    different = weighed.groupBy(*BLOCK_KEY).agg(F.first("words").alias("words"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min("doc").alias("a"), F.max("doc").alias("b"))
+    twice = F.when(F.col("words"), (F.col("most") > 1) | (F.col("a") != F.col("b"))).otherwise(F.col("n") > 1)
+    different = written(different.select(*BLOCK_KEY, "words", twice.alias("twice")), "different")
+    shared = different.where("words and twice").select(*BLOCK_KEY, F.lit(1).alias("bits"))
+    bits = masks(different.where("not words").drop("words"), hot).unionByName(shared)
+    parts = blocks.join(bits, BLOCK_KEY).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("first", "bits")).alias("parts"))
+    parts = written(parts, "parts")
+    discard(blocks, different)
+    copies = each.where("n > 1").select("anchor", "ctx").withColumn("copied", F.lit(True))
     known = met.join(copies, ["anchor", "ctx"], "left").withColumn("full", ~F.col("differ") | F.coalesce("copied", F.lit(False)))
-    known = known.join(parts, "ctx", "left").where("full or parts is not null")
-    of = known.groupBy("doc").agg(F.collect_list(F.struct("starts", "windows", "full", "parts")).alias("runs"))
+    known = known.join(parts, ["anchor", "ctx"], "left").where("full or parts is not null")
+    of = known.groupBy("doc").agg(F.collect_list(F.struct("words", "starts", "windows", "full", F.when(~F.col("full"), F.col("parts")).alias("parts"))).alias("runs"))
+    of = written(of, "covered")
+    discard(met, each, parts)
     # A row that repeats a document has the same key: all its windows occur in the other.
-    return packed.join(of, "doc", "left").select("doc_id", "doc", "body", "runs").mapInArrow(verdicts, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, gone array<struct<from: long, to: long>>").drop("doc")
+    return packed.join(of, "doc", "left").select("doc_id", "doc", "body", "runs").mapInArrow(verdicts, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, text_sha256 string, gone array<struct<from: long, to: long>>").drop("doc")
+
+
+def cutter(column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, gone = batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            left = [t if not g else cut(t.encode(), [(x["from"], x["to"]) for x in g]).decode("utf-8", "ignore") for t, g in zip(text, gone)]
+            columns = batch.columns[:-1]
+            columns[column] = pa.array(left, batch.column(column).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return run
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with the removed bytes out of text; the same rows and columns. A null text stays null."""
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    gone = removals(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "gone").dropDuplicates(["_id", "_text"])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_own"), sha.alias("_sha"))
+    met = rows.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_text")), "left")
+    return met.select(*[F.col("_row")[c].alias(c) for c in docs.columns], F.col("gone").alias("_gone")).mapInArrow(cutter(docs.columns.index("text")), docs.schema)
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(table(spark, sf_dir, "documents")).drop("gone")
+    return removals(table(spark, sf_dir, "documents")).drop("gone", "text_sha256")

@@ -76,21 +76,58 @@ def test_suffix_array_is_sorted():
         assert suffix_array(s) == sorted(range(len(s) + 1), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_repeated_strings(spark, rows, hot):
-    count, expect = {}, []
-    bodies = [(i, (t or "").encode()) for i, t, _ in rows]
-    for _, b in bodies:
+def repeats(bodies):
+    """By brute force: (bytes, removed, spans, hash of the rest, words of passages of 51 words that another document has) of each."""
+    count, owners = {}, {}
+    for k, b in enumerate(bodies):
         for p in range(len(b) - 399):
             count[b[p : p + 400]] = count.get(b[p : p + 400], 0) + 1
-    for i, b in bodies:
+        w = b.lower().split()
+        for p in range(len(w) - 50):
+            owners.setdefault(tuple(w[p : p + 51]), set()).add(k)
+    for b in bodies:
         gone = {q for p in range(len(b) - 399) if count[b[p : p + 400]] > 1 for q in range(p, p + 400)}
         left = bytes(c for q, c in enumerate(b) if q not in gone)
-        expect.append((i, len(b), len(gone), sum(q - 1 not in gone for q in gone), hashlib.sha256(left).hexdigest()))
-    got = substring_dedup.removals(corpus(spark, rows), hot=hot).drop("gone").collect()
+        w = b.lower().split()
+        shared = {q for p in range(len(w) - 50) if len(owners[tuple(w[p : p + 51])]) > 1 for q in range(p, p + 51)}
+        yield len(b), len(gone), sum(q - 1 not in gone for q in gone), hashlib.sha256(left).hexdigest(), len(shared)
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeated_strings(spark, rows, hot):
+    r = random.Random(2)
+    passage = " ".join("".join(r.choice("abcd") for _ in range(3)) for _ in range(53))
+    more = [(400 + i, f"{rows[i][1][: 60 + i]} {passage.upper() if i == 3 else passage} {rows[24 - i][1][: 70 - i]}", "s") for i in range(8)]
+    more += [(410, "la " * 700, "s"), (411, f"{rows[12][1]} {rows[13][1]}", "s"), (412, rows[12][1][:420] + "?" + rows[12][1][421:], "s")]
+    rows = rows + more
+    bodies = [(t or "").encode() for _, t, _ in rows]
+    expect = [(i, *x) for (i, _, _), x in zip(rows, repeats(bodies))]
+    assert min(x[5] for x in expect[-11:-3]) >= 51 and expect[-3][5] == 0
+    got = substring_dedup.removals(corpus(spark, rows), hot=hot).drop("gone", "text_sha256").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expect))
 
 
+def test_repeated_bytes_are_cut_out_of_rows(spark, rows):
+    docs = corpus(spark, [*rows, (500, None, "s")])
+    out = substring_dedup.deduplicated(docs)
+    assert out.schema == docs.schema and out.count() == len(rows) + 1
+    bodies = {i: x for (i, _, _), x in zip(rows, repeats([(t or "").encode() for _, t, _ in rows]))}
+    for r in out.collect():
+        if r.doc_id not in (None, 500, 300, 304):
+            assert hashlib.sha256(r.text.encode()).hexdigest() == bodies[r.doc_id][3]
+    assert {r.text for r in out.where("doc_id in (300, 500)").collect()} == {None}
+
+
+def test_repeats_in_long_texts(spark):
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefgh ") for _ in range((2 << 20) + 900))
+    # A string that begins where one segment ends and the next begins, one within, and a text that is long for its one word.
+    docs = corpus(spark, [(1, long, "s"), (2, "x" * 300 + long[(2 << 20) - 250 : (2 << 20) + 200] + "y" * 300, "s"), (3, long[5000:5500], "s"), (4, "z" * 399, "s")])
+    got = {x.doc_id: x for x in substring_dedup.removals(docs).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (950, 2) and (got[2].n_removed, got[2].n_spans) == (450, 1)
+    assert (got[3].n_removed, got[4].n_removed) == (500, 0)
+
+
 def test_masks_fit_between_any_three_replaced_words():
     from itertools import combinations
 
