@@ -1,31 +1,44 @@
 """Resharding by minimum-cost flow.
 
 Old shards hold bytes, new shards have capacities. Documents are cut into blocks of an old shard
-by a hash; only block sizes (old shards x blocks, a bound set by parameters) reach the driver. A
+by a hash; only block sizes reach the driver, one number for each block of about BLOCK_ROWS rows. A
 minimum-cost flow from old sizes to new capacities, with cost 1 for each byte that changes shard
 and 0 for each that stays, says how many bytes of each old shard go where. Each old shard's blocks
 are laid end to end and cut at the flow's amounts, so only blocks at a cut are split, at the
 document whose middle lies beyond it.
 
-Law: ``bytes``. Shard sizes differ by at most the documents at the cuts.
+Law: ``bytes``. Shard sizes differ by at most the documents at the cuts. Equal texts are the groups
+that may be hot: under this law they can't have a shard in common, as a third of all rows would make
+one shard larger than the others; they are spread by their doc_ids.
 
-Nulls: a null text has size 1 and the CRC of no bytes; a null doc_id sorts first. Repeated rows are
-counted once and dealt out with consecutive slots. With fewer documents than shards some shards
-stay empty. An empty table gives an empty result. Further columns are ignored by assign() and kept
-by resharded(). Equal texts have no shard in common by law; a hot text is spread by its doc_ids.
+Slots: documents stand in hash order within their blocks, and the running number in the shard is
+multiplied with a number near 0.618 of the shard's rows that has no factor in common with them. So
+each slot is taken once, and rows that are alike, as mixing makes them, lie far apart.
+
+Places are found on slim rows (no texts); whole rows are shuffled once, by block, and get their places
+in passing.
+
+Nulls: a null text has size 1 and the CRC of no bytes; a null doc_id is a value of its own; a null old
+shard is shard 0. Repeated rows each have a slot; which of them has which goes by a hash of all their
+columns that aren't maps, so that retried tasks agree. With fewer documents than shards some shards
+stay empty. An empty table gives an empty result. Further columns are ignored by assign() and kept by
+resharded().
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import table, written
+from lexgrove.llm.common import discard, table, written
 
 SHARDS = 16
 OLD_SHARDS = 12
-BLOCKS = 256
+#: Rows of a block, about; blocks of an old shard at least.
+BLOCK_ROWS, LEAST_BLOCKS = 20_000, 16
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
@@ -91,84 +104,112 @@ def default_old_shard() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int")
 
 
-def assign(docs: DataFrame, old_shard: Column | None = None, capacities: list[float] | None = None, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot: one row for each document.
+def share(total: int, capacities: list[float]) -> list[int]:
+    whole = [int(total * c / sum(capacities)) for c in capacities]
+    for j in range(total - sum(whole)):
+        whole[j % len(whole)] += 1
+    return whole
 
-    capacities: relative; equal by default. old_shard: a small non-negative integer.
-    """
-    spark = docs.sparkSession
+
+KEY = ["_id", "_size", "_crc"]
+
+
+def keyed(docs: DataFrame, old_shard: Column | None, rows: bool) -> DataFrame:
+    """_id, _size, _crc, _old and _mark of each row; with rows, _row (all its columns) and _tie."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        (default_old_shard() if old_shard is None else old_shard).cast("int").alias("old"),
+    old = default_old_shard() if old_shard is None else old_shard
+    whole = [F.struct(*docs.columns).alias("_row"), F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t]).alias("_tie")] if rows else []
+    out = docs.select(
+        F.col("doc_id").cast("long").alias("_id"),
+        (F.octet_length(body) + 1).cast("long").alias("_size"),
+        F.crc32(body).alias("_crc"),
+        F.coalesce(old.cast("int"), F.lit(0)).alias("_old"),
+        *whole,
     )
-    keys = ["doc_id", "size", "text_crc32", "old"]
-    slim = slim.groupBy(keys).agg(F.count("*").alias("copies")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
-    slim = written(slim, "shards")
-    sizes = {(r.old, r.block): r.b for r in slim.groupBy("old", "block").agg(F.sum(F.col("size") * F.col("copies")).alias("b")).collect()}
+    return out.withColumn("_mark", F.xxhash64(*KEY))
+
+
+def placed(keys: DataFrame, blocks: int, cuts: list, ties: list[str]) -> DataFrame:
+    """keys with each row's new shard (_shard), its block and its running number there (_at). cuts: blocks and splits, one or two for each block."""
+    order = W.partitionBy("_old", "_block").orderBy("_mark", *KEY, *ties)
+    each = keys.withColumn("_block", F.pmod("_mark", F.lit(blocks)).cast("int"))
+    each = each.withColumns({"_before": F.sum("_size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_size"), "_at": F.row_number().over(order) - 1})
+    middle = F.col("_before") + F.floor(F.col("_size") / 2)
+    plan = keys.sparkSession.createDataFrame(cuts, "_old int, _block int, _shard int, _low long, _high long")
+    return each.join(F.broadcast(plan), ["_old", "_block"]).where((middle >= F.col("_low")) & (middle < F.col("_high"))).drop("_low", "_high", "_before", "_mark")
+
+
+def stride(n: int) -> int:
+    """A number near 0.618 n, small enough for the product, that has no factor in common with n."""
+    k = max(1, min(round(n * 0.6180339887), 1 << 31))
+    while math.gcd(k, n) != 1:
+        k -= 1
+    return k
+
+
+def with_places(docs: DataFrame, old_shard: Column | None, capacities: list[float] | None, shards: int, block_rows: int, rows: bool) -> DataFrame:
+    """The rows of keyed() with _shard and _slot."""
+    spark = docs.sparkSession
+    slim = written(keyed(docs, old_shard, False), "shards")
+    olds, count = slim.agg(F.max("_old"), F.count("*")).first()
+    blocks = max(LEAST_BLOCKS, -(-count // (block_rows * (1 + (olds or 0)))))
+    sizes = {(r._old, r._b): r.n for r in slim.groupBy("_old", F.pmod("_mark", F.lit(blocks)).cast("int").alias("_b")).agg(F.sum("_size").alias("n")).collect()}
     total = sum(sizes.values())
     wanted = even(total, shards) if capacities is None else share(total, capacities)
-    supply = [0] * (1 + max((o for o, _ in sizes), default=-1))
+    supply = [0] * (1 + (-1 if olds is None else olds))
     for (o, _), b in sizes.items():
         supply[o] += b
     cuts = block_cuts(sizes, min_cost_flow(supply, wanted))
-    placed = places(spark, slim, cuts)
+    found = placed(slim, blocks, cuts, [])
     first: dict[int, int] = {}
     offsets = []
-    for r in sorted(placed.groupBy("old", "block", "shard").agg(F.count("*").alias("n"), F.min("at").alias("least")).collect()):
-        offsets.append((r.old, r.block, r.shard, first.get(r.shard, 0) - r.least))
-        first[r.shard] = first.get(r.shard, 0) + r.n
-    moved = spark.createDataFrame(offsets, "old int, block int, shard int, add long")
-    return placed.join(F.broadcast(moved), ["old", "block", "shard"]).select("doc_id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", (F.col("at") + F.col("add")).cast("long").alias("slot"))
-
-
-def share(total: int, capacities: list[float]) -> list[int]:
-    whole = [int(total * c / sum(capacities)) for c in capacities]
-    for j in range(total - sum(whole)):
-        whole[j % len(whole)] += 1
-    return whole
-
-
-def places(spark: SparkSession, slim: DataFrame, cuts: list) -> DataFrame:
-    """Each copy with its new shard and its running number in the block. cuts: blocks and splits, bounded by parameters."""
-    order = W.partitionBy("old", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    each = slim.withColumns({"before": F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), zero), "rank": F.coalesce(F.sum("copies").over(order), zero)})
-    each = each.withColumn("copy", F.explode(F.sequence(zero, F.col("copies") - 1)))
-    middle = F.col("before") + F.col("copy") * F.col("size") + F.floor(F.col("size") / 2)
-    each = each.select("doc_id", "size", "text_crc32", "old", "block", middle.alias("middle"), (F.col("rank") + F.col("copy")).alias("at"))
-    plan = spark.createDataFrame(cuts, "old int, block int, shard int, low long, high long")
-    return each.join(F.broadcast(plan), ["old", "block"]).where((F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high"))).drop("middle", "low", "high")
+    for r in sorted(found.groupBy("_old", "_block", "_shard").agg(F.count("*").alias("n"), F.min("_at").alias("least")).collect()):
+        offsets.append((r._old, r._block, r._shard, first.get(r._shard, 0) - r.least))
+        first[r._shard] = first.get(r._shard, 0) + r.n
+    steps = [(*x, first[x[2]], stride(first[x[2]])) for x in offsets]
+    moved = spark.createDataFrame(steps, "_old int, _block int, _shard int, _add long, _n long, _stride long")
+    if rows:
+        found = placed(keyed(docs, old_shard, True), blocks, cuts, ["_tie"])
+        discard(slim)
+    out = found.join(F.broadcast(moved), ["_old", "_block", "_shard"])
+    return out.withColumn("_slot", F.pmod((F.col("_at") + F.col("_add")) * F.col("_stride"), F.col("_n")).cast("long"))
+
+
+def assign(docs: DataFrame, old_shard: Column | None = None, capacities: list[float] | None = None, shards: int = SHARDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, slot: one row for each document.
 
+    capacities: relative; equal by default. old_shard: a small non-negative integer.
+    """
+    out = with_places(docs, old_shard, capacities, shards, block_rows, False)
+    return out.select(*[F.col(a).alias(b) for a, b in (("_id", "doc_id"), ("_size", "size"), ("_crc", "text_crc32"), ("_old", "old_shard"), ("_shard", "shard"), ("_slot", "slot"))])
 
-def resharded(docs: DataFrame, **options) -> DataFrame:
-    """docs with the columns shard, slot and moved, whatever else it has; a document's copies share out its slots.
 
-    Columns of docs with these names are replaced.
-    """
-    own = [c for c in docs.columns if c not in ("shard", "slot", "moved")]
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    to = assign(docs, **options)
-    to = to.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot", (F.col("shard") != F.col("old_shard")).alias("moved"), F.row_number().over(W.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")).alias("_n"))
-    docs = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("_own_id"), F.crc32(body).alias("_own_crc"))
-    docs = docs.withColumn("_own_n", F.row_number().over(W.partitionBy("_own_id", "_own_crc").orderBy(F.lit(0))))
-    met = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_crc") == F.col("_crc")) & (F.col("_own_n") == F.col("_n"))
-    return docs.join(to, met).select("_row.*", "shard", "slot", "moved")
+def resharded(docs: DataFrame, old_shard: Column | None = None, capacities: list[float] | None = None, shards: int = SHARDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs with the columns shard, slot and moved, whatever else it has. Columns of docs with these names are replaced."""
+    out = with_places(docs, old_shard, capacities, shards, block_rows, True)
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot", "moved")]
+    return out.select(*own, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), (F.col("_shard") != F.col("_old")).alias("moved"))
 
 
-def rewrite(docs: DataFrame, path: str, **options) -> None:
-    """Rewrites the affected files below path/shard=N: the shards that give or take a document.
+def rewrite(docs: DataFrame, path: str, old_shard: Column | None = None, **options) -> None:
+    """Rewrites the affected files below path/shard=N: of the shards that give or take a document. docs may be read from path.
 
-    Shards with the same documents as before keep their files (dynamic partition overwrite).
+    All rows of these shards are first written to the shared folder, then take their partitions' places
+    (dynamic partition overwrite); at last the folders of shards that have lost all documents, which an
+    overwrite leaves as they are, are deleted. The other shards keep their files, and their slots in them.
     """
-    old = options.get("old_shard")
-    old = default_old_shard() if old is None else old
-    out = resharded(docs.withColumn("_old", old), **options)
-    moves = out.where("moved").groupBy("_old", "shard").agg(F.count("*"))
-    touched = {s for r in moves.collect() for s in (r[0], r[1])}
-    out.drop("_old", "moved").where(F.col("shard").isin(sorted(touched))).repartition("shard", F.pmod("slot", F.lit(64))).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = docs.sparkSession
+    old = F.coalesce((default_old_shard() if old_shard is None else old_shard).cast("int"), F.lit(0))
+    out = written(resharded(docs.withColumn("_was", old), old_shard=old, **options), "resharded")
+    pairs = out.groupBy("_was", "shard").agg(F.count("*")).collect()
+    touched = {s for was, now, _ in pairs if was != now for s in (was, now)}
+    rows = out.drop("_was", "moved").where(F.col("shard").isin(sorted(touched)))
+    rows.repartition("shard", F.pmod("slot", F.lit(64))).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for gone in sorted(touched - {now for _, now, _ in pairs}):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={gone}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.catalog.refreshByPath(path)
+    discard(out)
 
 
 def op10_digest(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Operators against brute force on small tables, and the cases their docstrings define."""
 
 import hashlib
+import itertools
 import random
 import re
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexgrove.llm import decontamination, exact_dedup, mixing, near_dedup, pii, shards, substring_dedup, tokens, toxicity
 from lexgrove.llm.suffixes import suffix_array
@@ -181,8 +184,58 @@ def test_shards_are_even_and_slots_gapless(spark, rows):
     for own in by.values():
         assert sorted(r.slot for r in own) == list(range(len(own)))
         assert sum(r["size"] for r in own) <= total / 16 + 2 * largest
-    assert sum(v for (i, j), v in shards.min_cost_flow([10, 0, 5], [5, 5, 5]).items() if i != j) == 5
-    assert shards.resharded(corpus(spark, rows)).count() == len(rows)
+    expect = sorted(repr((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))) for i, t, _ in rows)
+    assert sorted(repr((r.doc_id, r["size"], r.text_crc32)) for r in got) == expect
+    out = shards.resharded(corpus(spark, rows)).collect()
+    assert sorted(repr((r.doc_id, r.shard, r.slot)) for r in out) == sorted(repr((r.doc_id, r.shard, r.slot)) for r in got)
+
+
+def test_flow_moves_the_fewest_bytes():
+    def least(supply, capacity):
+        if not supply:
+            return 0
+        best = None
+        for parts in itertools.product(*[range(min(supply[0], c) + 1) for c in capacity]):
+            if sum(parts) == supply[0]:
+                rest = least(supply[1:], [c - p for c, p in zip(capacity, parts)])
+                if rest is not None:
+                    cost = sum(p for j, p in enumerate(parts) if j != len(SUPPLY) - len(supply)) + rest
+                    best = cost if best is None else min(best, cost)
+        return best
+
+    r = random.Random(9)
+    for _ in range(60):
+        SUPPLY = [r.randint(0, 4) for _ in range(r.randint(1, 3))]  # noqa: N806
+        capacity = shards.even(sum(SUPPLY), r.randint(1, 4))
+        flow = shards.min_cost_flow(SUPPLY, capacity)
+        assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(len(SUPPLY))] == SUPPLY
+        assert all(sum(v for (_, j), v in flow.items() if j == k) <= c for k, c in enumerate(capacity))
+        assert sum(v for (i, j), v in flow.items() if i != j) == least(SUPPLY, capacity)
+
+
+def test_copies_of_a_row_lie_apart(spark):
+    docs = corpus(spark, [(i // 4, f"text {i // 4}", "s") for i in range(4000)])
+    slots = {}
+    for r in shards.resharded(docs, shards=2).collect():
+        slots.setdefault((r.doc_id, r.shard), []).append(r.slot)
+    near = sum(b - a < 100 for s in slots.values() for a, b in zip(sorted(s), sorted(s)[1:]))
+    assert near == 0
+
+
+@pytest.mark.parametrize("old, new", [(4, 2), (2, 4)])
+def test_rewritten_shards_hold_each_row_once(spark, tmp_path, old, new):
+    path = str(tmp_path / "shards")
+    docs = corpus(spark, [(i, f"text {i}" * (i % 7), "s") for i in range(400)])
+    docs.withColumn("shard", F.col("doc_id") % old).withColumn("slot", F.lit(0)).write.partitionBy("shard").parquet(path)
+    before = spark.read.parquet(path)
+    shards.rewrite(before, path, old_shard=F.col("shard"), shards=new)
+    after = spark.read.parquet(path).collect()
+    assert sorted(r.doc_id for r in after) == list(range(400)) and {r.shard for r in after} == set(range(new))
+    for k in range(new):
+        own = [r.slot for r in after if r.shard == k]
+        assert sorted(own) == list(range(len(own)))
+    shards.rewrite(spark.read.parquet(path), path, old_shard=F.col("shard"), shards=new)
+    assert spark.read.parquet(path).count() == 400
 
 
 def test_mixing_draws_alike_and_leaves_out_weightless_sources(spark, rows):
