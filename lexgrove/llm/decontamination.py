@@ -1,18 +1,20 @@
 """Benchmark decontamination by spaced seeds.
 
 Words are runs of letters and digits, in lower case. A document is contaminated if 13 of its words in a
-row stand against 13 words of a benchmark item with at most 3 of them replaced (whole items of 8 to
-12 words: with none replaced; items of fewer words are no evidence and aren't searched).
+row stand against 13 words of a benchmark item with at most 3 of them replaced. An item of fewer words
+counts as a whole: of 9 to 12 words with at most 2 replaced, of 8 with 1, of fewer with none.
 
-Seeds are fixed masks that look at six word positions and ignore those between. Six masks suffice: for
-any 3 of 13 positions there is a mask that fits into the window without looking at them (tested), so
-no such overlap is missed. Hashes of the masked words of documents are looked up among those of the
-benchmark, and each hit is verified on the words around it, by counting matches over all windows of
-its alignment.
+Seeds are fixed masks that look at some word positions and ignore those between. For 13 words six masks
+suffice: for any 3 of 13 positions there is a mask that fits into the window without looking at them
+(tested), so no such overlap is missed. A short item is cut into one part more than words may be
+replaced; each of its masks looks at one part, and one part is whole. Hashes of the masked words of
+documents are looked up among those of the benchmark, and each hit is verified on the words around it,
+by counting matches over all windows of its alignment.
 
-The benchmark goes to the executors in lots of at most LOT items, of a size that is checked by
-counting: a benchmark of any size is searched lot by lot against all documents, and an item of any
-length is cut into overlapping pieces. The documents aren't shuffled.
+The benchmark goes to the executors in lots of at most LOT_WORDS words and a piece: a benchmark of any
+size is searched lot by lot against all documents, and an item of any length is cut into overlapping
+pieces of PIECE words. The documents aren't shuffled. Places where one word is repeated are taken
+together, so a text of one word costs its alignments, not all pairs of places.
 
 Nulls: null and empty texts, of documents or items, hold no words and never match. A null doc_id or
 item_id is kept. Repeated rows are each reported. An empty benchmark contaminates nothing; an empty
@@ -34,9 +36,12 @@ from pyspark.sql import functions as F
 from lexgrove.llm.common import id_text, table, texts
 from lexgrove.llm.near_dedup import mixed
 
-WINDOW, REPLACED, LEAST = 13, 3, 8
+WINDOW, REPLACED = 13, 3
 MASKS = ("11010111", "1110010011", "1101111", "11010001101", "1111101", "111001011")
-LOT, PIECE = 20_000, 4_096
+#: Words of a lot, which takes 112 bytes a word; words of a piece.
+LOT_WORDS, PIECE = 1 << 20, 4_096
+#: Hits that are turned into alignments at once.
+HITS_AT_ONCE = 1 << 20
 WORD = re.compile(r"[^\W_]+")
 REMEMBERED = 300_000
 
@@ -73,6 +78,20 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return mixed(x)
 
 
+def replaceable(size: int) -> int:
+    """How many words of a window of an item may be replaced."""
+    return REPLACED if size >= WINDOW else 2 if size >= 9 else 1 if size == 8 else 0
+
+
+def masks_for(size: int) -> tuple[str, ...]:
+    """The masks for items of so many words."""
+    if size >= WINDOW:
+        return MASKS
+    parts = replaceable(size) + 1
+    edges = [size * k // parts for k in range(parts + 1)]
+    return tuple("0" * a + "1" * (b - a) + "0" * (size - b) for a, b in zip(edges, edges[1:]))
+
+
 @dataclass
 class Lot:
     """Items' words end to end, and for each mask the sorted seed hashes with their places."""
@@ -93,38 +112,51 @@ class Lot:
         begins = ends - sizes
         words = np.concatenate([*items, np.empty(0, np.uint64)])
         item_of = np.repeat(np.arange(len(items)), sizes)
-        short = sorted({len(h) for h in items if LEAST <= len(h) < WINDOW})
-        masks = [*MASKS, *("1" * n for n in short)]
+        by_mask: dict[str, list[int]] = {}
+        for k, h in enumerate(items):
+            for mask in masks_for(len(h)) if len(h) else ():
+                by_mask.setdefault(mask, []).append(k)
         hashes, places = [], []
         sieve = np.zeros(1 << FILTER_BITS, bool)
-        for mask in masks:
-            hs, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for h, b in zip(items, begins):
-                if len(h) >= WINDOW if mask in MASKS else len(h) == len(mask):
-                    x = seeds(h, mask)
-                    hs.append(x)
-                    at.append(np.arange(len(x)) + b)
-            x, y = np.concatenate(hs), np.concatenate(at)
+        for mask, own in by_mask.items():
+            seeded = [seeds(items[k], mask) for k in own]
+            x = np.concatenate(seeded)
+            y = np.concatenate([np.arange(len(h)) + begins[k] for h, k in zip(seeded, own)])
             order = np.argsort(x, kind="stable")
             hashes.append(x[order])
             places.append(y[order])
             sieve[x >> np.uint64(64 - FILTER_BITS)] = True
-        return Lot(words, item_of, begins, ends, masks, hashes, places, sieve)
+        return Lot(words, item_of, begins, ends, list(by_mask), hashes, places, sieve)
 
-    def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, first word, last word + 1, most matches in a window) of each alignment that counts."""
-        diagonals: set[tuple[int, int]] = set()
+    def alignments(self, h: np.ndarray) -> np.ndarray:
+        """(item, shift of its first word in the document) of all seeds met, sorted."""
+        spans = np.empty((0, 3), np.int64)
         for mask, known, places in zip(self.masks, self.hashes, self.places):
             x = seeds(h, mask)
             maybe = np.flatnonzero(self.sieve[x >> np.uint64(64 - FILTER_BITS)])
-            if not len(maybe) or not len(known):
+            if not len(maybe):
                 continue
-            lo, hi = np.searchsorted(known, x[maybe]), np.searchsorted(known, x[maybe], "right")
-            for i in np.flatnonzero(hi > lo):
-                for place in places[lo[i] : hi[i]].tolist():
-                    diagonals.add((int(self.item_of[place]), int(maybe[i]) - (place - int(self.begins[self.item_of[place]]))))
+            # Neighbouring places with one hash are one hit, of shifts in a row.
+            first = np.flatnonzero(np.append(True, (np.diff(maybe) != 1) | (x[maybe[1:]] != x[maybe[:-1]])))
+            last = maybe[np.append(first[1:], len(maybe)) - 1]
+            first = maybe[first]
+            lo, hi = np.searchsorted(known, x[first]), np.searchsorted(known, x[first], "right")
+            ends = np.cumsum(hi - lo)
+            for done in range(0, int(ends[-1]), HITS_AT_ONCE):
+                each = np.arange(done, min(done + HITS_AT_ONCE, int(ends[-1])))
+                run = np.searchsorted(ends, each, "right")
+                place = places[each - ends[run] + hi[run]]
+                item = self.item_of[place]
+                at = place - self.begins[item]
+                spans = joined(np.concatenate([spans, np.stack([item, first[run] - at, last[run] - at], 1)]))
+        if not len(spans):
+            return np.empty((0, 2), np.int64)
+        return np.concatenate([np.stack([np.full(b - a + 1, i), np.arange(a, b + 1)], 1) for i, a, b in spans])
+
+    def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, first word, last word + 1, most matches in a window) of each alignment that counts."""
         out = []
-        for item, shift in sorted(diagonals):
+        for item, shift in self.alignments(h).tolist():
             b, e = int(self.begins[item]), int(self.ends[item])
             first, last = max(0, shift), min(len(h), shift + e - b)
             size = min(WINDOW, e - b)
@@ -133,30 +165,42 @@ class Lot:
             same = (h[first:last] == self.words[b + first - shift : b + last - shift]).astype(np.int64)
             total = np.cumsum(np.concatenate([[0], same]))
             windows = total[size:] - total[:-size]
-            good = np.flatnonzero(windows >= (size - REPLACED if size == WINDOW else size))
+            good = np.flatnonzero(windows >= size - replaceable(e - b))
             if len(good):
                 out.append((item, first + int(good[0]), first + int(good[-1]) + size, int(windows.max())))
         return out
 
 
-def lots(benchmark: DataFrame, most: int = LOT) -> Iterator[tuple[list, Lot]]:
-    """Item ids and their Lot, for at most `most` pieces of items at a time."""
+def joined(spans: np.ndarray) -> np.ndarray:
+    """(item, first, last) of shifts, sorted, with what overlaps or touches made one."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    if not len(spans):
+        return spans
+    # Shifts of one item never reach those of the next, as each item has a stretch of its own.
+    base = spans[:, 0] * (1 << 40)
+    reach = np.maximum.accumulate(base + spans[:, 2])
+    new = np.append(True, base[1:] + spans[1:, 1] > reach[:-1] + 1)
+    at = np.flatnonzero(new)
+    last = reach[np.append(at[1:], len(spans)) - 1]
+    return np.stack([spans[at, 0], spans[at, 1], last - base[at]], 1)
+
+
+def lots(benchmark: DataFrame, most: int = LOT_WORDS) -> Iterator[tuple[list, Lot]]:
+    """Item ids and their Lot, for pieces of items of about `most` words at a time; one partition of the benchmark is on the driver at once."""
     items = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = max(1, -(-items.count() // (most // 2)))
-    for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        ids, pieces = [], []
-        for r in part.toLocalIterator():
-            h = word_hashes(r.text.encode("utf-8", "surrogatepass"))
-            for i in range(0, max(1, len(h) - WINDOW + 1), PIECE):
-                if len(h) >= LEAST:
-                    ids.append(r.item_id)
-                    pieces.append(h[i : i + PIECE + WINDOW - 1])
-            if len(pieces) >= most:
+    ids, pieces, held = [], [], 0
+    for r in items.toLocalIterator():
+        h = word_hashes(r.text.encode("utf-8", "surrogatepass"))
+        for i in range(0, max(1, len(h) - WINDOW + 1), PIECE):
+            if len(h):
+                ids.append(r.item_id)
+                pieces.append(h[i : i + PIECE + WINDOW - 1])
+                held += len(pieces[-1])
+            if held >= most:
                 yield ids, Lot.of(pieces)
-                ids, pieces = [], []
-        if pieces:
-            yield ids, Lot.of(pieces)
+                ids, pieces, held = [], [], 0
+    if pieces:
+        yield ids, Lot.of(pieces)
 
 
 def searcher(shared):
@@ -175,7 +219,7 @@ def searcher(shared):
 HITS = "doc_id long, hits array<struct<item: long, first: long, last: long, matches: long>>"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, most: int = LOT) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, most: int = LOT_WORDS) -> DataFrame:
     """doc_id, item_id, first_word, last_word (exclusive), matches: an overlap of a document with an item, by alignment."""
     spark, docs, out = docs.sparkSession, id_text(docs), None
     for ids, lot in lots(benchmark, most):
@@ -198,7 +242,7 @@ def flagger(shared, column: int):
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, most: int = LOT) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, most: int = LOT_WORDS) -> DataFrame:
     """docs without the contaminated ones; the same columns. Lots filter one after another, without a shuffle."""
     for _, lot in lots(benchmark, most):
         docs = docs.mapInArrow(flagger(docs.sparkSession.sparkContext.broadcast(lot), docs.columns.index("text")), docs.schema)

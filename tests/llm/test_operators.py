@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -151,6 +152,42 @@ def test_decontamination_tolerates_three_replaced_words(spark):
     assert decontamination.decontaminated(docs, bench.limit(0)).count() == 5
 
 
+def test_decontamination_against_all_alignments(spark):
+    """Short and long items, several lots, repeated words: every alignment of every item with every text."""
+    r = random.Random(6)
+    word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz") * 2
+    items = [[word() for _ in range(n)] for n in (*range(1, 16), 30, 60) for _ in range(2)] + [["ho"] * 20, ["ho", "hi"] * 9, []]
+    texts = []
+    for k in range(60):
+        t = list(r.choice(items))
+        for _ in range(r.randint(0, 4)):
+            if t:
+                t[r.randrange(len(t))] = word()
+        texts.append([word() for _ in range(r.randint(0, 9))] + t[r.randint(0, 2) :] + [word() for _ in range(r.randint(0, 9))])
+    texts += [["ho"] * 50, ["ho", "hi"] * 30, []]
+
+    def hit(text, item):
+        size = min(13, len(item))
+        allowed = {13: 3, 12: 2, 11: 2, 10: 2, 9: 2, 8: 1}.get(size, 0)
+        return size > 0 and any(sum(x != y for x, y in zip(text[a : a + size], item[b : b + size])) <= allowed for a in range(len(text) - size + 1) for b in range(len(item) - size + 1))
+
+    expect = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if hit(t, item)}
+    docs = corpus(spark, [(i, " ".join(t).title(), "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(j, ", ".join(t), "clash") for j, t in enumerate(items)], "item_id long, text string, doc_id string")
+    for most in (1 << 20, 50):
+        got = decontamination.matches(docs, bench, most)
+        assert {(x.doc_id, x.item_id) for x in got.collect()} == expect
+        kept = decontamination.decontaminated(docs, bench, most)
+        assert sorted(x.doc_id for x in kept.collect()) == sorted(set(range(len(texts))) - {i for i, _ in expect})
+
+
+def test_decontamination_of_a_text_of_one_word():
+    h = decontamination.word_hashes(b"la " * 20_000)
+    began = time.time()
+    assert len(decontamination.Lot.of([h[:400]]).overlaps(h)) == 20_000 - 13 + 400 - 13 + 1
+    assert time.time() - began < 10
+
+
 def test_token_counts_equal_the_library():
     sentencepiece = pytest.importorskip("sentencepiece")
     path = tokens.model_path()
