@@ -4,7 +4,8 @@ A source's target repetition rate is its target share of the output divided by i
 input, times the output's size relative to the input's. A document is repeated as often as a
 Poisson variable with that mean says; the variable comes from inverting its distribution at a
 uniform number hashed from seed and doc_id, so reruns and lost tasks give the same copies. Copies
-are dealt out in the order of a hash over the whole output.
+are dealt out in the order of a hash over the whole output. The sources' tables are broadcast once
+their size has been counted, so whole rows are shuffled only once, into that order.
 
 Production weights: each source counts with the square root of its documents (tempering), and the
 output is as large as the input. A rate below 1 drops documents by chance: that is the method.
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import table
+from lexgrove.llm.common import table, written
 
 SEED = "mix-1"
+#: Bytes of the sources' tables up to which they are broadcast; beyond, rows are joined by source in a shuffle.
+BROADCAST = 32 << 20
 OWN = ("copy", "n_copies", "shuffle_key")
 
 
@@ -65,8 +68,10 @@ def uniform(seed: str):
 def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs, each row as often as drawn, with copy (from 0), n_copies and shuffle_key; in no order."""
     docs = docs.drop(*OWN)
+    tables = written(inverse_tables(source_rates(docs, weights, size)), "poisson")
+    held = tables.agg(F.coalesce(F.sum(F.octet_length("_group") + 8 * F.size("cdf") + 64), F.lit(0))).first()[0]
     drawn = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", group_key().alias("_group"), uniform(seed).alias("_u"))
-    drawn = drawn.join(inverse_tables(source_rates(docs, weights, size)), "_group")
+    drawn = drawn.join(F.broadcast(tables) if held <= BROADCAST else tables.hint("merge"), "_group")
     n = F.size(F.filter("cdf", lambda c: c <= F.col("_u"))).cast("long")
     drawn = drawn.withColumn("n_copies", n).where("n_copies > 0").drop("cdf", "_group", "_u")
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
@@ -76,7 +81,9 @@ def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The replicated documents in their shuffled order, which holds over all partitions."""
-    return replicated(docs, **options).orderBy("shuffle_key")
+    rows = replicated(docs, **options)
+    # Rows that repeat a doc_id have equal keys; a hash of all their columns puts them in an order that reruns keep.
+    return rows.orderBy("shuffle_key", F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
