@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm import decontamination, mixing, near_dedup, shards, toxicity
-from lexgrove.llm.common import table, written
+from lexgrove.llm.common import discard, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as drawn for its source's target weight, in shuffled order."""
+    """Each document as often as drawn for its source's target weight, in shuffled order. deal_shards() deals slots in an order of its own that keeps copies apart."""
     return mixing.mixed(docs).select(*docs.columns)
 
 
@@ -54,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and reread by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder, reread by the next, and deleted after it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
