@@ -14,9 +14,15 @@ a transducer over characters:
 States are numbered as they are met (lazy determinisation); a transition is annotated with the
 tokens that it emits, which may be negative when a merge takes some back. No piece has a space after
 another character, and a character outside the pieces falls back to its bytes and joins nothing: at
-both the automaton returns to its start, however it came there. A chunk of text thus maps an entry
-state to (tokens emitted, exit state) by a short head that depends on the entry and a remainder that
-doesn't. Such maps compose associatively; chunks of a text compose by a parallel prefix scan.
+both the automaton returns to its start, however it came there.
+
+A text is cut into chunks of CHUNK characters, wherever that is. A chunk's map takes an entry state to
+(tokens emitted, exit state); it is built without knowing what precedes the chunk, and remembers the
+entries it has been asked for. Within the chunk all entries soon meet: where the automaton returns to
+its start, or else at the first of the marks, every 64 characters, at which a run is in the state of
+the run from the start. Maps compose associatively, and a text's chunks are composed by a prefix scan
+by doubling, SCANNED maps at a time, so memory is that of the text and of these maps. All chunks of a
+text, which is one row, are counted in one task.
 
 Counts equal the library's encoding of the whole text, without begin and end tokens; strings of
 special tokens are ordinary text; the dummy prefix is the model's.
@@ -39,7 +45,8 @@ from lexgrove.llm.common import id_text, table, texts
 
 SPACE = "▁"
 LIMIT = 4096
-CHUNK = 1 << 14
+#: Characters of a chunk, and between the marks of one in which the automaton never returns to its start; maps scanned at once.
+CHUNK, MARK, SCANNED = 1 << 14, 64, 64
 #: States and remembered words before the tables are emptied; results don't depend on them.
 MOST_STATES, MOST_WORDS = 200_000, 800_000
 #: Each piece begins where the automaton is at its start, whatever came before: after a line feed, at a space after another character.
@@ -186,17 +193,28 @@ class Transducer:
         """Tokens from start over a piece of WORD; what follows is again at the start."""
         return self.free[text] if text[:1] != SPACE else self.spaced[text[1:]]
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        """The map of a chunk: head up to the first word that begins within it, words, and the last word, left open."""
+    def renewed(self, state: dict) -> dict:
+        """The state in emptied tables, if they have grown too large."""
+        if len(self.states) <= MOST_STATES:
+            return state
+        self.states.clear()
+        self.start = self._state(((0, "", 0),))
+        return self._state(state[""])
+
+    def parts(self, chunk: str) -> tuple[str, int, str | None]:
+        """A chunk's text up to the first word that begins within it, the tokens of the words after it, and the last word, left open.
+
+        The last is None if no word begins within.
+        """
         if SPACE + SPACE in chunk or chunk[-1:] in (SPACE, "\n"):
             pieces = WORD.findall(chunk)
             if len(pieces) < 2:
-                return ChunkMap(chunk, None, "")
-            return ChunkMap(pieces[0], sum(map(self.word, pieces[1:-1])), pieces[-1])
+                return chunk, 0, None
+            return pieces[0], sum(map(self.word, pieces[1:-1])), pieces[-1]
         lines = [line.split(SPACE) for line in chunk.split("\n")]
         first = lines[0]
         if len(lines) == 1 and len(first) < (3 if first[0] == "" else 2):
-            return ChunkMap(chunk, None, "")
+            return chunk, 0, None
         # A space that begins the chunk may go on a run of spaces, so its word belongs to the head.
         head, taken = (SPACE + first[1], 2) if first[0] == "" and len(first) > 1 else (first[0], 1)
         last = lines[-1]
@@ -205,35 +223,86 @@ class Transducer:
         inner = sum(map(spaced, first[taken:]))
         for line in lines[1:]:
             inner += 1 + (free(line[0]) + sum(map(spaced, line[1:])) if line else 0)
-        return ChunkMap(head, inner, tail)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.inner is None:
-            if b.inner is not None and (joined := WORD.findall(a.head + b.head)) and len(joined) > 1:
-                return ChunkMap(joined[0], sum(map(self.word, joined[1:])) + b.inner, b.tail)
-            if b.inner is not None:
-                return ChunkMap(a.head + b.head, b.inner, b.tail)
-            return ChunkMap(a.head + b.head, None, "") if len(WORD.findall(a.head + b.head)) < 2 else self.chunk_map(a.head + b.head)
-        middle = WORD.findall(a.tail + b.head)
-        if b.inner is None:
-            return ChunkMap(a.head, a.inner + sum(map(self.word, middle[:-1])), middle[-1] if middle else a.tail)
-        return ChunkMap(a.head, a.inner + sum(map(self.word, middle)) + b.inner, b.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
+        return head, inner, tail
+
+    def scan(self, maps: list[ChunkMap | Composed]) -> list[ChunkMap | Composed]:
         """Inclusive prefix scan by doubling: each round composes all maps with the one `reach` before, each for itself."""
         reach = 1
         while reach < len(maps):
-            maps = [m if i < reach else self.compose(maps[i - reach], m) for i, m in enumerate(maps)]
+            maps = [m if i < reach else Composed(maps[i - reach], m) for i, m in enumerate(maps)]
             reach *= 2
         return maps
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        text = self.prefix + text.replace(" ", SPACE)
-        chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
-        whole = self.scan([self.chunk_map(c) for c in chunks])[-1]
-        return self.word(whole.head) + (whole.inner or 0) + (self.word(whole.tail) if whole.tail else 0)
+        if len(text) <= CHUNK:
+            head, inner, tail = self.parts(self.prefix + text.replace(" ", SPACE))
+            return self.word(head) + inner + (self.word(tail) if tail else 0)
+        state, total = self.start, 0
+        for at in range(0, len(text), CHUNK * SCANNED):
+            chunks = [text[i : i + CHUNK].replace(" ", SPACE) for i in range(at, min(len(text), at + CHUNK * SCANNED), CHUNK)]
+            if not at:
+                chunks[0] = self.prefix + chunks[0]
+            tokens, state = self.scan([ChunkMap(self, c) for c in chunks])[-1](state)
+            total += tokens
+            state = self.renewed(state)
+        return total
+
+
+class ChunkMap:
+    """Entry state -> (tokens, exit state) of one chunk."""
+
+    def __init__(self, machine: Transducer, chunk: str) -> None:
+        self.machine, self.known = machine, {}
+        self.head, inner, tail = machine.parts(chunk)
+        self.marks: list[tuple[dict, int]] = []
+        if tail is None:
+            state, total = machine.start, 0
+            for i in range(0, len(chunk), MARK):
+                state, n = machine.run(state, chunk[i : i + MARK])
+                total += n
+                self.marks.append((state, total))
+            self.known[machine.start[""]] = total, state
+        else:
+            self.exit, n = machine.run(machine.start, tail)
+            self.rest = inner + n
+            self.known[machine.start[""]] = machine.word(self.head) + self.rest, self.exit
+
+    def __call__(self, entry: dict) -> tuple[int, dict]:
+        found = self.known.get(entry[""])
+        if found is None:
+            found = self.known[entry[""]] = self._from(entry)
+        return found
+
+    def _from(self, entry: dict) -> tuple[int, dict]:
+        if not self.marks:
+            return self.machine.run(entry, self.head)[1] + self.rest, self.exit
+        state, total = entry, 0
+        for k, (met, upto) in enumerate(self.marks):
+            state, n = self.machine.run(state, self.head[k * MARK : (k + 1) * MARK])
+            total += n
+            if state is met:
+                return total + self.marks[-1][1] - upto, self.marks[-1][0]
+        return total, state
+
+
+class Composed:
+    """The map of two neighbours: known for the entries that the first one knows, worked out for others."""
+
+    def __init__(self, a: ChunkMap | Composed, b: ChunkMap | Composed) -> None:
+        self.a, self.b = a, b
+        self.known = {e: self._after(*found) for e, found in a.known.items()}
+
+    def _after(self, tokens: int, state: dict) -> tuple[int, dict]:
+        more, state = self.b(state)
+        return tokens + more, state
+
+    def __call__(self, entry: dict) -> tuple[int, dict]:
+        found = self.known.get(entry[""])
+        if found is None:
+            found = self.known[entry[""]] = self._after(*self.a(entry))
+        return found
 
 
 class Remembered(dict):
@@ -255,16 +324,6 @@ class Remembered(dict):
         return n
 
 
-class ChunkMap:
-    """Entry state -> (tokens, exit state), symbolically: head is read from the entry state; inner tokens follow whatever it
-    was; tail is read from the start and is the exit state. inner None: no word begins within, all of it is head."""
-
-    __slots__ = ("head", "inner", "tail")
-
-    def __init__(self, head: str, inner: int | None, tail: str) -> None:
-        self.head, self.inner, self.tail = head, inner, tail
-
-
 @functools.lru_cache(4)
 def compiled(path: str) -> Transducer:
     return Transducer(path)

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import pytest
@@ -195,10 +196,48 @@ def test_token_counts_equal_the_library():
     r = random.Random(5)
     cases = ["", " ", "<s> x </s>", "a\n\nb", "x" * 300, " " * 70 + "a", "é😀\x00▁b"]
     cases += ["".join(r.choice("aabcdeinrst  ▁\nÉ😀THE.,1") for _ in range(r.randint(0, 80))) for _ in range(400)]
-    for chunk in (5, 1 << 14):
-        old, tokens.CHUNK = tokens.CHUNK, chunk
+    cases += ["".join(r.choice("abcdehilnoprst") for _ in range(3000)), "the" * 900]
+    for chunk, mark, scanned in ((5, 2, 3), (70, 64, 64), (1 << 14, 64, 64)):
+        old = tokens.CHUNK, tokens.MARK, tokens.SCANNED
+        tokens.CHUNK, tokens.MARK, tokens.SCANNED = chunk, mark, scanned
         assert [machine.count(t) for t in cases] == [len(x) for x in lib.encode(cases)]
-        tokens.CHUNK = old
+        tokens.CHUNK, tokens.MARK, tokens.SCANNED = old
+
+
+def test_chunk_maps_hold_for_every_entry():
+    machine = tokens.Transducer(tokens.model_path())
+    before, chunk, after = "unbelie", "vabletheoryofeverything" * 30, "and more"
+    entry, n = machine.run(machine.start, before)
+    maps = [tokens.ChunkMap(machine, x) for x in (chunk, after.replace(" ", tokens.SPACE))]
+    whole = machine.run(machine.start, before + chunk + after.replace(" ", tokens.SPACE))
+    for m in (tokens.Composed(*maps), machine.scan(maps)[-1]):
+        got = m(entry)
+        assert (n + got[0], got[1]) == (whole[1], whole[0])
+
+
+def test_tokens_of_a_long_text_without_spaces():
+    """Time and memory grow with the text, not with its square."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    machine = tokens.Transducer(tokens.model_path())
+    r = random.Random(8)
+    part = "".join(r.choice("abcdehilnoprst") for _ in range(50_000))
+    assert machine.count(part) == len(sentencepiece.SentencePieceProcessor(model_file=tokens.model_path()).encode(part))
+    took = []
+    for n in (40, 160):
+        text = part * n
+        began = time.time()
+        tracemalloc.start() if n == 160 else None
+        machine.count(text[:2_000_000] if n == 40 else text[:8_000_000])
+        took.append(time.time() - began)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_token_counts_of_nulls_and_repeats(spark):
+    docs = corpus(spark, [(None, "two words", "s"), (1, None, "s"), (2, "", "s"), (3, "two words", "s"), (3, "two words", "s")]).withColumn("n_tokens", F.lit(-1))
+    got = sorted(repr(tuple(x)) for x in tokens.token_counts(docs).collect())
+    n = tokens.Transducer(tokens.model_path()).count("two words")
+    assert got == sorted(map(repr, [(None, 9, n, False), (1, 0, 0, False), (2, 0, 0, False), (3, 9, n, False), (3, 9, n, False)]))
 
 
 def test_personal_data(spark):
