@@ -9,7 +9,8 @@ same feature expressions; they are then a CASE expression, so that scoring stays
 
 Positions are code points, ends exclusive: a pattern's matches and the pieces between them give them
 by running lengths. Patterns are possessive, and start only where a longer match can't have begun, so
-their time is linear in the text.
+their time is linear in the text. Arrays of matches are gone through in parts of PART, whose running
+totals are worked out first: k matches take PART * k + (k / PART)^2 steps, not k^2.
 
 Nulls: a null text is empty and has no spans; a null doc_id is kept; repeated rows are each scanned;
 an empty table gives an empty result. Spans of one kind never overlap; an added span never overlaps a
@@ -50,6 +51,8 @@ MORE = {
 }
 MORE_NEEDS = {"email": r"(?i)[(\[{]at[)\]}]|\x20at\x20|[(\[{]dot[)\]}]|\x20dot\x20", "ip": [":"], "phone": "[0-9]"}
 CONTEXT = 24
+#: Elements of a part of an array, and characters of a part of a text.
+PART, STRETCH = 128, 4096
 #: Share of right spans above a kind's threshold, on templates the trees haven't seen.
 PRECISION = 0.97
 WORDS = {
@@ -62,24 +65,62 @@ WORDS = {
 FEATURES = ("kind", "digits", "length", "groups", "longest", "check", "paren", "double_zero", "word", "other", "before", "date_like", "letters")
 
 
-def spans(text: Column, pattern: str, needs: str | list[str]) -> Column:
-    """array<struct<start, end, match>> of a pattern's matches."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def emptied(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def pieces(text: Column, pattern: str, needs: str | list[str]) -> Column:
+    """array<struct<between, match>>: a pattern's matches, each with the text before it. Keep it in a column: spans() reads it often."""
     between = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)").alias("all"))
+    pairs = F.filter(F.arrays_zip(between.alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")), lambda x: x["match"].isNotNull())
+    gate = text.rlike(needs) if isinstance(needs, str) else functools.reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in needs])
+    return F.when(gate & text.rlike(pattern), pairs).otherwise(emptied("struct<between: string, match: string>"))
+
+
+def in_parts(items: Column, total, combined, start, step, kind: str) -> Column:
+    """The arrays that step adds up, over all items in order, one after another.
+
+    total(item): a number; combined(a, b): joins totals, which begin with 0; start(k, before): the
+    accumulator of the part after k items with the total `before`, a struct with the array `all`.
+    """
+    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))
+    part = lambda k: F.slice(items, k * PART + 1, PART)
+    sums = F.transform(parts, lambda k: F.aggregate(part(k), F.lit(0), lambda a, x: combined(a, total(x))))
+    running = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(combined(F.element_at(a, -1), n))))
+    each = F.transform(F.arrays_zip(parts.alias("k"), running.alias("before")), lambda p: F.aggregate(part(p["k"]), start(p["k"] * PART, p["before"]), step, lambda acc: acc["all"]))
+    # The last running total has no part.
+    return F.when(F.size(items) > 0, F.flatten(F.filter(each, lambda x: x.isNotNull()))).otherwise(emptied(kind))
+
+
+SPAN = "struct<start: int, end: int, match: string, left: string>"
+
+
+def spans(pairs: Column) -> Column:
+    """array<struct<start, end, match, left>> of what pieces() gives; left is the CONTEXT characters before it."""
+    joined = lambda x: F.concat(x["between"], x["match"])
+    tail = lambda c: F.substring(c, -CONTEXT, CONTEXT)
+
+    def start(k: Column, before: Column) -> Column:
+        # No match is empty, so as many pieces as CONTEXT has characters hold the context.
+        left = F.when(k > 0, tail(F.array_join(F.transform(F.slice(pairs, F.greatest(k - CONTEXT + 1, F.lit(1)), CONTEXT), joined), ""))).otherwise("")
+        return F.struct(before.alias("at"), left.alias("left"), emptied(SPAN).alias("all"))
 
     def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["between"])
-        end = start + F.length(pair["match"])
-        item = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(item)).alias("all"))
-
-    pairs = F.filter(F.arrays_zip(between.alias("between"), matches.alias("match")), lambda x: x["match"].isNotNull())
-    out = F.aggregate(pairs, first, add, lambda acc: acc["all"])
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)")
-    gate = text.rlike(needs) if isinstance(needs, str) else functools.reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in needs])
-    ok = gate & text.rlike(pattern)
-    return F.when(ok, out).otherwise(empty)
+        begin = acc["at"] + F.length(pair["between"])
+        end = begin + F.length(pair["match"])
+        left = tail(F.concat(acc["left"], pair["between"]))
+        item = F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match"), left.alias("left"))
+        return F.struct(end.alias("at"), tail(F.concat(left, pair["match"])).alias("left"), F.concat(acc["all"], F.array(item)).alias("all"))
+
+    return in_parts(pairs, lambda x: F.length(x["between"]) + F.length(x["match"]), lambda a, b: a + b, start, add, SPAN)
+
+
+def stretches(spans_: Column) -> Column:
+    """Parts of an array of spans in order of their starts, each with its least start and largest end."""
+    parts = F.sequence(F.lit(0), F.floor((F.size(spans_) - 1) / PART).cast("int"))
+    each = F.transform(parts, lambda k: F.slice(spans_, k * PART + 1, PART))
+    each = F.transform(each, lambda x: F.struct(x[0]["start"].alias("low"), F.array_max(F.transform(x, lambda s: s["end"])).alias("high"), x.alias("spans")))
+    return F.when(F.size(spans_) > 0, each).otherwise(emptied("struct<low: int, high: int, spans: array<struct<start: int, rank: int, end: int>>>"))
 
 
 def digits(s: Column) -> Column:
@@ -245,17 +286,19 @@ def with_spans(docs: DataFrame, model: tuple | None = None) -> DataFrame:
     """docs, whose text isn't null, with the columns base and all."""
     base, trees, cuts = model or _model(docs.sparkSession.sparkContext.applicationId)
     own, text = docs.columns, F.col("text")
-    docs = docs.withColumns({f"_b_{k}": spans(text, BASE[k], NEEDS[k]) for k in KINDS} | {f"_m_{k}": spans(text, MORE[k], MORE_NEEDS[k]) for k in KINDS if k != "card"})
+    docs = docs.withColumns({f"_pb_{k}": pieces(text, BASE[k], NEEDS[k]) for k in KINDS} | {f"_pm_{k}": pieces(text, MORE[k], MORE_NEEDS[k]) for k in KINDS if k != "card"})
+    docs = docs.withColumns({f"_{c}": spans(F.col(f"_p{c}")) for c in [*(f"b_{k}" for k in KINDS), *(f"m_{k}" for k in KINDS if k != "card")]})
     docs = docs.withColumn("_m_card", F.filter("_b_card", lambda s: ~accepted("card", s["match"])))
     for k in KINDS:
         docs = docs.withColumn(f"_b_{k}", F.filter(f"_b_{k}", lambda s: accepted(k, s["match"])))
     placed = lambda k, c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end")))
     docs = docs.withColumn("base", F.array_sort(F.concat(*[placed(k, F.col(f"_b_{k}")) for k in KINDS])))
+    docs = docs.withColumn("_near", stretches(F.col("base")))
     more = []
     for k in KINDS:
-        left = lambda s: F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1), F.least(s["start"], F.lit(CONTEXT)))
-        free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        scored = F.filter(F.col(f"_m_{k}"), lambda s: free(s) & (margin_column(base, trees, features(k, s["match"], left(s))) >= cuts[k]))
+        meets = lambda b, s: (b["start"] < s["end"]) & (s["start"] < b["end"])
+        free = lambda s: ~F.exists("_near", lambda p: (p["low"] < s["end"]) & (s["start"] < p["high"]) & F.exists(p["spans"], lambda b: meets(b, s)))
+        scored = F.filter(F.col(f"_m_{k}"), lambda s: free(s) & (margin_column(base, trees, features(k, s["match"], s["left"])) >= cuts[k]))
         more.append(placed(k, F.when(F.size(f"_m_{k}") > 0, scored).otherwise(F.col(f"_m_{k}"))))
     docs = docs.withColumn("added", F.concat(*more))
     return docs.select(*own, "base", F.array_sort(F.concat("base", "added")).alias("all"))
@@ -271,21 +314,31 @@ def digest(docs: DataFrame) -> DataFrame:
     return found(docs).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
 
 
+def cutout(parts: Column, a: Column, b: Column) -> Column:
+    """Characters a to b (exclusive) of a text that is given in parts of STRETCH characters."""
+    i, j = F.floor(a / STRETCH).cast("int"), F.floor(b / STRETCH).cast("int")
+    part = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+    across = F.concat(F.substring(part(i), a % STRETCH + 1, F.lit(STRETCH)), F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(part(j), F.lit(1), b % STRETCH))
+    return F.when(a >= b, "").when(i == j, F.substring(part(i), a % STRETCH + 1, b - a)).otherwise(across)
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; overlapping spans give one mark."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("text")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    parts = F.col("_parts")
 
     def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["rank"] + 1))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(mark).alias("out"))
+        added = F.concat(acc["all"], F.array(cutout(parts, acc["at"], s["start"]), F.element_at(names, s["rank"] + 1)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["all"]).otherwise(added).alias("all"))
 
+    start = lambda _, before: F.struct(before.alias("at"), emptied("string").alias("all"))
     slim = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    new = F.aggregate("all", first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.col("_row.text").isNotNull(), new).alias("text")
-    return with_spans(slim).select(*[new if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    cut = with_spans(slim).withColumn("_parts", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)))
+    out = in_parts(F.col("all"), lambda s: s["end"], F.greatest, start, step, "string")
+    end = F.coalesce(F.array_max(F.transform("all", lambda s: s["end"])), F.lit(0))
+    new = F.concat(F.array_join(out, ""), cutout(parts, end, F.length("text")))
+    new = F.when(F.col("_row.text").isNotNull(), F.when(F.size("all") > 0, new).otherwise(F.col("text"))).alias("text")
+    return cut.select(*[new if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
