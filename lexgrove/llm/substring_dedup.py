@@ -20,8 +20,8 @@ A byte goes if a string of 400 bytes that covers it also starts anywhere else in
 Passages: `passage_words` counts the words of a document that stand in a string of 51 words which
 another document has too. Words are what white space (\\x20, \\x09-\\x0D) separates, A-Z in lower case.
 A passage of 51 words may have fewer than 400 bytes, in which case nothing of it is removed: the
-column says that it is there. It is found on the way: windows of 51 words have anchors of 8 words and
-make runs like those of bytes; runs that occur in one document only are cut into single windows.
+column says that it is there. It is found on the way and in the same manner, with words in place of
+bytes: anchors of 8 words, cores of 36 words, symbols of 32 bits of a word's hash beside a core.
 
 Copies of a run, in one document or in many, are one row with a count from the start, so groups of
 copies of any size cost one row for each task. Equality is that of 128 bits of hashes: at 10^11 runs,
@@ -61,6 +61,8 @@ POSITION = np.uint64((1 << 26) - 1)
 _random = np.random.default_rng(400)
 BYTE_HASHES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = _random.integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+POWER = FACTORS[1]
+INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
 
 
 def least_places(h: np.ndarray, width: int) -> np.ndarray:
@@ -97,15 +99,33 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def runs_of(units, span: int, anchored) -> Iterator[tuple[int, int, int, int]]:
-    """(first window start, last window start, anchor, anchor's hash) of each run of one text's bytes or words."""
+def runs_of(units: np.ndarray, span: int, anchored) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segment by segment, of each run of one text's bytes or words: first and last window start, place of the anchor, and its hash."""
     for base in range(0, max(0, len(units) - span + 1), SEGMENT):
-        part = units[base : base + SEGMENT + span - 1]
-        at, h = anchored(part)
+        at, h = anchored(units[base : base + SEGMENT + span - 1])
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
         where = at[first]
-        yield from zip((first + base).tolist(), (last + base).tolist(), (where + base).tolist(), h[where].view(np.int64).tolist())
+        yield first + base, last + base, where + base, h[where].view(np.int64)
+
+
+def byte_runs(text: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor's hash, hash of the text, windows, first window) of each run of bytes."""
+    for segment in runs_of(np.frombuffer(text, np.uint8), SPAN, anchors):
+        for first, last, anchor, h in zip(*(x.tolist() for x in segment)):
+            yield h, signed(xxhash.xxh3_64_intdigest(text[first : last + SPAN], seed=anchor - first)), last - first + 1, first
+
+
+def word_runs(words: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """As byte_runs(), as arrays: a run's text is hashed as a polynomial, from differences of running sums."""
+    if len(words) < PASSAGE:
+        return
+    powers = np.multiply.accumulate(np.full(len(words), POWER, np.uint64))
+    inverse = np.multiply.accumulate(np.full(len(words), INVERSE, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers)])
+    for first, last, anchor, h in runs_of(words, PASSAGE, word_anchors):
+        body = mixed((sums[last + PASSAGE] - sums[first]) * inverse[first])
+        yield h, mixed(body + (anchor - first).astype(np.uint64) * FACTORS[0]).view(np.int64), (last - first + 1).astype(np.int32), first.astype(np.int32)
 
 
 def signed(x: int) -> int:
@@ -128,20 +148,32 @@ def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents -> one row for each different run of bytes or words of each, with all its starts there."""
     for batch in batches:
         rows: list[tuple] = []
+        # Of words: documents' keys and arrays, as most runs occur once in their document.
+        owners, plain = [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
-            key, words = doc_key(doc_id, text), word_hashes(text)
-            raw = words.tobytes()
-            for units, body, size, span, anchored in ((np.frombuffer(text, np.uint8), text, 1, SPAN, anchors), (words, raw, 8, PASSAGE, word_anchors)):
-                found: dict[tuple, list[int]] = {}
-                for first, last, anchor, h in runs_of(units, span, anchored):
-                    ctx = signed(xxhash.xxh3_64_intdigest(body[first * size : (last + span) * size], seed=anchor - first))
-                    found.setdefault((h, ctx, last - first + 1), []).append(first)
-                rows.extend((h, ctx, key, size == 8, n, at[0], np.array(at, np.int32).tobytes()) for (h, ctx, n), at in found.items())
+            key = doc_key(doc_id, text)
+            found: dict[tuple, list[int]] = {}
+            for h, ctx, n, first in byte_runs(text):
+                found.setdefault((h, ctx, n), []).append(first)
+            rows.extend((h, ctx, key, False, n, at[0], np.array(at, np.int32).tobytes()) for (h, ctx, n), at in found.items())
+            own = list(word_runs(word_hashes(text)))
+            if own and (len(own) > 1 or len(np.unique(own[0][1])) < len(own[0][1])):
+                found = {}
+                for h, ctx, n, first in (r for segment in own for r in zip(*(x.tolist() for x in segment))):
+                    found.setdefault((h, ctx, n), []).append(first)
+                rows.extend((h, ctx, key, True, n, at[0], np.array(at, np.int32).tobytes()) for (h, ctx, n), at in found.items())
+            elif own:
+                owners.append(np.full(len(own[0][0]), key))
+                plain.append(own[0])
             if len(rows) > 20_000:
                 yield batch_of(rows, RUNS)
                 rows = []
         if rows:
             yield batch_of(rows, RUNS)
+        if plain:
+            h, ctx, n, first = (np.concatenate(x) for x in zip(*plain))
+            starts = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.arange(len(first) + 1, dtype=np.int32) * 4), pa.py_buffer(first)])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(np.concatenate(owners)), pa.array(np.ones(len(h), bool)), pa.array(n), pa.array(first), starts], schema=RUNS)
 
 
 def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +190,7 @@ BLOCKS = pa.schema([("core", pa.binary()), ("left", pa.binary()), ("right", pa.b
 
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the runs to be looked into -> their blocks; windows of words are blocks of one. first: the block's first window, counted from the run's."""
+    """Texts with the runs to be looked into -> their blocks. first: the block's first window, counted from the run's."""
     coder = zstandard.ZstdDecompressor()
     for batch in batches:
         rows: list[tuple] = []
@@ -168,16 +200,21 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, n = run["start"], run["windows"]
                 hi, known = lo + n - 1, (run["anchor"], run["ctx"], run["words"], doc)
                 if run["words"]:
-                    words = word_hashes(text).tobytes() if words is None else words
-                    rows.extend((xxhash.xxh3_128_digest(words[8 * i : 8 * (i + PASSAGE)], seed=PASSAGE), b"", b"", 1, *known, i - lo) for i in range(lo, hi + 1))
-                    continue
-                at, _ = anchors(np.frombuffer(text[lo : lo + SPAN], np.uint8))
-                anchor = lo + int(at[0])
+                    if words is None:
+                        words = word_hashes(text)
+                        # Cores are told apart by whole hashes, what stands beside them by symbols.
+                        raw, symbols = words.tobytes(), words.astype(np.uint32).tobytes()
+                    at, _ = word_anchors(words[lo : lo + PASSAGE])
+                    span, unit, beside, size = PASSAGE, raw, symbols, 4
+                else:
+                    at, _ = anchors(np.frombuffer(text[lo : lo + SPAN], np.uint8))
+                    span, unit, beside, size = SPAN, text, text, 1
+                anchor, wide = lo + int(at[0]), 8 if run["words"] else 1
                 for b in range((anchor - hi) // BLOCK, (anchor - lo) // BLOCK + 1):
                     top, low = anchor - b * BLOCK, anchor - b * BLOCK - BLOCK + 1
                     a, z = max(lo, low), min(hi, top)
-                    core = core_of(text[top : low + SPAN], b * BLOCK, BLOCK)
-                    rows.append((core, text[a:top], text[low + SPAN : z + SPAN], z - a + 1, *known, a - lo))
+                    core = core_of(unit[wide * top : wide * (low + span)], b * BLOCK, BLOCK, run["words"])
+                    rows.append((core, beside[size * a : size * top], beside[size * (low + span) : size * (z + span)], z - a + 1, *known, a - lo))
             if len(rows) > 20_000:
                 yield batch_of(rows, BLOCKS)
                 rows = []
@@ -185,47 +222,64 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(rows, BLOCKS)
 
 
-def core_of(text: bytes, place: int, width: int) -> bytes:
+def core_of(text: bytes, place: int, width: int, words: bool) -> bytes:
     """A block's core: what its windows share, at its place before the anchor."""
-    return xxhash.xxh3_128_digest(text, seed=(place + SPAN) * 2 * BLOCK + width)
+    return xxhash.xxh3_128_digest(text, seed=((place + SPAN) * 2 * BLOCK + width) * 2 + words)
+
 
+#: Different blocks. a, b: the least and the largest of the places where a block occurs (of bytes) or of the documents that have it (of words).
+DIFFERENT = pa.schema([("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("windows", pa.int32()), ("words", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
 
-def repeated_windows(strings: list[tuple[int, bytes, bytes, int]], width: int) -> list[int]:
-    """(core's number, left, right, windows) of each different block -> bits of the windows that another block has too."""
+
+def symbols_of(side: bytes, words: bool) -> list[int]:
+    """Bytes, or halves of words' hashes, as symbols above those of ends; cores have symbols above all of these."""
+    return [c + 2 for c in (np.frombuffer(side, np.uint32).tolist() if words else side)]
+
+
+def repeated_windows(rows: list[tuple], width: int) -> list[int]:
+    """Different blocks -> bits of the windows that occur at another place, or in another document."""
     s: list[int] = []
     begins: list[int] = []
-    for core, left, right, _ in strings:
+    numbers: dict[bytes, int] = {}
+    for core, left, right, _, words, _, _ in rows:
         begins.append(len(s))
-        s += [c + 2 for c in left]
-        s.append(300 + core)
-        s += [c + 2 for c in right]
+        s += symbols_of(left, words)
+        s.append((1 << 33) + numbers.setdefault(core, len(numbers)))
+        s += symbols_of(right, words)
         s.append(1)
-    owner: dict[int, tuple[int, int]] = {b + i: (k, i) for k, (b, x) in enumerate(zip(begins, strings)) for i in range(x[3])}
-    bits = [0] * len(strings)
-    before = None
+    owner: dict[int, tuple[int, int]] = {b + i: (k, i) for k, (b, x) in enumerate(zip(begins, rows)) for i in range(x[3])}
+    bits = [(1 << x[3]) - 1 if x[5] != x[6] else 0 for x in rows]
+    alike: list[int] = []
+
+    def settle() -> None:
+        if len(alike) > 1:
+            members = [owner[at] for at in alike]
+            if min(rows[k][5] for k, _ in members) != max(rows[k][6] for k, _ in members):
+                for k, i in members:
+                    bits[k] |= 1 << i
+
     for at in suffix_array(s):
         if at not in owner:
-            before = None
-            continue
-        if before is not None and s[before : before + width] == s[at : at + width]:
-            for k, i in (owner[before], owner[at]):
-                bits[k] |= 1 << i
-        before = at
+            settle()
+            alike = []
+        elif alike and s[alike[-1] : alike[-1] + width] == s[at : at + width]:
+            alike.append(at)
+        else:
+            settle()
+            alike = [at]
+    settle()
     return bits
 
 
-MASKS = pa.schema([("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("windows", pa.int32()), ("bits", pa.int32())])
+MASKS = pa.schema([*list(DIFFERENT)[:4], ("bits", pa.int32())])
 
 
 def grouped(width: int):
-    """Different blocks sorted by core, and whether each occurs twice -> the bits of their repeated windows, if any."""
+    """Different blocks sorted by core -> the bits of their repeated windows, if any."""
     most = SYMBOLS // (2 * width)
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {}
-        bits = repeated_windows([(numbers.setdefault(r[0], len(numbers)), r[1], r[2], r[3]) for r in rows], width)
-        out = [(*r[:4], (1 << r[3]) - 1 if r[4] else b) for r, b in zip(rows, bits)]
-        if out := [r for r in out if r[4]]:
+        if out := [(*r[:4], b) for r, b in zip(rows, repeated_windows(rows, width)) if b]:
             yield batch_of(out, MASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +300,7 @@ def grouped(width: int):
     return run
 
 
-CUT = pa.schema([*list(BLOCKS)[:4], ("twice", pa.bool_()), ("_core", pa.binary()), ("_left", pa.binary()), ("_right", pa.binary()), ("_windows", pa.int32()), ("shift", pa.int32())])
+CUT = pa.schema([*list(DIFFERENT), ("_core", pa.binary()), ("_left", pa.binary()), ("_right", pa.binary()), ("_windows", pa.int32()), ("shift", pa.int32())])
 
 
 def narrowed(width: int, to: int):
@@ -256,14 +310,16 @@ def narrowed(width: int, to: int):
         for batch in batches:
             rows = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                core, left, right, windows, _ = row
+                core, left, right, windows, words, _, _ = row
+                size = 4 if words else 1
+                n = len(left) // size
                 for g in range(width // to):
-                    # Windows are told apart by how many bytes before the core they have.
-                    least, most = max(len(left) - windows + 1, to * g), min(len(left), to * g + to - 1)
+                    # Windows are told apart by how many symbols before the core they have.
+                    least, most = max(n - windows + 1, to * g), min(n, to * g + to - 1)
                     if least <= most:
-                        common = len(left) - to * g, width - to * (g + 1)
-                        inner = core_of(core + left[common[0] :] + b"|" + right[: common[1]], g, to)
-                        rows.append((*row, inner, left[len(left) - most : common[0]], right[common[1] : width - 1 - least], most - least + 1, len(left) - most))
+                        i, j = n - to * g, width - to * (g + 1)
+                        inner = core_of(core + left[size * i :] + b"|" + right[: size * j], g, to, words)
+                        rows.append((*row, inner, left[size * (n - most) : size * i], right[size * j : size * (width - 1 - least)], most - least + 1, n - most))
             if rows:
                 yield batch_of(rows, CUT)
 
@@ -340,22 +396,21 @@ BLOCK_KEY = ["core", "left", "right", "windows"]
 
 
 def masks(blocks: DataFrame, hot: int, level: int = 0) -> DataFrame:
-    """core, left, right, windows, twice of different blocks -> the bits of their windows that occur in another block or twice."""
-    width = WIDTHS[level]
+    """DIFFERENT blocks -> core, left, right, windows, and the bits of their repeated windows."""
+    width, columns = WIDTHS[level], DIFFERENT.names
     if width == 1:
-        return blocks.where("twice").select(*BLOCK_KEY, F.lit(1).alias("bits"))
-    sizes = blocks.groupBy("core").agg(F.count("*").alias("k"), F.max("twice").alias("any")).where("k > 1 or any").select("core", "k")
+        return blocks.where("a <> b").select(*BLOCK_KEY, F.lit(1).alias("bits"))
+    sizes = blocks.groupBy("core").agg(F.count("*").alias("k"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_a <> _b").select("core", "k")
     sized = blocks.join(sizes.hint("merge"), "core")
-    cold = sized.where(F.col("k") <= hot).select(*BLOCK_KEY, "twice").repartition("core").sortWithinPartitions("core", "left", "right")
+    cold = sized.where(F.col("k") <= hot).select(*columns).repartition("core").sortWithinPartitions("core", "left", "right")
     out = cold.mapInArrow(grouped(width), "core binary, left binary, right binary, windows int, bits int")
     if blocks.groupBy("core").count().where(F.col("count") > hot).isEmpty():
         return out
-    # A hot core's blocks go through a table of narrower ones; the salt of their common part is in the new cores.
-    rows = sized.where(F.col("k") > hot).select(*BLOCK_KEY, "twice").mapInArrow(narrowed(width, WIDTHS[level + 1]), "core binary, left binary, right binary, windows int, twice boolean, _core binary, _left binary, _right binary, _windows int, shift int")
-    rows = written(rows, "hot")
+    kinds = "core binary, left binary, right binary, windows int, words boolean, a long, b long, _core binary, _left binary, _right binary, _windows int, shift int"
+    rows = written(sized.where(F.col("k") > hot).select(*columns).mapInArrow(narrowed(width, WIDTHS[level + 1]), kinds), "hot")
     inner = [f"_{c}" for c in BLOCK_KEY]
-    finer = rows.groupBy(*inner).agg(((F.count("*") > 1) | F.max("twice")).alias("twice"))
-    finer = written(finer.select(*[F.col(f"_{c}").alias(c) for c in BLOCK_KEY], "twice"), "finer")
+    finer = rows.groupBy(*inner).agg(F.first("words").alias("words"), F.min("a").alias("a"), F.max("b").alias("b"))
+    finer = written(finer.select(*[F.col(f"_{c}").alias(c) for c in BLOCK_KEY], "words", "a", "b"), "finer")
     found = masks(finer, hot, level + 1).select(*[F.col(c).alias(f"_{c}") for c in BLOCK_KEY], "bits")
     bits = rows.join(found, inner).groupBy(*BLOCK_KEY).agg(F.expr("cast(bit_or(shiftleft(bits, shift)) as int)").alias("bits"))
     return out.unionByName(bits)
@@ -379,11 +434,12 @@ def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
     once = packed.join(inside, "doc").dropDuplicates(["doc"]).select("doc", "body", "runs")
     blocks = written(once.mapInArrow(block_rows, "core binary, left binary, right binary, windows int, anchor long, ctx long, words boolean, doc long, first int"), "blocks")
     weighed = blocks.join(each.select("anchor", "ctx", "n"), ["anchor", "ctx"])
-    different = weighed.groupBy(*BLOCK_KEY).agg(F.first("words").alias("words"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min("doc").alias("a"), F.max("doc").alias("b"))
-    twice = F.when(F.col("words"), (F.col("most") > 1) | (F.col("a") != F.col("b"))).otherwise(F.col("n") > 1)
-    different = written(different.select(*BLOCK_KEY, "words", twice.alias("twice")), "different")
-    shared = different.where("words and twice").select(*BLOCK_KEY, F.lit(1).alias("bits"))
-    bits = masks(different.where("not words").drop("words"), hot).unionByName(shared)
+    different = weighed.groupBy(*BLOCK_KEY).agg(F.first("words").alias("words"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    # Rows that repeat a document have one key between them, but are documents each.
+    several = F.when(F.col("words"), F.col("most") > 1).otherwise(F.col("n") > 1)
+    a, b = (F.when(several, F.lit(end)).otherwise(F.when(F.col("words"), F.col(c)).otherwise(F.xxhash64(*BLOCK_KEY))) for c, end in (("low", -(1 << 63)), ("high", (1 << 63) - 1)))
+    different = written(different.select(*BLOCK_KEY, "words", a.alias("a"), b.alias("b")), "different")
+    bits = masks(different, hot)
     parts = blocks.join(bits, BLOCK_KEY).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("first", "bits")).alias("parts"))
     parts = written(parts, "parts")
     discard(blocks, different)

@@ -104,6 +104,8 @@ def test_repeated_strings(spark, rows, hot):
     passage = " ".join("".join(r.choice("abcd") for _ in range(3)) for _ in range(53))
     more = [(400 + i, f"{rows[i][1][: 60 + i]} {passage.upper() if i == 3 else passage} {rows[24 - i][1][: 70 - i]}", "s") for i in range(8)]
     more += [(410, "la " * 700, "s"), (411, f"{rows[12][1]} {rows[13][1]}", "s"), (412, rows[12][1][:420] + "?" + rows[12][1][421:], "s")]
+    # Rows that repeat a document which has a passage twice, in different surroundings.
+    more = [(420, f"a {passage[:-9]} b c {passage[:-9].title()} d", "s")] * 2 + more
     rows = rows + more
     bodies = [(t or "").encode() for _, t, _ in rows]
     expect = [(i, *x) for (i, _, _), x in zip(rows, repeats(bodies))]
