@@ -7,15 +7,19 @@ between toxic and other labelled texts by more than chance (likelihood ratio).
 Expected severity is the sum of the two probabilities, 0 to 2.
 
 Grades: `labels` says only toxic or not. Grade 0 is not toxic; a toxic text is 2 if its share of
-kept features is above the median of the toxic texts, else 1.
+kept features is above the median of the toxic texts, else 1. So the lower threshold is learnt from
+labels and P(toxic) is calibrated by them; the upper one is learnt from a rule on the model's own
+features. P(severe), and with it severity, orders texts but is no calibrated probability.
 
-Fitting takes at most FIT_ROWS labelled rows, those whose hash is least, to the driver: a bounded
-sample. Scoring covers every whole text.
+Fitting takes at most FIT_ROWS labelled rows, those whose hash is least: a bounded sample. Their
+features are counted by the executors; the driver gets the kept features and, for each row, those of
+them that its text has. Scoring covers every whole text.
 
 Nulls: a null or empty text has severity 0 by rule. A label row without doc_id, toxic or document
-is passed over. Repeated label rows count as often as they stand there. Without labels of both
-kinds the model has no features and every text gets severity 0. Columns of docs named as the results
-are replaced by scored() and ignored by severities().
+is passed over. Repeated label rows count as often as they stand there. Of documents with one doc_id
+the one with the least text is learnt from, and each is scored. Without labels of both
+kinds the model has no features and every text gets severity 0. An empty table gives an empty result.
+Further columns are ignored by severities() and kept by clean().
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import id_text, table, texts
+from lexgrove.llm.common import discard, id_text, table, texts, written
 
 FIT_ROWS = 3_000
 #: Least likelihood-ratio statistic of a kept word, and least number of documents with it.
@@ -93,60 +97,116 @@ def g2(a: int, b: int, na: int, nb: int) -> float:
     return stat if a * nb > b * na else -stat
 
 
-def fit_ordinal(rows: list[tuple[bytes, int]], rounds: int = 40, ridge: float = 1e-4) -> OrdinalModel:
-    """rows: text and toxic."""
-    # Texts are counted twice rather than kept as counts, which take far more of the driver's memory.
-    rows = [(t, int(y)) for t, y in rows if t]
-    toxic, other = Counter(), Counter()
-    for t, y in rows:
-        (toxic if y else other).update({f for w in set(words(t)) for f in features(w)})
-    n1 = sum(y for _, y in rows)
-    n0 = len(rows) - n1
-    if not n1 or not n0:
-        return OrdinalModel()
-    kept = sorted(w for w in toxic.keys() | other.keys() if toxic[w] + other[w] >= LEAST_DOCS and abs(g2(toxic[w], other[w], n1, n0)) >= LEAST_G2)
-    if not kept:
-        return OrdinalModel()
+def present(text: bytes) -> set[str]:
+    return {f for w in words(text) for f in features(w)}
+
+
+def marking(counts: dict[str, tuple[int, int]], n1: int, n0: int) -> dict[str, bool]:
+    """Of features with their numbers of toxic and other texts, those kept, in order, and whether each marks toxic texts."""
+    return {w: a * n0 > b * n1 for w, (a, b) in sorted(counts.items()) if a + b >= LEAST_DOCS and abs(g2(a, b, n1, n0)) >= LEAST_G2}
+
+
+def counted(text: bytes, kept: dict) -> tuple[dict[str, int], int]:
+    """How often a text has each kept feature, and its number of words."""
+    all_words, found = words(text), Counter()
+    for w, n in all_words.items():
+        for f in features(w):
+            if f in kept:
+                found[f] += n
+    return dict(found), max(1, sum(all_words.values()))
+
+
+def fit_counts(rows: list[tuple[dict[str, int], int, int]], kept: dict[str, bool], rounds: int = 60, ridge: float = 1e-4) -> OrdinalModel:
+    """rows: a text's kept features, its number of words, and whether it is toxic.
+
+    Both thresholds are stacked: a row of x with minus one in the column of its threshold. Newton steps, halved until the loss falls.
+    """
     column = {w: i for i, w in enumerate(kept)}
-    marks = {w for w in kept if toxic[w] * n0 > other[w] * n1}
-    del toxic, other
-    x = np.zeros((len(rows), len(kept)))
-    share = np.zeros(len(rows))
-    for i, (t, _) in enumerate(rows):
-        c = words(t)
-        size, found = max(1, sum(c.values())), Counter()
-        for w, n in c.items():
-            for f in features(w):
-                if f in column:
-                    found[f] += n
+    x, share = np.zeros((len(rows), len(kept))), np.zeros(len(rows))
+    for i, (found, size, _) in enumerate(rows):
         for f, n in found.items():
             x[i, column[f]] = math.log1p(100 * n / size)
-        share[i] = sum(n for f, n in found.items() if f in marks) / size
-    y = np.array([y for _, y in rows])
+        share[i] = sum(n for f, n in found.items() if kept[f]) / size
+    y = np.array([v for *_, v in rows])
     grade = np.where(y == 1, 1 + (share > np.median(share[y == 1])), 0)
-    above = np.stack([grade > 0, grade > 1], 1).astype(float)
-    # Both thresholds stacked: a row of x with minus one in the column of its threshold; Newton steps.
     rows_ = [np.concatenate([x, np.tile(-np.eye(2)[k], (len(x), 1))], 1) for k in (0, 1)]
-    z, target = np.concatenate(rows_), above.T.reshape(-1)
+    z, target = np.concatenate(rows_), np.concatenate([grade > 0, grade > 1]).astype(float)
     penalty = ridge * len(x) * np.append(np.ones(len(kept)), [1e-6, 1e-6])
+    sign = np.where(target > 0, -1, 1)
+    loss = lambda v: np.logaddexp(0, sign * (z @ v)).sum() + penalty @ (v * v) / 2
     v = np.zeros(z.shape[1])
+    now = loss(v)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ v, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(z @ v, -500, 500)))
         h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty)
-        step = np.linalg.solve(h, z.T @ (target - p) - penalty * v)
-        v += step
-        if abs(step).max() < 1e-8:
+        down = z.T @ (target - p) - penalty * v
+        step, t = np.linalg.solve(h, down), 1.0
+        if down @ step <= 1e-9 * (1 + now):
             break
+        while (then := loss(v + t * step)) > now - 1e-4 * t * (down @ step) and t > 1e-9:
+            t /= 2
+        v, now = v + t * step, then
     low, high = float(v[-2]), float(v[-1])
     return OrdinalModel({k: float(w) for k, w in zip(kept, v)}, (low, max(low, high)))
 
 
+def fit_ordinal(rows: list[tuple[bytes, int]]) -> OrdinalModel:
+    """rows: text and toxic. As fitted(), for texts at hand."""
+    rows = [(t, int(y)) for t, y in rows if t]
+    counts = (Counter(), Counter())
+    for t, y in rows:
+        counts[y].update(present(t))
+    n1 = sum(y for _, y in rows)
+    if not n1 or n1 == len(rows):
+        return OrdinalModel()
+    kept = marking({f: (counts[1][f], counts[0][f]) for f in counts[0].keys() | counts[1].keys()}, n1, len(rows) - n1)
+    return fit_counts([(*counted(t, kept), y) for t, y in rows], kept) if kept else OrdinalModel()
+
+
+def presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t, y in zip(texts(batch), batch.column(1).to_pylist()):
+            found = list(present(t))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["feature", "toxic"])
+
+
+def counts_of(kept: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [counted(t, kept) for t in texts(batch)]
+            found = pa.array([list(f.items()) for f, _ in each], pa.map_(pa.string(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([found, pa.array([n for _, n in each], pa.int64()), batch.column(1)], names=["found", "size", "toxic"])
+
+    return run
+
+
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalModel:
     """Fits on at most `rows` labelled documents."""
-    labels = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    labels = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     sample = labels.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id", "toxic").limit(rows).drop("_h")
-    found = id_text(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    return fit_ordinal([(r.text.encode(), r.toxic) for r in found.toLocalIterator(prefetchPartitions=True)])
+    body = id_text(docs).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = written(body.where("text <> ''").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic_sample")
+    n1, n = found.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    model = OrdinalModel()
+    if 0 < n1 < n:
+        counts = found.mapInArrow(presences, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+        # What is below the least statistic stays away from the driver; marking() draws the line itself.
+        kept = marking({r.feature: (r.a, r.n - r.a) for r in counts.where(g2_column(n1, n - n1) >= LEAST_G2 - 0.01).collect()}, n1, n - n1)
+        if kept:
+            each = sorted((sorted(r.found.items()), r.size, r.toxic) for r in found.mapInArrow(counts_of(kept), "found map<string, long>, size long, toxic int").collect())
+            model = fit_counts([(dict(f), size, y) for f, size, y in each], kept)
+    discard(found)
+    return model
+
+
+def g2_column(n1: int, n0: int):
+    """The size of g2() of the columns a (toxic texts) and n (texts) with a feature."""
+    p = F.col("n") / F.lit(float(n1 + n0))
+
+    def part(k, n: int):
+        return F.when(k > 0, k * F.log(k / F.lit(float(n)) / p)).otherwise(0.0) + F.when(F.lit(n) - k > 0, (F.lit(n) - k) * F.log((F.lit(n) - k) / F.lit(float(n)) / (1 - p))).otherwise(0.0)
+
+    return F.when((p > 0) & (p < 1), 2 * (part(F.col("a"), n1) + part(F.col("n") - F.col("a"), n0))).otherwise(0.0)
 
 
 def scorer(model: OrdinalModel):
