@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import written
+from lexgrove.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = written(_star(_star(edges, True), False), "edges")
+        last, edges = edges, written(_star(_star(edges, True), False), "edges")
+        discard(last)
         now = state(edges)
         if now == before:
             break

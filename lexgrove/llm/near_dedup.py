@@ -9,8 +9,9 @@ estimated from the bit count of the planes' differences, corrected for chance co
 No bucket's pairs are listed. First each bucket's members are compared with its least document: a
 star. Components of the confirmed links leave few buckets with members of two components; there, the
 members outside the least document's component are held against all of other components, block by
-block, on estimates and then on full sets, and only links come out. Pairs within one component can't
-change it, so the components are those of all links.
+block: first on estimates, for which only signatures are sent, then the members of any pair that passes
+on full sets, and only links come out. Pairs within one component can't change it, so the components
+are those of all links.
 
 Class of a document: component_id, the smallest doc_id it reaches, and whether it is kept.
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import id_text, table, texts, written
+from lexgrove.llm.common import discard, id_text, table, texts, written
 from lexgrove.llm.components import components
 
 WORDS = 5
@@ -39,7 +40,8 @@ BANDS = MINIMA // ROWS
 THRESHOLD = 75
 #: The threshold less 4.5 standard deviations of the estimate there.
 LEAST_ESTIMATE = 0.60
-BLOCK = 256
+#: Members of a block whose full sets are compared; such blocks whose signatures are compared at once, on either side; parts that a bucket's rows are joined in.
+BLOCK, BLOCKS_AT_ONCE, SALTS = 256, 16, 8
 #: Words whose hashes a worker remembers before it starts anew.
 REMEMBERED = 300_000
 
@@ -150,33 +152,63 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
+def same_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Sorted rows -> (the first `keys` columns, the rows of one value of them)."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:keys], []
+            rows.append(row)
+    if rows:
+        yield at, rows
+
+
+MET = pa.schema([("lead", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("side", pa.int32()), ("rid", pa.int64()), ("comp", pa.int64())])
+
+
+def touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lead, X, Y, side, own block, rid, comp, sig: the members of blocks X and Y -> those with an estimate that passes, by pair of blocks."""
+    shape = (-1, BITS, MINIMA // 64)
+    for (lead, *_), rows in same_group(batches, 3):
+        sides = [[r for r in rows if r[3] == k] for k in (0, 1)]
+        if not sides[0] or not sides[1]:
+            continue
+        sigs = [np.frombuffer(b"".join(r[7] for r in own), np.uint64).reshape(shape) for own in sides]
+        comps = np.array([r[6] for r in sides[0]])
+        out: set[tuple] = set()
+        for r, sig in zip(sides[1], sigs[1]):
+            for k in np.flatnonzero((estimates(sig, sigs[0]) >= LEAST_ESTIMATE) & (comps != r[6])).tolist():
+                other = sides[0][k]
+                out.add((lead, r[4], other[4], 0, other[5], other[6]))
+                out.add((lead, r[4], other[4], 1, r[5], r[6]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sorted(out)), MET)], schema=MET)
+
+
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two blocks after another, sorted: items of a block, then the items to hold against them -> links between components.
+    """lead, x, y, side, rid, comp, sig, full set: members of two blocks -> links between components.
 
-    One link for each item and component of the block is enough, and no other comes out.
+    One link for each member and component of the block is enough, and no other comes out.
     """
     shape = (-1, BITS, MINIMA // 64)
-    at, block, tables = None, [], None
-    for batch in batches:
+    for _, rows in same_group(batches, 3):
+        block, others = ([r for r in rows if r[3] == k] for k in (0, 1))
+        if not block or not others:
+            continue
+        sigs, comps = np.frombuffer(b"".join(r[6] for r in block), np.uint64).reshape(shape), np.array([r[5] for r in block])
         us, vs = [], []
-        for lead, few, every, side, i, comp, sig, own in zip(*(c.to_pylist() for c in batch.columns)):
-            if (lead, few, every) != at:
-                at, block, tables = (lead, few, every), [], None
-            if side == 0:
-                block.append((i, comp, sig, own))
-                continue
-            if not block:
-                continue
-            if tables is None:
-                tables = np.frombuffer(b"".join(x[2] for x in block), np.uint64).reshape(shape), np.array([x[1] for x in block])
-            sigs, comps = tables
+        for *_, i, comp, sig, own in others:
             mine, met = np.frombuffer(own, np.uint64), set()
             for k in np.flatnonzero((estimates(np.frombuffer(sig, np.uint64).reshape(shape[1:]), sigs) >= LEAST_ESTIMATE) & (comps != comp)).tolist():
-                if block[k][1] not in met and similar(mine, np.frombuffer(block[k][3], np.uint64)):
-                    met.add(block[k][1])
-                    us.append(max(i, block[k][0]))
-                    vs.append(min(i, block[k][0]))
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                if block[k][5] not in met and similar(mine, np.frombuffer(block[k][7], np.uint64)):
+                    met.add(block[k][5])
+                    us.append(max(i, block[k][4]))
+                    vs.append(min(i, block[k][4]))
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -189,7 +221,9 @@ def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     full = full_sets(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")), docs)
     met = pairs.join(full.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(full.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    return written(met.select("u", "v", "a", "b").mapInArrow(confirmed, "u long, v long"), "links")
+    out = written(met.select("u", "v", "a", "b").mapInArrow(confirmed, "u long, v long"), "links")
+    discard(pairs, full)
+    return out
 
 
 def links_across(members: DataFrame, roots: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -199,22 +233,27 @@ def links_across(members: DataFrame, roots: DataFrame, sigs: DataFrame, docs: Da
     share. Those outside the least document's component (the few) are held against all, block by block.
     """
     placed = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-    main = F.max(F.when(F.col("rid") == F.col("lead"), F.col("comp")))
-    groups = placed.groupBy("lead").agg(main.alias("main"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b").drop("a", "b")
-    rest = placed.join(groups.hint("merge"), "lead").withColumn("few", F.col("comp") != F.col("main"))
-    rest = written(rest.select("lead", "rid", "comp", "few", "n"), "rest")
-    counts = rest.groupBy("lead").agg(F.count_if("few").alias("k"))
-    full = full_sets(rest.select(F.col("rid").alias("doc_id")), docs)
-    items = rest.join(counts.hint("merge"), "lead").join(sigs, "rid").join(full.withColumnRenamed("id", "rid"), "rid")
-    blocks_all, blocks_few = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("k") / BLOCK)
-    mine = lambda blocks: F.pmod(F.xxhash64("rid", "lead"), blocks)
-    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    rows = [
-        items.select("lead", each(blocks_few).alias("x"), mine(blocks_all).alias("y"), F.lit(0).alias("side"), "rid", "comp", "sig", "shingles"),
-        items.where("few").select("lead", mine(blocks_few).alias("x"), each(blocks_all).alias("y"), F.lit(1).alias("side"), "rid", "comp", "sig", "shingles"),
-    ]
-    dealt = rows[0].union(rows[1]).repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y", "side")
-    return written(dealt.mapInArrow(across, "u long, v long").distinct(), "across")
+    by = placed.groupBy("lead", "comp").agg(F.count("*").alias("n"), F.max(F.col("rid") == F.col("lead")).alias("leads"))
+    groups = by.groupBy("lead").agg(F.max(F.when(F.col("leads"), F.col("comp"))).alias("main"), F.sum("n").alias("n"), F.sum(F.when(F.col("leads"), 0).otherwise(F.col("n"))).alias("k")).where("k > 0")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    rest = salted.join(groups.hint("merge"), ["lead", "salt"]).withColumn("few", F.col("comp") != F.col("main"))
+    rest = written(rest.select("lead", "rid", "comp", "few", "n", "k"), "rest")
+    # Of an item: its own block on either side, and all larger blocks of the other side.
+    own = lambda n: F.pmod(F.xxhash64("rid", "lead"), F.ceil(F.col(n) / BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.ceil(F.col(n) / BLOCK) - 1) / BLOCKS_AT_ONCE)))
+    large = lambda c: F.floor(F.col(c) / BLOCKS_AT_ONCE)
+    items = rest.join(sigs, "rid")
+    all_ = items.withColumn("own", own("n")).select("lead", each("k").alias("x"), large("own").alias("y"), F.lit(0).alias("side"), "own", "rid", "comp", "sig")
+    few = items.where("few").withColumn("own", own("k")).select("lead", large("own").alias("x"), each("n").alias("y"), F.lit(1).alias("side"), "own", "rid", "comp", "sig")
+    dealt = all_.union(few).repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y")
+    met = written(dealt.mapInArrow(touching, "lead long, x long, y long, side int, rid long, comp long"), "met")
+    full = full_sets(met.select(F.col("rid").alias("doc_id")), docs)
+    rows = met.join(sigs, "rid").join(full.withColumnRenamed("id", "rid"), "rid").select("lead", "x", "y", "side", "rid", "comp", "sig", "shingles")
+    rows = rows.repartition("lead", "x", "y").sortWithinPartitions("lead", "x", "y")
+    out = written(rows.mapInArrow(across, "u long, v long").distinct(), "across")
+    discard(rest, met, full)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -230,9 +269,10 @@ def classes(docs: DataFrame) -> DataFrame:
     stars = members.where("rid <> lead").select(F.col("rid").alias("u"), F.col("lead").alias("v")).distinct()
     met = stars.join(sigs.select(F.col("rid").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("rid").alias("v"), F.col("sig").alias("b")), "v")
     first = links(met.select("u", "v", "a", "b").mapInArrow(promising, "u long, v long"), docs)
-    roots = components(first)
-    second = links_across(members.select("lead", "rid").distinct(), roots, sigs, docs)
+    second = links_across(members.select("lead", "rid").distinct(), components(first), sigs, docs)
+    discard(members)
     roots = components(first.union(second)).select(F.col("node").alias("rid"), "root")
+    discard(first, second)
     least = reps.select("set_key", "rid").join(roots, "rid", "left").select("set_key", F.coalesce("root", "rid").alias("root"))
     out = sketch.select("doc_id", "n", "set_key").join(least.hint("merge"), "set_key", "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
