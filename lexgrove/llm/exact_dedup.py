@@ -16,7 +16,7 @@ splits a hot text's rows.
 Nulls: a null text is an empty text. A null doc_id never owns a text unless all its copies have
 null; then keep_id is null and each copy is kept. Repeated rows (one doc_id, one text) count in
 group_size each and are all kept or all dropped. An empty table gives an empty result. Further
-columns are ignored by owners() and kept by deduplicate().
+columns are ignored by owners() and kept by deduplicated().
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import id_text, texts
+from lexgrove.llm.common import id_text, table, texts
 
 BUDGET = 32 << 20
 
@@ -183,9 +183,16 @@ def exact_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from lexgrove.llm.common import table
+def deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """docs with the owner of each text only; the same columns."""
+    low = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    several = owners(docs, budget).where("group_size > 1").select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_several"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(low.cast("binary"), 256)).alias("_own"))
+    met = rows.join(several.hint("merge"), F.col("_own") == F.col("_sha"), "left")
+    return met.where(F.col("_several").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))).select("_row.*")
 
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

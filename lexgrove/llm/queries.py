@@ -5,11 +5,11 @@ from __future__ import annotations
 from lexgrove.llm.decontamination import op2_decontamination
 from lexgrove.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from lexgrove.llm.mixing import OP8_SQL, op8_mixing
-from lexgrove.llm.near_dedup import op1_minhash
+from lexgrove.llm.near_dedup import OP1_SQL, op1_minhash
 from lexgrove.llm.pii import op7_pii
 from lexgrove.llm.quality import op4_quality
 from lexgrove.llm.shards import op10_sharding
-from lexgrove.llm.substring_dedup import op6_suffix_array
+from lexgrove.llm.substring_dedup import OP6_SQL, op6_suffix_array
 from lexgrove.llm.tokens import op5_token_counts
 from lexgrove.llm.toxicity import op9_toxicity
 
@@ -27,4 +27,4 @@ QUERIES = {
 }
 
 #: The others have none: SQL can't express them, or only far too slowly. tests/llm holds them against brute force.
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL = {"op1_minhash": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_suffix_array": OP6_SQL, "op8_mixing": OP8_SQL}

@@ -11,8 +11,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.llm import decontamination, exact_dedup, mixing, near_dedup, pii, shards, substring_dedup, tokens, toxicity
+from lexgrove.llm import decontamination, exact_dedup, mixing, near_dedup, pii, queries, shards, substring_dedup, tokens, toxicity
 from lexgrove.llm.suffixes import suffix_array
+from tests.oracle import rows_of
 
 SCHEMA = "doc_id long, text string, source string, keep_id string"
 
@@ -47,6 +48,20 @@ def test_exact_owners(spark, rows):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, expect))
 
 
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_queries_against_their_sql(spark, name):
+    found, expected = rows_of(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001")
+    assert found == expected and found
+
+
+def test_owners_stay(spark, rows):
+    docs = corpus(spark, rows)
+    kept = sorted(repr(r.doc_id) for r in exact_dedup.exact_groups(docs).where("kept").collect())
+    out = exact_dedup.deduplicated(docs)
+    assert out.schema == docs.schema and sorted(repr(r.doc_id) for r in out.collect()) == kept
+    assert exact_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_radix_trie_holds_prefixes_and_spills():
     trie = exact_dedup.RadixTrie()
     keys = [b"", b"a", b"ab", b"abc", b"abd", b"b" * 50, b"b" * 49 + b"c"]
