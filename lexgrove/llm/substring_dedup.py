@@ -36,6 +36,7 @@ run cuts a character in two, deduplicated() drops the character's remaining byte
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import discard, table, texts, written
-from lexgrove.llm.near_dedup import HASHES, mixed
+from lexgrove.llm.common import discard, table, texts, utf8, written
+from lexgrove.llm.near_dedup import mixed
 from lexgrove.llm.suffixes import suffix_array
 
 SPAN, GRAM, BLOCK = 400, 64, 16
@@ -54,8 +55,8 @@ SPAN, GRAM, BLOCK = 400, 64, 16
 PASSAGE, PASSAGE_GRAM = 51, 8
 #: Different blocks of one core that go to one task, and the windows of a block before and after hot cores are split.
 HOT, WIDTHS = 4096, (16, 4, 1)
-#: Bytes hashed at once, and symbols sorted at once.
-SEGMENT, SYMBOLS = 2 << 20, 1 << 18
+#: Bytes or words whose windows are gone through at once, bytes whose words are hashed at once, and symbols sorted at once.
+SEGMENT, PIECE, SYMBOLS = 2 << 20, 1 << 20, 1 << 18
 POSITION = np.uint64((1 << 26) - 1)
 
 _random = np.random.default_rng(400)
@@ -94,38 +95,48 @@ def word_anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least_places(h, PASSAGE - PASSAGE_GRAM + 1), h
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def runs_of(units: np.ndarray, span: int, anchored) -> Iterator[tuple[np.ndarray, ...]]:
-    """Segment by segment, of each run of one text's bytes or words: first and last window start, place of the anchor, and its hash."""
-    for base in range(0, max(0, len(units) - span + 1), SEGMENT):
-        at, h = anchored(units[base : base + SEGMENT + span - 1])
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        last = np.append(first[1:], len(at)) - 1
-        where = at[first]
-        yield first + base, last + base, where + base, h[where].view(np.int64)
-
-
-def byte_runs(text: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor's hash, hash of the text, windows, first window) of each run of bytes."""
-    for segment in runs_of(np.frombuffer(text, np.uint8), SPAN, anchors):
-        for first, last, anchor, h in zip(*(x.tolist() for x in segment)):
-            yield h, signed(xxhash.xxh3_64_intdigest(text[first : last + SPAN], seed=anchor - first)), last - first + 1, first
-
-
-def word_runs(words: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """As byte_runs(), as arrays: a run's text is hashed as a polynomial, from differences of running sums."""
-    if len(words) < PASSAGE:
-        return
-    powers = np.multiply.accumulate(np.full(len(words), POWER, np.uint64))
-    inverse = np.multiply.accumulate(np.full(len(words), INVERSE, np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers)])
-    for first, last, anchor, h in runs_of(words, PASSAGE, word_anchors):
-        body = mixed((sums[last + PASSAGE] - sums[first]) * inverse[first])
-        yield h, mixed(body + (anchor - first).astype(np.uint64) * FACTORS[0]).view(np.int64), (last - first + 1).astype(np.int32), first.astype(np.int32)
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Weights of a word's bytes by place: LOW[place % 4096], times HIGH[place / 4096] in longer words.
+LOW = np.multiply.accumulate(np.full(4096, POWER, np.uint64))
+HIGH = np.multiply.accumulate(np.append(np.uint64(1), np.full((1 << 16) - 1, FACTORS[2], np.uint64)))
+
+
+def word_hashes(data: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of bytes: where words begin, and the words' hashes, A-Z in lower case. A word ends before each of `breaks`, too.
+
+    Goes through PIECE bytes at a time; a word that goes on in the next piece is added up there.
+    """
+    begins, sums, inside = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], False
+    opened = 0
+    for base in range(0, len(data), PIECE):
+        part = LOWER[data[base : base + PIECE]]
+        blank = BLANK[part]
+        first = ~blank
+        first[1:] &= blank[:-1]
+        first[0] &= not inside
+        if breaks is not None:
+            here = breaks[np.searchsorted(breaks, base) : np.searchsorted(breaks, base + len(part))] - base
+            first[here] = ~blank[here]
+        starts = np.flatnonzero(first)
+        h = BYTE_HASHES[part]
+        h[blank] = 0
+        head = int(starts[0]) if len(starts) else len(part)
+        if inside and head and len(sums[-1]):
+            sums[-1][-1:] += (h[:head] * weights(np.arange(base - opened, base - opened + head))).sum()
+        if len(starts):
+            lengths = np.diff(np.append(starts, len(part)))
+            place = np.arange(head, len(part)) - np.repeat(starts, lengths)
+            sums.append(np.add.reduceat(h[head:] * weights(place), starts - head))
+            begins.append(starts + base)
+            opened = base + int(starts[-1])
+        inside = not blank[-1]
+    return np.concatenate(begins), mixed(np.concatenate(sums))
+
+
+def weights(place: np.ndarray) -> np.ndarray:
+    w = LOW[place & 4095]
+    return w * HIGH[(place >> 12) & 0xFFFF] if len(place) and place.max() > 4095 else w
 
 
 def signed(x: int) -> int:
@@ -137,43 +148,83 @@ def doc_key(doc_id: int | None, text: bytes) -> int:
     return signed(xxhash.xxh3_64_intdigest(text, seed=0 if doc_id is None else (doc_id * 2 + 1) & (2**64 - 1)))
 
 
-RUNS = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("words", pa.bool_()), ("windows", pa.int32()), ("start", pa.int32()), ("starts", pa.binary())])
+#: shape: a run's number of windows, times 1024, and how far its anchor is from its start.
+RUNS = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("words", pa.bool_()), ("shape", pa.int32()), ("start", pa.int32()), ("starts", pa.binary())])
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def runs_of(units: np.ndarray, owner: np.ndarray, span: int, anchored) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segment by segment, of each run of windows in one text: first and last window, place of the anchor, and its hash.
+
+    units: the bytes or words of some texts, end to end; owner: the text of each.
+    """
+    for base in range(0, max(0, len(units) - span + 1), SEGMENT):
+        at, h = anchored(units[base : base + SEGMENT + span - 1])
+        own = owner[base : base + len(at) + span - 1]
+        windows = np.flatnonzero(own[: len(at)] == own[span - 1 :])
+        if len(windows):
+            at = at[windows]
+            new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            last = windows[np.append(new[1:], len(at)) - 1]
+            where = at[new]
+            yield windows[new] + base, last + base, where + base, h[where].view(np.int64)
+
+
+def run_batch(keys: np.ndarray, begins: np.ndarray, owner: np.ndarray, words: bool, found: tuple[np.ndarray, ...], ctx: np.ndarray) -> pa.RecordBatch:
+    """Rows of RUNS: a run that occurs several times in one text is one row."""
+    first, last, where, h = found
+    own = owner[first]
+    order = np.lexsort((ctx, own))
+    first, last, where, h, ctx, own = (x[order] for x in (first, last, where, h, ctx, own))
+    shape = ((last - first + 1) * 1024 + where - first).astype(np.int32)
+    same = (own[1:] == own[:-1]) & (ctx[1:] == ctx[:-1]) & (h[1:] == h[:-1]) & (shape[1:] == shape[:-1])
+    new = np.flatnonzero(np.append(True, ~same))
+    start = (first - begins[own]).astype(np.int32)
+    starts = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((np.append(new, len(own)) * 4).astype(np.int32)), pa.py_buffer(start)])
+    columns = [h[new], ctx[new], keys[own[new]], np.full(len(new), words), shape[new], start[new]]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), starts], schema=RUNS)
+
+
 def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> one row for each different run of bytes or words of each, with all its starts there."""
+    """Documents -> one row for each different run of bytes or words of each, with all its starts there.
+
+    Short texts are gone through together; windows that cross from one into the next are left out.
+    """
     for batch in batches:
-        rows: list[tuple] = []
-        # Of words: documents' keys and arrays, as most runs occur once in their document.
-        owners, plain = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
-            key = doc_key(doc_id, text)
-            found: dict[tuple, list[int]] = {}
-            for h, ctx, n, first in byte_runs(text):
-                found.setdefault((h, ctx, n), []).append(first)
-            rows.extend((h, ctx, key, False, n, at[0], np.array(at, np.int32).tobytes()) for (h, ctx, n), at in found.items())
-            own = list(word_runs(word_hashes(text)))
-            if own and (len(own) > 1 or len(np.unique(own[0][1])) < len(own[0][1])):
-                found = {}
-                for h, ctx, n, first in (r for segment in own for r in zip(*(x.tolist() for x in segment))):
-                    found.setdefault((h, ctx, n), []).append(first)
-                rows.extend((h, ctx, key, True, n, at[0], np.array(at, np.int32).tobytes()) for (h, ctx, n), at in found.items())
-            elif own:
-                owners.append(np.full(len(own[0][0]), key))
-                plain.append(own[0])
-            if len(rows) > 20_000:
-                yield batch_of(rows, RUNS)
-                rows = []
-        if rows:
-            yield batch_of(rows, RUNS)
-        if plain:
-            h, ctx, n, first = (np.concatenate(x) for x in zip(*plain))
-            starts = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.arange(len(first) + 1, dtype=np.int32) * 4), pa.py_buffer(first)])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(np.concatenate(owners)), pa.array(np.ones(len(h), bool)), pa.array(n), pa.array(first), starts], schema=RUNS)
+        ids = batch.column(0).to_pylist()
+        data, offsets = utf8(batch.column(1))
+        at = 0
+        while at < len(ids):
+            to = at + 1
+            while to < len(ids) and offsets[to + 1] - offsets[at] <= SEGMENT:
+                to += 1
+            body = data[offsets[at] : offsets[to]]
+            keys = np.array([doc_key(i, data[a:b]) for i, a, b in zip(ids[at:to], offsets[at:to], offsets[at + 1 : to + 1])], np.int64)
+            edges = np.array(offsets[at : to + 1], np.int64) - offsets[at]
+            units, begins = np.frombuffer(body, np.uint8), edges[:-1]
+            owner = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(edges))
+            for found in runs_of(units, owner, SPAN, anchors):
+                ctx = [xxhash.xxh3_64_intdigest(body[a : b + SPAN], seed=c - a) for a, b, c in zip(*(x.tolist() for x in found[:3]))]
+                yield run_batch(keys, begins, owner, False, found, np.array(ctx, np.uint64).view(np.int64))
+            at_word, hashes = word_hashes(units, begins[begins < len(units)])
+            word_owner = owner[at_word]
+            del owner
+            begins = np.searchsorted(at_word, begins)
+            for found in runs_of(hashes, word_owner, PASSAGE, word_anchors):
+                yield run_batch(keys, begins, word_owner, True, found, word_contexts(hashes, *found[:3]))
+            at = to
+
+
+def word_contexts(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Hashes of the runs' words: polynomials, from differences of running sums, and the place of the anchor."""
+    low, high = int(first[0]), int(last[-1]) + PASSAGE
+    powers, inverse = (np.multiply.accumulate(np.full(high - low, x, np.uint64)) for x in (POWER, INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[low:high] * powers)])
+    body = mixed((sums[last + PASSAGE - low] - sums[first - low]) * inverse[first - low])
+    return mixed(body + (where - first).astype(np.uint64) * FACTORS[0]).view(np.int64)
 
 
 def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,21 +246,17 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for doc, body, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            text, words = coder.decompress(body.as_py()), None
+            text, symbols = coder.decompress(body.as_py()), None
             for run in runs:
-                lo, n = run["start"], run["windows"]
+                lo, (n, off) = run["start"], divmod(run["shape"], 1024)
                 hi, known = lo + n - 1, (run["anchor"], run["ctx"], run["words"], doc)
+                anchor, wide, span, unit, beside, size = lo + off, 1, SPAN, text, text, 1
                 if run["words"]:
-                    if words is None:
-                        words = word_hashes(text)
+                    if symbols is None:
                         # Cores are told apart by whole hashes, what stands beside them by symbols.
-                        raw, symbols = words.tobytes(), words.astype(np.uint32).tobytes()
-                    at, _ = word_anchors(words[lo : lo + PASSAGE])
-                    span, unit, beside, size = PASSAGE, raw, symbols, 4
-                else:
-                    at, _ = anchors(np.frombuffer(text[lo : lo + SPAN], np.uint8))
-                    span, unit, beside, size = SPAN, text, text, 1
-                anchor, wide = lo + int(at[0]), 8 if run["words"] else 1
+                        _, hashes = word_hashes(np.frombuffer(text, np.uint8))
+                        raw, symbols = hashes.tobytes(), hashes.astype(np.uint32).tobytes()
+                    wide, span, unit, beside, size = 8, PASSAGE, raw, symbols, 4
                 for b in range((anchor - hi) // BLOCK, (anchor - lo) // BLOCK + 1):
                     top, low = anchor - b * BLOCK, anchor - b * BLOCK - BLOCK + 1
                     a, z = max(lo, low), min(hi, top)
@@ -279,7 +326,11 @@ def grouped(width: int):
     most = SYMBOLS // (2 * width)
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if out := [(*r[:4], b) for r, b in zip(rows, repeated_windows(rows, width)) if b]:
+        # A core's only block is there because it occurs twice; nothing is to be sorted.
+        alone = Counter(r[0] for r in rows)
+        out = [(*r[:4], (1 << r[3]) - 1) for r in rows if alone[r[0]] == 1 and r[5] != r[6]]
+        rows = [r for r in rows if alone[r[0]] > 1]
+        if out := out + [(*r[:4], b) for r, b in zip(rows, repeated_windows(rows, width)) if b]:
             yield batch_of(out, MASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +396,7 @@ def covered(size: int, span: int, runs: list[dict]) -> np.ndarray:
         for start in np.frombuffer(r["starts"], np.int32).tolist():
             if r["full"]:
                 cover[start] += 1
-                cover[start + r["windows"] - 1 + span] -= 1
+                cover[start + (r["shape"] >> 10) - 1 + span] -= 1
             else:
                 for part in r["parts"] or ():
                     for i in range(BLOCK):
@@ -419,16 +470,16 @@ def masks(blocks: DataFrame, hot: int, level: int = 0) -> DataFrame:
 def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words, text_sha256, gone (byte ranges): one row for each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    runs = written(docs.mapInArrow(run_rows, "anchor long, ctx long, doc long, words boolean, windows int, start int, starts binary"), "runs")
+    runs = written(docs.mapInArrow(run_rows, "anchor long, ctx long, doc long, words boolean, shape int, start int, starts binary"), "runs")
     # A passage counts once for each document that has it, a string of bytes as often as it starts.
     times = F.when(F.col("words"), 1).otherwise(F.length("starts") / 4)
     several = runs.groupBy("anchor").agg(F.sum(times).alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1")
     several = several.select("anchor", (F.col("a") != F.col("b")).alias("differ"))
     met = written(runs.join(several.hint("merge"), "anchor"), "repeats")
     discard(runs)
-    each = met.where("differ").groupBy("anchor", "ctx").agg(F.sum(times).cast("long").alias("n"), F.min(F.struct("doc", "words", "windows", "start")).alias("rep"))
+    each = met.where("differ").groupBy("anchor", "ctx").agg(F.sum(times).cast("long").alias("n"), F.min(F.struct("doc", "words", "shape", "start")).alias("rep"))
     each = written(each, "contexts")
-    run = F.struct("anchor", "ctx", F.col("rep.words").alias("words"), F.col("rep.windows").alias("windows"), F.col("rep.start").alias("start"))
+    run = F.struct("anchor", "ctx", F.col("rep.words").alias("words"), F.col("rep.shape").alias("shape"), F.col("rep.start").alias("start"))
     inside = each.groupBy(F.col("rep.doc").alias("doc")).agg(F.collect_list(run).alias("runs"))
     packed = docs.mapInArrow(squeezed, "doc_id long, doc long, body binary")
     once = packed.join(inside, "doc").dropDuplicates(["doc"]).select("doc", "body", "runs")
@@ -446,7 +497,7 @@ def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
     copies = each.where("n > 1").select("anchor", "ctx").withColumn("copied", F.lit(True))
     known = met.join(copies, ["anchor", "ctx"], "left").withColumn("full", ~F.col("differ") | F.coalesce("copied", F.lit(False)))
     known = known.join(parts, ["anchor", "ctx"], "left").where("full or parts is not null")
-    of = known.groupBy("doc").agg(F.collect_list(F.struct("words", "starts", "windows", "full", F.when(~F.col("full"), F.col("parts")).alias("parts"))).alias("runs"))
+    of = known.groupBy("doc").agg(F.collect_list(F.struct("words", "starts", "shape", "full", F.when(~F.col("full"), F.col("parts")).alias("parts"))).alias("runs"))
     of = written(of, "covered")
     discard(met, each, parts)
     # A row that repeats a document has the same key: all its windows occur in the other.

@@ -11,26 +11,48 @@ Nothing is renamed or sorted recursively.
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def suffix_array(s: list[int]) -> list[int]:
     """Starts of the suffixes of s in order, the empty suffix first. Symbols are positive integers."""
     n = len(s) + 1
-    s = [*s, 0]
-    sa = sorted(range(n), key=s.__getitem__)
-    place, group = [0] * n, [0] * n
-    size = [0] * n
-    start = 0
-    for k, i in enumerate(sa):
-        if k and s[i] != s[sa[k - 1]]:
-            start = k
-        place[i], group[i] = k, start
-        size[start] += 1
+    symbols = np.array([*s, 0], np.int64)
+    order = np.argsort(symbols, kind="stable")
+    ordered = symbols[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    counts = np.diff(np.append(first, n))
+    starts = np.repeat(first, counts)
+    at_start = np.zeros(n, np.int64)
+    at_start[first] = counts
+    places, groups = np.empty(n, np.int64), np.empty(n, np.int64)
+    places[order], groups[order] = np.arange(n), starts
+    sa, place, group, size = order.tolist(), places.tolist(), groups.tolist(), at_start.tolist()
     before = [-1] * n
     end = n
     while end > 0:
         start = group[sa[end - 1]]
+        if end - start == 1:
+            # A group of one: whatever precedes it goes to the top of its own group.
+            i = sa[start]
+            p = i - 1
+            while p >= 0 and group[p] > start:
+                p = before[p]
+            before[i] = p
+            if p >= 0:
+                g = group[p]
+                k = size[g]
+                if k > 1:
+                    to = g + k - 1
+                    at = place[p]
+                    other = sa[to]
+                    sa[to], sa[at] = p, other
+                    place[p], place[other] = to, at
+                    group[p], size[to], size[g] = to, 1, k - 1
+            end = start
+            continue
         follows: dict[int, int] = {}
-        for i in sorted(sa[start:end]) if end - start > 1 else sa[start:end]:
+        for i in sorted(sa[start:end]):
             p = i - 1
             while p >= 0 and group[p] > start:
                 p = before[p]

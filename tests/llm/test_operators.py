@@ -8,6 +8,7 @@ import time
 import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,19 @@ def test_repeated_bytes_are_cut_out_of_rows(spark, rows):
     assert {r.text for r in out.where("doc_id in (300, 500)").collect()} == {None}
 
 
+def test_word_hashes_hold_wherever_a_word_stands():
+    r = random.Random(14)
+    words = [bytes(r.choice(b"abcXYZ\xc3") for _ in range(n)) for n in (1, 2, 3, 5, 4095, 4096, 4097, 9000, 70_000)]
+    own = {w: int(substring_dedup.word_hashes(np.frombuffer(w, np.uint8))[1][0]) for w in words}
+    assert len(set(own.values())) == len(words) and own[words[2]] == substring_dedup.word_hashes(np.frombuffer(words[2].lower(), np.uint8))[1][0]
+    order = [r.choice(words) for _ in range(200)]
+    at, got = substring_dedup.word_hashes(np.frombuffer(b" \n" + b"\t ".join(order) + b" ", np.uint8))
+    assert got.tolist() == [own[w] for w in order] and at[0] == 2
+    joined = np.frombuffer(b"".join(order), np.uint8)
+    breaks = np.cumsum([0, *map(len, order[:-1])])
+    assert substring_dedup.word_hashes(joined, breaks)[1].tolist() == got.tolist()
+
+
 def test_repeats_in_long_texts(spark):
     r = random.Random(4)
     long = "".join(r.choice("abcdefgh ") for _ in range((2 << 20) + 900))
