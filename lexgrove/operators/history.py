@@ -13,18 +13,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrove.operators.structure import ARTICLE, ITEM, LAST_VIGENCIA, NOTE, label_of, normalized, notes_in, parse
+from lexgrove.functions.phrases import Phrase, tokens
+from lexgrove.operators.structure import ARTICLE, ITEM, label_of, normalized, notes_in, parse, without_notes, without_vigencia
 
-#: Fixed values.
-INTRODUCED = r"(?iU)\((?:Reda[çc][ãa]o\s+dada|Inclu[íi]d[oa]|Acrescid[oa])\s+pel[oa]\s+([^()]+?)\s*\)"
-LATE = r"(?iU)Promulga[çc][ãa]o\s+partes\s+vetadas"
+#: How a note names the act that brought a wording, and a late promulgation.
+BRINGS = [Phrase(p) for p in ("( redacao dada pelo|pela", "( incluido|incluida|acrescido|acrescida pelo|pela")]
+LATE = Phrase("promulgacao partes vetadas")
 LATE_REVIEW = "vetoed part promulgated later: in-force date not established"
 
 
+def act_in(note: str) -> str | None:
+    """The act that a note of a wording or an addition names, up to the first parenthesis after it."""
+    toks = tokens(note)
+    for phrase in BRINGS:
+        for f in phrase.search(toks):
+            start = toks[f.after - 1].end
+            ends = [note.find(c, start) for c in "()"]
+            act = normalized(note[start : ends[1]]) if ends[1] >= 0 and not 0 <= ends[0] < ends[1] else ""
+            if act:
+                return act
+    return None
+
+
 def introduced_by(notes: Column) -> Column:
     """OP-H04: the act that the first note of a wording or an addition names; null without one."""
-    named = F.filter(F.transform(notes, lambda n: F.regexp_extract(n, INTRODUCED, 1)), lambda a: a != "")
-    return F.regexp_replace(F.try_element_at(named, F.lit(1)), r"(?U)\s+", " ")
+
+    @F.pandas_udf("string")
+    def run(each: pd.Series) -> pd.Series:
+        return each.map(lambda own: next((a for n in (own if own is not None else []) if n and (a := act_in(n))), None))
+
+    return run(notes)
+
+
+def promulgated_late(notes: Column) -> Column:
+    """OP-H13: if a note speaks of vetoed parts that were promulgated later."""
+
+    @F.pandas_udf("boolean")
+    def run(each: pd.Series) -> pd.Series:
+        return each.map(lambda own: any(n and next(LATE.search(tokens(n)), None) is not None for n in (own if own is not None else [])))
+
+    return run(notes)
 
 
 def struck_parts(line: Column) -> Column:
@@ -34,9 +62,9 @@ def struck_parts(line: Column) -> Column:
     def run(lines: pd.Series) -> pd.DataFrame:
         def each(x: str | None) -> tuple:
             found = label_of(normalized(x or ""))
-            if not found or found[0] == ITEM:
+            if not found or found.level == ITEM:
                 return None, None, None, []
-            return found[0], found[2], normalized(LAST_VIGENCIA.sub("", NOTE.sub(" ", found[3]))), notes_in(x)
+            return found.level, found.shown, without_vigencia(normalized(without_notes(found.rest))), notes_in(x)
 
         return pd.DataFrame([each(x) for x in lines], columns=["level", "label", "text", "notes"]).astype({"level": "Int32"})
 
@@ -74,7 +102,7 @@ def extract_history(blocks: DataFrame) -> DataFrame:
     lines_old = lines_old.select("n.id", F.col("r.line_no").alias("at"), F.col("r.p.text").alias("text"), F.col("r.p.notes").alias("notes"))
     earlier = blocks_old.join(now.select("id"), "id", "left_semi").unionByName(lines_old)
     every = earlier.withColumn("_now", F.lit(0)).unionByName(now.select("id", F.col("start_line").alias("at"), "text", "notes", F.lit(1).alias("_now")))
-    every = every.select("id", "_now", "at", "text", introduced_by(F.col("notes")).alias("introduced_by"), F.when(F.exists("notes", lambda n: n.rlike(LATE)), LATE_REVIEW).alias("review"))
+    every = every.select("id", "_now", "at", "text", introduced_by(F.col("notes")).alias("introduced_by"), F.when(promulgated_late(F.col("notes")), LATE_REVIEW).alias("review"))
     order, whole = W.partitionBy("id").orderBy("_now", "at"), W.partitionBy("id")
     kept = every.withColumns({"seq": F.row_number().over(order).cast("long"), "_n": F.count("*").over(whole)}).where("_n > 1 or introduced_by is not null")
     return kept.select("id", "seq", "text", "introduced_by", "review")
