@@ -112,6 +112,20 @@ def act_of(toks: list[Token]) -> str:
     return LAWS["12527"] if named else DEFAULT_ACT
 
 
+#: How a note, or the label of its link, names the act that brought a wording.
+BRINGS = [Phrase(p) for p in ("( redacao dada pelo|pela", "( incluido|incluida|acrescido|acrescida pelo|pela")]
+
+
+def amending_act(note: str, closed: bool = True) -> str | None:
+    """The act that the first note of a wording or an addition names, up to the next parenthesis; closed: that one must close the note."""
+    toks = tokens(note)
+    for found in sorted(f for phrase in BRINGS for f in phrase.search(toks)):
+        act, sign, rest = (note[toks[found.after - 1].end :] + ("" if closed else ")")).partition(")")
+        if sign and "(" not in act and act.strip() and (closed or not rest.strip(" )")):
+            return " ".join(act.split())
+    return None
+
+
 def capital(t: Token | None) -> bool:
     return t is not None and t.kind == "word" and len(t.text) == 1 and t.text.isupper()
 

@@ -13,34 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrove.functions.grammar import amending_act
 from lexgrove.functions.phrases import Phrase, tokens
 from lexgrove.operators.structure import ARTICLE, ITEM, label_of, normalized, notes_in, parse, without_notes, without_vigencia
 
-#: How a note names the act that brought a wording, and a late promulgation.
-BRINGS = [Phrase(p) for p in ("( redacao dada pelo|pela", "( incluido|incluida|acrescido|acrescida pelo|pela")]
+#: Fixed values.
 LATE = Phrase("promulgacao partes vetadas")
 LATE_REVIEW = "vetoed part promulgated later: in-force date not established"
 
 
-def act_in(note: str) -> str | None:
-    """The act that a note of a wording or an addition names, up to the first parenthesis after it."""
-    toks = tokens(note)
-    for phrase in BRINGS:
-        for f in phrase.search(toks):
-            start = toks[f.after - 1].end
-            ends = [note.find(c, start) for c in "()"]
-            act = normalized(note[start : ends[1]]) if ends[1] >= 0 and not 0 <= ends[0] < ends[1] else ""
-            if act:
-                return act
-    return None
-
-
 def introduced_by(notes: Column) -> Column:
     """OP-H04: the act that the first note of a wording or an addition names; null without one."""
 
     @F.pandas_udf("string")
     def run(each: pd.Series) -> pd.Series:
-        return each.map(lambda own: next((a for n in (own if own is not None else []) if n and (a := act_in(n))), None))
+        return each.map(lambda own: next((a for n in (own if own is not None else []) if n and (a := amending_act(n))), None))
 
     return run(notes)
 
