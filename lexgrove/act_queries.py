@@ -77,7 +77,7 @@ def explicit_first(read):
 
     b, d = read("benchmark"), read("documents")
     named = passages_in(b, d).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id"))
-    return S.explicit_first(named, S.top(S.bm25(b, S.postings(d)), 10), 10).withColumn("rank", F.col("rank").cast("long"))
+    return S.explicit_first(named, S.bm25(b, S.postings(d), 10), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {TREE}, t AS (SELECT o_orderkey, id, regexp_replace(id, ':o[0-9]+$', '') AS above FROM tree),

@@ -131,8 +131,7 @@ def search(questions: DataFrame, index: Index, tuning: Tuning = Tuning(), mode:
         raise ValueError(f"no such mode: {mode}")
     lists, best = [], None
     if mode != "dense":
-        asked = questions.select(F.col("qid").alias("item_id"), "text")
-        lists.append((S.top(S.cover_density(asked, index.posted, tuning.normalization), tuning.pool), tuning.lexical_weight))
+        lists.append((S.cover_density(questions, index.posted, tuning.normalization, tuning.pool, "qid"), tuning.lexical_weight))
     if mode != "lexical":
         dense = S.dense_topk(questions.where("text is not null").select("qid", index.embed(F.col("text")).alias("q")), index.vectors, tuning.pool)
         lists.append((dense, tuning.dense_weight))
@@ -150,10 +149,7 @@ def search(questions: DataFrame, index: Index, tuning: Tuning = Tuning(), mode:
         ranked = rerank(ranked, questions, index.chunks, scorer, tuning.depth)
     hits = ranked.where(F.col("rank") <= tuning.k).join(index.provisions.select("id").distinct(), "id", "left_semi").select("qid", "id", "score", "rank", "explicit")
     summary = refs.join(best, "qid", "left") if best is not None else refs.withColumn("best", F.lit(None).cast("double"))
-    reason = (
-        F.when(F.size("explicit") > 0, None)
-        .when(F.size("missing") > 0, "nonexistent_provision")
-        .when(F.size("acts") > 0, "out_of_scope")
-        .when(F.lit(tuning.threshold is not None) & (F.coalesce("best", F.lit(-2.0)) < F.lit(float(tuning.threshold or 0))), "low_score")
-    )
-    return hits, summary.select("qid", "best", "explicit", "missing", "acts", reason.alias("refused"))
+    lists = {"explicit": "_explicit", "missing": "_missing", "acts": "_foreign"}
+    counted = summary.withColumnsRenamed(lists).select("qid", "best", *lists.values(), *[F.size(c).alias(c[1:]) for c in lists.values()])
+    told = S.refusal(counted, tuning.threshold).select("qid", "best", *lists.values(), "refused")
+    return hits, told.withColumnsRenamed({v: k for k, v in lists.items()})

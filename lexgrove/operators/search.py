@@ -1,28 +1,142 @@
-"""Retrieval for a batch of questions (OP-R02 to R17, J02, J05, J07, T01, T02, X02, F09)."""
+"""Retrieval for a batch of questions (OP-R02 to R17, J02, J05, J07, T01, T02, X02, F09).
+
+Lexical scores are made in the scan: the terms of a lot of questions go to the executors (a lot is bounded, a
+batch of any size is searched lot by lot), a document's tokens meet them in its own row, and each task passes on
+only its n best documents of a question. No token is shuffled. The analyzer is tokens(): no stems, no stop words.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import or_terms, tokens
 
-
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, len, term, tf, gap: gap sums 1 / distance over neighbouring places of matching terms and depends on the question,
-    so only places are kept: array<int>."""
-    own = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("_t"))
-    each = own.select("id", F.size("_t").alias("len"), F.posexplode("_t").alias("pos", "term"))
-    return each.groupBy("id", "len", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("pos") + 1)).alias("places"))
+#: Questions of a lot, and their terms in all: the executors hold a table of one by the other, a byte each.
+LOT_QUESTIONS, LOT_TERMS = 512, 50_000
 
 
-def question_terms(questions: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    return questions.select(F.col(key).alias("qid"), F.explode(or_terms(F.col(text))).alias("term"))
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, t: each document's tokens in order. A null text has none."""
+    return docs.select(F.col(key).alias("id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
+
+
+@dataclass
+class Lot:
+    """Questions, the numbers of their terms, and which question has which term."""
+
+    qids: list
+    numbers: dict[str, int]
+    has: np.ndarray  # terms x questions
+
+    @staticmethod
+    def of(rows: list[tuple]) -> Lot:
+        numbers: dict[str, int] = {}
+        pairs = [(numbers.setdefault(t, len(numbers)), q) for q, (_, terms) in enumerate(rows) for t in terms]
+        has = np.zeros((len(numbers), len(rows)), bool)
+        for t, q in pairs:
+            has[t, q] = True
+        return Lot([q for q, _ in rows], numbers, has)
+
+
+def lots(questions: DataFrame, key: str, text: str) -> Iterator[Lot]:
+    """Only one lot and one partition of the questions are on the driver at a time."""
+    rows, held = [], 0
+    for qid, terms in questions.select(F.col(key), or_terms(F.col(text))).toLocalIterator():
+        if terms and (len(rows) >= LOT_QUESTIONS or held + len(terms) > LOT_TERMS):
+            yield Lot.of(rows)
+            rows, held = [], 0
+        if terms:
+            rows.append((qid, terms))
+            held += len(terms)
+    if rows:
+        yield Lot.of(rows)
+
+
+class Batch:
+    """Documents' tokens as numbers of a lot's terms: of those that are any, document, place and term; and each document's number of tokens."""
+
+    def __init__(self, column: pa.ListArray, vocabulary: pa.Array) -> None:
+        self.column = column
+        self.sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.cumsum(self.sizes) - self.sizes
+        found = pc.fill_null(pc.index_in(column.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(found >= 0)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[at]
+        self.place, self.term = at - begins[self.doc], found[at].astype(np.int64)
+        self.edges = np.searchsorted(self.doc, np.arange(len(self.sizes) + 1))
+
+    def documents(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each document that has a term: its row, the places of its terms, and the terms."""
+        for d in np.flatnonzero(np.diff(self.edges)).tolist():
+            own = slice(self.edges[d], self.edges[d + 1])
+            yield d, self.place[own], self.term[own]
+
+    def different(self, d: int) -> int:
+        return len(set(self.column[d].as_py()))
+
+
+class Best:
+    """The n best documents of each question so far; ties by id."""
+
+    def __init__(self, questions: int, n: int) -> None:
+        self.n, self.held = n, [(np.empty(0), [])] * questions
+
+    def add(self, scores: np.ndarray, ids: list) -> None:
+        """scores: documents x questions, NaN where they don't meet."""
+        for q in range(scores.shape[1]):
+            met = np.flatnonzero(~np.isnan(scores[:, q]))
+            if not len(met):
+                continue
+            own = scores[met, q]
+            if len(met) > self.n:
+                near = own >= np.partition(own, len(own) - self.n)[len(own) - self.n]
+                met, own = met[near], own[near]
+            old, names = self.held[q]
+            every, names = np.concatenate([old, own]), names + [ids[i] for i in met]
+            order = sorted(range(len(names)), key=lambda i: (-every[i], names[i]))[: self.n]
+            self.held[q] = every[order], [names[i] for i in order]
+
+    def rows(self, qids: list) -> list[tuple]:
+        return [(qid, i, float(x)) for qid, (scores, ids) in zip(qids, self.held) for x, i in zip(scores, ids)]
+
+
+def best_in_scan(questions: DataFrame, posted: DataFrame, n: int, scorer: Callable, key: str, text: str) -> DataFrame:
+    """qid, id, score: what may be among a question's n best.
+
+    scorer(lot): a function of the lot and a Batch that yields rows of the batch with their scores by question, NaN where they share no term.
+    """
+    spark, kinds = posted.sparkSession, (questions.schema[key].dataType, posted.schema["id"].dataType)
+    schema = f"qid {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
+    rows = posted.select("id", "t").where("id is not null")
+    out = None
+    for lot in lots(questions, key, text):
+        shared, score = spark.sparkContext.broadcast(lot), scorer(lot)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, score=score) -> Iterator[pa.RecordBatch]:
+            lot = shared.value
+            best, vocabulary, kind = Best(len(lot.qids), n), pa.array(list(lot.numbers), pa.string()), pa.null()
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                met = list(score(lot, Batch(batch.column(1), vocabulary)))
+                if met:
+                    best.add(np.array([x for _, x in met]), batch.column(0).take(pa.array([d for d, _ in met])).to_pylist())
+            found = best.rows(lot.qids)
+            if found:
+                q, i, x = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i, kind), pa.array(x, pa.float64())], names=["qid", "id", "score"])
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def top(scored: DataFrame, n: int) -> DataFrame:
@@ -31,28 +145,80 @@ def top(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def cover_density(questions: DataFrame, posted: DataFrame, flag: int) -> DataFrame:
-    """OP-R03: qid, id, score. A bit mask of one flag: 0 raw; 1 by log length; 2 by length; 4 by mean harmonic distance; 32 r / (r + 1)."""
-    met = posted.join(question_terms(questions), "term")
-    if flag == 4:
-        found = met.groupBy("qid", "id").agg(F.sum("tf").alias("n"), F.array_sort(F.flatten(F.collect_list("places"))).alias("p"))
-        near = F.aggregate(F.zip_with(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), lambda b, a: 1.0 / (b - a)), F.lit(0.0), lambda x, y: x + y)
-        score = F.when(F.col("n") < 2, 0.1 * F.col("n")).otherwise(0.1 * F.col("n") * near / F.col("n"))
-    else:
-        found = met.groupBy("qid", "id").agg(F.sum("tf").alias("n"), F.first("len").alias("len"))
-        raw = 0.1 * F.col("n")
-        score = {0: raw, 1: raw / (1 + F.log(F.col("len").cast("double"))), 2: raw / F.col("len"), 32: raw / (raw + 1)}[flag]
-    return found.select("qid", "id", F.round(score, 6).alias("score"))
+def density(flag: int) -> Callable:
+    """The scorer of cover_density()."""
+
+    def score(lot: Lot, batch: Batch) -> Iterator[tuple[int, np.ndarray]]:
+        by_question = np.ascontiguousarray(lot.has.T)
+        for d, place, term in batch.documents():
+            terms, tf = np.unique(term, return_counts=True)
+            n, size = tf @ lot.has[terms].astype(np.float64), int(batch.sizes[d])
+            out = 0.1 * n
+            if flag & 4:
+                q, k = np.nonzero(by_question[:, term])
+                follows = q[1:] == q[:-1]
+                near = np.bincount(q[1:][follows], weights=1.0 / np.diff(place[k])[follows], minlength=len(n))
+                out = np.where(n < 2, out, out * near / np.maximum(n, 1))
+            if flag & 1:
+                out = out / (1 + np.log(size))
+            if flag & 2:
+                out = out / size
+            if flag & 8:
+                out = out / batch.different(d)
+            if flag & 16:
+                out = out / (1 + np.log(batch.different(d)))
+            if flag & 32:
+                out = out / (out + 1)
+            yield d, np.where(n > 0, np.round(out, 6), np.nan)
+
+    return lambda lot: score
+
+
+def cover_density(questions: DataFrame, posted: DataFrame, flag: int, n: int, key: str = "item_id", text: str = "text") -> DataFrame:
+    """OP-R03: qid, id, score, rank: a question's n best documents.
+
+    flag: a bit mask. 1: by log length; 2: by length; 4: by mean harmonic distance; 8: by different words; 16: by their log; 32: r / (r + 1).
+    """
+    return top(best_in_scan(questions, posted, n, density(flag), key, text), n)
 
 
-def bm25(questions: DataFrame, posted: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    sizes = posted.groupBy("id").agg(F.first("len").alias("len"))
-    n, mean = sizes.agg(F.count("*"), F.avg("len")).first()
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1))))
-    met = posted.join(question_terms(questions).join(df, "term"), "term")
-    return met.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+def corpus_counts(posted: DataFrame, lot: Lot) -> tuple[int, float, np.ndarray]:
+    """Documents with tokens, their mean number of tokens, and for each term of the lot how many have it: one row of each task."""
+    shared = posted.sparkSession.sparkContext.broadcast(list(lot.numbers))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(shared.value, pa.string())
+        docs = size = 0
+        df = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            own = Batch(batch.column(0), vocabulary)
+            docs, size = docs + int((own.sizes > 0).sum()), size + int(own.sizes.sum())
+            df += np.bincount(np.unique(own.doc * len(vocabulary) + own.term) % len(vocabulary), minlength=len(vocabulary))
+        yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([size]), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["docs", "size", "df"])
+
+    docs, size, df = 0, 0, np.zeros(len(lot.numbers), np.int64)
+    for r in posted.select("t").mapInArrow(run, "docs long, size long, df array<long>").toLocalIterator():
+        docs, size, df = docs + r.docs, size + r["size"], df + np.array(r.df)
+    return docs, size / max(1, docs), df
+
+
+def bm25(questions: DataFrame, posted: DataFrame, n: int, k1: float = 1.2, b: float = 0.75, key: str = "item_id", text: str = "text") -> DataFrame:
+    """qid, id, score, rank: a question's n best documents. Counts over all documents come from one pass before."""
+
+    def scorer(lot: Lot) -> Callable:
+        docs, mean, df = corpus_counts(posted, lot)
+        idf = np.log(1 + (docs - df + 0.5) / (df + 0.5))
+
+        def score(lot: Lot, batch: Batch) -> Iterator[tuple[int, np.ndarray]]:
+            weights = lot.has * idf[:, None]
+            for d, _, term in batch.documents():
+                terms, tf = np.unique(term, return_counts=True)
+                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * int(batch.sizes[d]) / mean))
+                yield d, np.where(lot.has[terms].any(0), np.round(part @ weights[terms], 6), np.nan)
+
+        return score
+
+    return top(best_in_scan(questions, posted, n, scorer, key, text), n)
 
 
 BLOCK = 1024
@@ -104,7 +270,8 @@ def rrf(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
         raise ValueError("k must be positive")
     out = None
     for ranking, weight in rankings:
-        part = ranking.select("qid", "id", "rank", F.lit(float(weight)).alias("w"))
+        # A list that names a document twice counts its first rank.
+        part = ranking.groupBy("qid", "id").agg(F.min("rank").alias("rank")).withColumn("w", F.lit(float(weight)))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("qid", "id").agg(F.round(F.sum(F.col("w") / (k + F.col("rank"))), 6).alias("score"), F.min("rank").alias("best"))
 
@@ -116,21 +283,26 @@ def first_existing(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(met, "rid", "left").select("rid", "found", F.when(F.col("found").isNull(), F.element_at("ids", -1)).alias("missing"))
 
 
-def refusal(summary: DataFrame, threshold: float) -> DataFrame:
-    """OP-F09: explicit answers are never refused; then a missing reference, a foreign act, a low score."""
+def refusal(summary: DataFrame, threshold: float | None) -> DataFrame:
+    """OP-F09: explicit answers are never refused; then a missing reference, a foreign act, a low score.
+
+    summary: explicit, missing and foreign as counts, and best, the question's best similarity. Without a threshold no score is low.
+    """
+    low = F.lit(False) if threshold is None else F.col("best").isNull() | (F.col("best") < threshold)
     reason = (
         F.when(F.col("explicit") > 0, None)
         .when(F.col("missing") > 0, "nonexistent_provision")
         .when(F.col("foreign") > 0, "out_of_scope")
-        .when(F.col("best").isNull() | (F.col("best") < threshold), "low_score")
+        .when(low, "low_score")
     )
     return summary.withColumn("refused", reason)
 
 
-def overlap(questions: DataFrame, posted: DataFrame, head: DataFrame) -> DataFrame:
+def overlap(questions: DataFrame, posted: DataFrame, head: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """OP-R15's deterministic scorer: qid, id, score (how many of a question's terms a document has), for the rows of head only."""
-    met = posted.join(question_terms(questions), "term").join(head.select("qid", "id"), ["qid", "id"], "left_semi")
-    return met.groupBy("qid", "id").agg(F.count("*").alias("score"))
+    asked = questions.select(F.col(key).alias("qid"), or_terms(F.col(text)).alias("_q"))
+    met = posted.join(head.select("qid", "id"), "id").join(asked, "qid")
+    return met.select("qid", "id", F.size(F.array_intersect("_q", "t")).cast("long").alias("score")).where("score > 0")
 
 
 def blend(original: DataFrame, reranked: DataFrame, k: int = 60) -> DataFrame:

@@ -51,7 +51,7 @@ def token_stats(read):
 def _lexical(flag: int, score: str):
     def f(read):
         posted = S.postings(read("documents"))
-        return S.top(S.cover_density(read("benchmark"), posted, flag), 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+        return S.cover_density(read("benchmark"), posted, flag, 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
     f.__name__ = "lexical_topk" if flag == 4 else f"lexical_flag{flag}"
     gaps = "g AS (SELECT qid, id, len, pos, lag(pos) OVER (PARTITION BY qid, id ORDER BY pos) AS before FROM m),"
@@ -74,7 +74,7 @@ s AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBL
 
 @query(f"WITH {POSTED} {BM25} {TOP10}")
 def bm25_topk(read):
-    return S.top(S.bm25(read("benchmark"), S.postings(read("documents"))), 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.bm25(read("benchmark"), S.postings(read("documents")), 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 DENSE = "SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0"
@@ -96,7 +96,7 @@ v AS ({DENSE}), den AS (SELECT qid, id, score, rank FROM (SELECT *, row_number()
 f AS (SELECT qid, id, round(sum(w / (60 + rank)), 6) AS score, min(rank) AS best FROM (SELECT qid, id, rank, 0.5::DOUBLE AS w FROM lex UNION ALL SELECT qid, id, rank, 1.0 FROM den) GROUP BY qid, id)
 SELECT qid, id, score, best, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best, id) AS rank FROM f""")
 def hybrid_rrf(read):
-    lexical = S.top(S.bm25(read("benchmark"), S.postings(read("documents"))), 10)
+    lexical = S.bm25(read("benchmark"), S.postings(read("documents")), 10)
     fused = S.rrf([(lexical, 0.5), (_dense(read, 10), 1.0)])
     order = W.partitionBy("qid").orderBy(F.col("score").desc(), "best", "id")
     return fused.select("qid", "id", "score", F.col("best").cast("long").alias("best"), F.row_number().over(order).cast("long").alias("rank"))
@@ -368,7 +368,7 @@ c AS (SELECT qid, id, r1, round(1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r1) AS rank FROM c""")
 def rerank_blend(read):
     posted = S.postings(read("documents"))
-    head = S.top(S.bm25(read("benchmark"), posted), 10)
+    head = S.bm25(read("benchmark"), posted, 10)
     return S.blend(head, S.top(S.overlap(read("benchmark"), posted, head), 10)).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 

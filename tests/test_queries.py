@@ -43,5 +43,34 @@ def test_rrf_is_weighted_and_ties_go_by_best_rank_then_id(spark):
 
 def test_top_k_uses_window_group_limit(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    plan = S.top(S.cover_density(spark.read.parquet(f"{SF}/benchmark.parquet"), S.postings(docs), 0), 10)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+    for ranked in (S.cover_density(spark.read.parquet(f"{SF}/benchmark.parquet"), S.postings(docs), 0, 10), S.bm25(spark.read.parquet(f"{SF}/benchmark.parquet"), S.postings(docs), 10)):
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        # The only shuffle is that of each task's best, by question.
+        assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and plan.count("Exchange ") == plan.count("Exchange hashpartitioning(qid") == 1
+
+
+def test_rrf_counts_a_repeated_document_once_at_its_first_rank(spark):
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "x", 3)], "qid long, id string, rank int")
+    assert {r.id: r.score for r in S.rrf([(a, 2.0)]).collect()} == {"x": round(2 / 61, 6), "y": round(2 / 62, 6)}
+
+
+def test_lexical_cases(spark):
+    """Nulls, empty texts, terms that none has, repeated questions, ties, combined flags, and lots of one question."""
+    docs = spark.createDataFrame([(1, "mar azul mar"), (2, "Mar, calmo"), (3, None), (4, ""), (None, "mar"), (5, "mar calmo")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "o mar calmo"), (8, None), (9, ""), (10, "floresta"), (11, "a"), (12, "mar")], "item_id long, text string")
+    rows = lambda df: sorted((r.qid, r["rank"], r.id, r.score) for r in df.collect())
+    posted = S.postings(docs)
+    flat = rows(S.cover_density(asked, posted, 0, 2))
+    assert flat == [(7, 1, 1, 0.2), (7, 2, 2, 0.2), (12, 1, 1, 0.2), (12, 2, 2, 0.1)]
+    import math
+
+    both = {(r[0], r[2]): r[3] for r in rows(S.cover_density(asked, posted, 1 | 8 | 32, 9))}
+    raw = 0.2 / (1 + math.log(3)) / 2
+    assert both[12, 1] == round(raw / (raw + 1), 6) and (12, 5) in both and len(both) == 6
+    one = rows(S.bm25(asked, posted, 9))
+    S.LOT_QUESTIONS, kept = 1, S.LOT_QUESTIONS
+    try:
+        assert rows(S.bm25(asked, posted, 9)) == one and rows(S.cover_density(asked, posted, 0, 2)) == flat
+    finally:
+        S.LOT_QUESTIONS = kept
+    assert rows(S.cover_density(asked.limit(0), posted, 4, 5)) == [] and rows(S.bm25(asked, posted.limit(0), 5)) == []
