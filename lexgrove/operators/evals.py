@@ -1,7 +1,10 @@
-"""Evaluation aggregates (OP-A07 to A10, A18, J14)."""
+"""Evaluation aggregates (OP-A07 to A14, A18, E01 to E05, E14, J14)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,32 +12,59 @@ from pyspark.sql import functions as F
 from lexgrove.functions.text import ancestors
 
 
-def word_runs(words: str, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+#: Bytes of the texts that one automaton holds, about; a node takes up to 50 bytes for each.
+LOT_BYTES = 4 << 20
+
 
+def text_lots(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of items, in lots; one lot and one partition of the items are on the driver at a time."""
+    ids, texts, held = [], [], 0
+    for item, text in items.where("text <> ''").select("item_id", "text").toLocalIterator():
+        ids.append(item)
+        texts.append(text)
+        held += len(text.encode())
+        if held >= LOT_BYTES:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
 
-def passages_in(items: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
-    """item_id, doc_id: documents that hold an item's text verbatim; an item without text is in none.
 
-    Words inside an item stand between spaces wherever it occurs, so its second and following words (as many as
-    words) meet the documents' runs of that many words by an equi-join; only what meets is searched. Items of one
-    or two words have no inner word: these few are looked for in every text.
+def passages_in(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """OP-J14: item_id, doc_id: documents that hold an item's text verbatim; an item without text is in none.
+
+    Each lot of texts goes to the executors as one automaton, which finds all of them, of any length, in one reading
+    of each document. Documents aren't shuffled, only what is found.
     """
-    n = F.size(F.split("text", " "))
-    sought = items.where("text <> ''").select("item_id", F.col("text").alias("_item"), F.least(n - 2, F.lit(words)).alias("_n"), F.split("text", " ").alias("_w"))
-    long = sought.where("_n > 0").select("item_id", "_item", "_n", F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " ").alias("_key"))
-    split = docs.where("text is not null").select("doc_id", F.split("text", " ").alias("_d"))
-    # At most as many lengths as words.
-    lengths = sorted(r[0] for r in long.select("_n").distinct().collect())
-    met = None
-    for k in lengths:
-        part = split.select("doc_id", F.explode(F.array_distinct(word_runs("_d", k))).alias("_key")).join(long.where(F.col("_n") == k), "_key").select("doc_id", "item_id", "_item")
-        met = part if met is None else met.unionByName(part)
-    short = sought.where("_n <= 0").select("item_id", "_item")
-    found = docs.select("doc_id", "text").join(short, F.contains("text", F.col("_item"))).select("item_id", "doc_id")
-    if met is not None:
-        found = found.unionByName(met.distinct().join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("_item"))).select("item_id", "doc_id"))
-    return found.distinct()
+    spark = docs.sparkSession
+    kinds = items.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    out = None
+    for ids, texts in text_lots(items):
+        by_text: dict[str, list[int]] = {}
+        for n, t in enumerate(texts):
+            by_text.setdefault(t, []).append(n)
+        shared = spark.sparkContext.broadcast(by_text)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for t, numbers in shared.value.items():
+                machine.add_word(t, numbers)
+            machine.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for d, text in enumerate(batch.column(1).to_pylist()):
+                    own = sorted({n for _, numbers in machine.iter(text) for n in numbers})
+                    at += [d] * len(own)
+                    found += own
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], names=["doc_id", "n"])
+
+        met = docs.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kinds[1]}, n long").distinct()
+        names = spark.createDataFrame(list(enumerate(ids)), f"n long, item_id {kinds[0]}")
+        part = met.join(F.broadcast(names), "n").select("item_id", "doc_id")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], f"item_id {kinds[0]}, doc_id {kinds[1]}") if out is None else out.distinct()
 
 
 def percentiles_by(rows: DataFrame, split: str, value: str) -> DataFrame:
@@ -64,6 +94,59 @@ def metrics_by_split(items: DataFrame, expected: DataFrame) -> DataFrame:
     return out.select(F.coalesce("_s", F.lit("all")).alias("split"), *out.columns[1:])
 
 
+def evaluation(items: DataFrame, expected: DataFrame, ranked: DataFrame, refusals: DataFrame) -> DataFrame:
+    """OP-E01 to E03, A13: split (and all), answerable, refuse, recall1, recall5, recall10, hit5, mrr, refusal_accuracy, false_refusal_rate.
+
+    items: item_id, split, must_refuse. expected: item_id, id, of those that must be answered. ranked: item_id, id, rank
+    from 1. refusals: item_id, refused (null: answered). A refused question shows nothing, so it ranks nothing. Means
+    over no items are 0, but for the accuracy of refusals, which then is null. Rounded to four digits.
+    """
+    told = refusals.groupBy("item_id").agg(F.max(F.col("refused").isNotNull()).alias("_refused"))
+    every = items.join(told, "item_id", "left").withColumn("_refused", F.coalesce("_refused", F.lit(False)))
+    shown = ranked.join(every.where("not _refused and not must_refuse").select("item_id"), "item_id", "left_semi")
+    share = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))
+    each = expected_ranks(expected.distinct(), shown).groupBy("item_id").agg(F.min("rank").alias("_first"), *[share(k).alias(f"_r{k}") for k in (1, 5, 10)])
+    met = every.join(each, "item_id", "left").select(F.col("split").alias("_s"), "must_refuse", "_refused", "_first", "_r1", "_r5", "_r10")
+    answer, refuse = ~F.col("must_refuse"), F.col("must_refuse")
+    mean = lambda c, where: F.round(F.avg(F.when(where, c)), 4)
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    or_zero = lambda c, where: F.coalesce(mean(F.coalesce(c, F.lit(0.0)), where), F.lit(0.0))
+    out = met.groupingSets([[F.col("_s")], []], F.col("_s")).agg(
+        F.count_if(answer).alias("answerable"),
+        F.count_if(refuse).alias("refuse"),
+        *[or_zero(F.col(f"_r{k}"), answer).alias(f"recall{k}") for k in (1, 5, 10)],
+        or_zero(flag(F.col("_first") <= 5), answer).alias("hit5"),
+        or_zero(1.0 / F.col("_first"), answer).alias("mrr"),
+        mean(flag(F.col("_refused")), refuse).alias("refusal_accuracy"),
+        or_zero(flag(F.col("_refused")), answer).alias("false_refusal_rate"),
+    )
+    return out.select(F.coalesce("_s", F.lit("all")).alias("split"), *out.columns[1:])
+
+
+def generation_metrics(items: DataFrame) -> DataFrame:
+    """OP-E05, A11, A14, A12: one row: answerable, answered_rate, citation_recall, must_refuse, refusal_accuracy, input_tokens, output_tokens, latency_p50, latency_p95.
+
+    items: must_refuse, answered, recall (null: 0), input_tokens, output_tokens, latency. The median lies between the
+    middle two; the 95th percentile is the latency at place floor(0.95 (n - 1)) from 0. Without items all are 0.
+    """
+    answer, zero = ~F.col("must_refuse"), F.lit(0.0)
+    rate = lambda c, where: F.coalesce(F.round(F.avg(F.when(where, c)), 6), zero)
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    n = items.count()
+    # The share at which percentile_disc() takes the value at that place.
+    share = (int(0.95 * (n - 1)) + 0.5) / n if n else 0.5
+    return items.agg(
+        F.count_if(answer).alias("answerable"),
+        rate(flag(F.col("answered")), answer).alias("answered_rate"),
+        rate(F.when(F.col("answered"), F.coalesce("recall", zero)).otherwise(0.0), answer).alias("citation_recall"),
+        F.count_if(~answer).alias("must_refuse"),
+        rate(flag(~F.col("answered")), ~answer).alias("refusal_accuracy"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")],
+        F.coalesce(F.expr("percentile(latency, 0.5)"), zero).alias("latency_p50"),
+        F.coalesce(F.expr(f"percentile_disc({share!r}D) within group (order by latency)"), zero).alias("latency_p95"),
+    )
+
+
 def gate(rows: DataFrame, points: float) -> DataFrame:
     """OP-A20: config, dev, holdout, verdict: means by split, and if they differ by more than points."""
     out = rows.groupBy("config").pivot("split", ["dev", "holdout"]).agg(F.round(F.avg("value"), 6))
