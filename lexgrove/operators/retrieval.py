@@ -61,6 +61,22 @@ def chunks(provisions: DataFrame, names: DataFrame) -> DataFrame:
     return met.select("id", F.array_join(F.concat(F.array(head), F.coalesce("_above", F.array().cast("array<string>")), F.array("text")), "\n").alias("content"))
 
 
+def lookup(provisions: DataFrame, ids: DataFrame) -> DataFrame:
+    """OP-F01 to F03, J01: the provisions that ids (id; repeats count once) name, with normative: neither revoked nor vetoed."""
+    return provisions.join(ids.select("id"), "id", "left_semi").withColumn("normative", ~F.col("revoked") & ~F.col("vetoed"))
+
+
+def in_force_counts(provisions: DataFrame) -> DataFrame:
+    """OP-A22: document_id, provisions, in_force."""
+    return provisions.groupBy("document_id").agg(F.count("*").alias("provisions"), F.count_if(~F.col("revoked") & ~F.col("vetoed")).alias("in_force"))
+
+
+def holding_all(rows: DataFrame, column: str, words: list[str]) -> DataFrame:
+    """OP-F10: the rows whose column holds every word, accents and case aside. A null column holds none."""
+    text = T.fold(F.col(column))
+    return rows.where(F.forall(F.array(*[T.fold(F.lit(w)) for w in words]), lambda w: F.contains(text, w)))
+
+
 def build_index(provisions: DataFrame, names: DataFrame, dimension: int = 256) -> Index:
     embed = lambda c: hashing_embed(c, dimension)
     made = chunks(provisions, names)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
 from lexgrove.operators import search as S
+from lexgrove.operators.temporal import ORIGINAL
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,16 +150,24 @@ def roman_annex(read):
     return read("part").select("p_partkey", T.roman_value(T.roman(F.col("p_size"))).cast("long").alias("value"))
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus <> 'P' AS normative FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _orders_as_provisions(read):
+    """Orders as provisions of their customers' acts: revoked if open, vetoed if pending."""
+    return read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), (F.col("o_orderstatus") == "O").alias("revoked"), (F.col("o_orderstatus") == "P").alias("vetoed"))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus NOT IN ('O', 'P') AS normative FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def point_lookup(read):
-    ids = read("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read("orders").join(ids, "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "P").alias("normative"))
+    from lexgrove.operators.retrieval import lookup
+
+    ids = read("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return lookup(_orders_as_provisions(read), ids).select("id", "normative")
 
 
-@query("SELECT c_nationkey::BIGINT AS nation, count(*) AS all_, count(*) FILTER (o_orderstatus <> 'P') AS in_force FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+@query("SELECT o_custkey AS document_id, count(*) AS provisions, count(*) FILTER (o_orderstatus NOT IN ('O', 'P')) AS in_force FROM orders GROUP BY 1")
 def in_force(read):
-    o = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.count("*").alias("all_"), F.count_if(F.col("o_orderstatus") != "P").alias("in_force"))
+    from lexgrove.operators.retrieval import in_force_counts
+
+    return in_force_counts(_orders_as_provisions(read))
 
 
 @query("""SELECT o.o_orderkey AS rid, coalesce(a.o_orderkey, b.o_orderkey) AS found, CASE WHEN a.o_orderkey IS NULL AND b.o_orderkey IS NULL THEN o.o_orderkey * 3 + 1 END AS missing
@@ -188,9 +197,25 @@ def _versions(read):
     return read("orders").select(F.col("o_custkey").alias("id"), F.row_number().over(order).cast("long").alias("seq"), F.col("o_orderkey").alias("text"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date")).alias("valid_from"))
 
 
-@query(f"WITH {VERSIONS} SELECT id, seq, valid_from::VARCHAR AS valid_from, lead(valid_from) OVER (PARTITION BY id ORDER BY seq)::VARCHAR AS valid_to FROM v")
+ACTED = f"""{VERSIONS}, w AS (SELECT id, seq, text, CASE WHEN seq > 1 THEN 'act ' || text % 30 END AS introduced_by, CASE WHEN text % 17 = 0 THEN 'late' END AS review FROM v),
+a AS (SELECT 'act ' || n_nationkey AS name, DATE '1995-01-01' + (n_nationkey * 7)::INT AS in_force_from FROM nation),
+d AS (SELECT id, seq, introduced_by, CASE WHEN introduced_by IS NOT NULL AND review IS NULL THEN in_force_from END AS valid_from,
+  coalesce(review, CASE WHEN introduced_by IS NULL THEN '{ORIGINAL.replace(chr(39), chr(39) * 2)}' WHEN in_force_from IS NULL THEN 'no in-force date for ' || introduced_by END) AS review FROM w LEFT JOIN a ON name = introduced_by)"""
+
+
+def _dated(read):
+    """Orders as wordings, brought in by acts of which some have a date, through the operator."""
+    from lexgrove.operators.temporal import dated
+
+    by = F.when(F.col("seq") > 1, F.concat(F.lit("act "), (F.col("text") % 30).cast("string")))
+    versions = _versions(read).select("id", "seq", "text", by.alias("introduced_by"), F.when(F.col("text") % 17 == 0, "late").alias("review"))
+    acts = read("nation").select(F.concat(F.lit("act "), F.col("n_nationkey").cast("string")).alias("name"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("n_nationkey") * 7).cast("int")).alias("in_force_from"))
+    return dated(versions, acts)
+
+
+@query(f"WITH {ACTED} SELECT id, seq, valid_from::VARCHAR AS valid_from, lead(valid_from) OVER (PARTITION BY id ORDER BY seq)::VARCHAR AS valid_to FROM d")
 def valid_to_lead(read):
-    return _versions(read).select("id", "seq", F.col("valid_from").cast("string").alias("valid_from"), F.lead("valid_from").over(W.partitionBy("id").orderBy("seq")).cast("string").alias("valid_to"))
+    return _dated(read).select("id", "seq", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
 
 @query(f"""WITH {VERSIONS}, d AS (SELECT id, max(seq) FILTER (valid_from <= DATE '1997-01-01') AS chosen, min(seq) AS first FROM v GROUP BY id),
@@ -203,9 +228,9 @@ def asof_wording(read):
     return version_at(_versions(read), "1997-01-01")
 
 
-@query("SELECT o_orderkey, n_name AS act, CASE WHEN n_name IS NULL THEN 'unknown act' END AS review FROM orders LEFT JOIN nation ON o_custkey % 30 = n_nationkey")
+@query(f"WITH {ACTED} SELECT id, seq, introduced_by, review FROM d")
 def versions_join_acts(read):
-    return read("orders").join(F.broadcast(read("nation")), F.col("o_custkey") % 30 == F.col("n_nationkey"), "left").select("o_orderkey", F.col("n_name").alias("act"), F.when(F.col("n_name").isNull(), "unknown act").alias("review"))
+    return _dated(read).select("id", "seq", "introduced_by", "review")
 
 
 @query("""WITH n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM events)
@@ -244,11 +269,24 @@ def citation_check(read):
     return check_citations(cited, read("documents").select("doc_id", "text"), "doc_id").select("item_id", "known_id", "issue").withColumnRenamed("known_id", "doc_id")
 
 
-@query("""SELECT conv_id, count(*) AS blocks, count(*) FILTER (words >= 6) AS substantive, bool_or(words >= 6) AS any_valid FROM (SELECT conv_id, turn, count(*) AS words FROM (SELECT conv_id, turn, unnest(regexp_extract_all(translate(lower(text), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿºªß', 'aaaaaaceeeeiiiinooooouuuuyyoas'), '[a-z0-9_]+')) AS w FROM conversations WHERE role = 'assistant') GROUP BY ALL) GROUP BY conv_id""")
+#: Assistants' turns as blocks; most cite themselves, in every other conversation the second turn of four cites one that isn't there.
+TURNS = """b AS (SELECT conv_id, turn, text, len(regexp_extract_all(translate(lower(text), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿºªß', 'aaaaaaceeeeiiiinooooouuuuyyoas'), '[a-z0-9_]+')) AS words FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 AND conv_id % 2 = 0 THEN 'unknown' END AS issue FROM b WHERE turn % 4 < 3 AND length(trim(text)) >= 40)"""
+
+
+@query(f"""WITH {TURNS}, e AS (SELECT b.conv_id, b.turn, words >= 6 AS says, count(*) FILTER (c.turn IS NOT NULL AND issue IS NULL) AS valid, count(issue) AS invalid FROM b LEFT JOIN c USING (conv_id, turn) GROUP BY ALL)
+SELECT conv_id AS answer, sum(invalid) = 0 AND count(*) FILTER (says AND valid = 0) = 0 AND sum(valid) > 0 AS grounded, sum(invalid)::BIGINT AS n_invalid, count(*) FILTER (says AND valid = 0) AS n_uncited,
+(sum(invalid) > 0)::INT + (count(*) FILTER (says AND valid = 0) > 0)::INT + (sum(valid) = 0)::INT AS n_reasons FROM e GROUP BY 1""")
 def judge_verdict(read):
-    t = read("conversations").where("role = 'assistant'")
-    words = F.size(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))
-    return t.withColumn("words", words).where("words > 0").groupBy("conv_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("words") >= 6).alias("substantive"), F.bool_or(F.col("words") >= 6).alias("any_valid"))
+    from lexgrove.operators.grounding import judge
+
+    turns = read("conversations").where("role = 'assistant'")
+    own = (F.col("conv_id") * 1000 + F.col("turn")).cast("long")
+    blocks = turns.select(F.col("conv_id").alias("answer"), F.col("turn").alias("block"), "text")
+    target = F.when((F.col("turn") % 4 == 1) & (F.col("conv_id") % 2 == 0), -1).otherwise(own)
+    cited = turns.where("turn % 4 < 3 and length(trim(text)) >= 40").select(F.col("conv_id").alias("answer"), F.col("turn").alias("block"), target.alias("id"), F.col("text").alias("quote"))
+    out = judge(blocks, cited, turns.select(own.alias("id"), "text"), "id")
+    return out.select("answer", "grounded", "n_invalid", F.size("uncited_blocks").cast("long").alias("n_uncited"), F.size("reasons").alias("n_reasons"))
 
 
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+"
@@ -297,31 +335,44 @@ def latency_percentiles(read):
     return percentiles_by(read("events"), "event_type", "value")
 
 
-@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id")
+@query("SELECT DISTINCT d.doc_id FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id")
 def anti_unknown(read):
-    return read("documents").join(read("labels"), "doc_id", "left_anti").select("doc_id")
+    from lexgrove.sources.corpus import unknown
+
+    return unknown(read("documents"), read("labels"), "doc_id")
 
 
-@query("SELECT l_orderkey, l_linenumber::BIGINT AS line, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_ids(read):
-    return read("lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("line")).agg(F.count("*").alias("n")).where("n > 1")
+    from lexgrove.sources.corpus import repeated
+
+    return repeated(read("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right")
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN l.doc_id IS NULL THEN 'unexpected' WHEN d.source = 'src1' THEN 'stale' WHEN d.doc_id % 10 = 3 THEN 'dimension' END AS problem
+FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL OR d.source = 'src1' OR d.doc_id % 10 = 3""")
 def set_equality(read):
-    a, b = read("documents").select("doc_id", F.lit(1).alias("x")), read("labels").select("doc_id", F.lit(1).alias("y"))
-    return a.distinct().join(b.distinct(), "doc_id", "full").agg(F.count_if(F.col("y").isNull()).alias("only_left"), F.count_if(F.col("x").isNull()).alias("only_right"))
+    """Documents as vectors, labels as what is expected: what keeps the vectors from being used."""
+    from lexgrove.sources.corpus import check_vectors
 
+    sha = F.when(F.col("source") == "src1", "old").otherwise("new")
+    v = F.array_repeat(F.lit(0.0), F.when(F.col("doc_id") % 10 == 3, 3).otherwise(4))
+    vectors = read("documents").select(F.col("doc_id").alias("id"), sha.alias("corpus_sha256"), v.alias("v"))
+    return check_vectors(vectors, read("labels").select(F.col("doc_id").alias("id")), "new", 4)
 
-@query("SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang")
+
+@query("SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS source FROM documents GROUP BY lang")
 def distinct_models_listagg(read):
-    return read("documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    from lexgrove.sources.corpus import listed
+
+    return listed(read("documents"), "lang", "source")
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {FOLD} AS x FROM documents) WHERE contains(x, 'tion') AND contains(x, 'er') AND contains(x, 'que') ORDER BY doc_id LIMIT 50")
 def terms_and_search(read):
-    x = T.fold(F.col("text"))
-    return read("documents").where(F.forall(F.array(*map(F.lit, ["tion", "er", "que"])), lambda t: F.contains(x, t))).select("doc_id").orderBy("doc_id").limit(50)
+    from lexgrove.operators.retrieval import holding_all
+
+    return holding_all(read("documents"), "text", ["TION", "er", "qüe"]).select("doc_id").orderBy("doc_id").limit(50)
 
 
 @query(f"WITH {TREE}, h AS (SELECT o_orderkey, regexp_replace(id, ':o[0-9]+$', '') AS above FROM tree) SELECT o_orderkey, above IS DISTINCT FROM lag(above) OVER (ORDER BY o_orderkey) AS new_heading FROM h".replace("OVER (ORDER BY", "OVER (PARTITION BY o_orderkey % 64 ORDER BY"))
@@ -432,6 +483,41 @@ def grid_search(read):
     return best_setting(passages_in(read("benchmark"), read("documents")), grid, ["a", "b", "k"], score, d % 4 == 0)
 
 
+@query("""WITH h AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+i AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'holdout' ELSE 'dev' END AS split, item_id % 5 = 4 AS refuse, item_id % 7 IN (1, 4) AS refused FROM benchmark),
+e AS (SELECT item_id, min(CASE WHEN NOT refused THEN rank END) AS first, avg(CASE WHEN NOT refused AND rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS r1, avg(CASE WHEN NOT refused AND rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS r5, avg(CASE WHEN NOT refused AND rank <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS r10
+      FROM h JOIN i USING (item_id) WHERE doc_id % 2 = 0 GROUP BY 1),
+r AS (SELECT i.*, first, r1, r5, r10 FROM i LEFT JOIN e USING (item_id))
+SELECT coalesce(split, 'all') AS split, count(*) FILTER (NOT refuse) AS answerable, count(*) FILTER (refuse) AS refuse,
+round(avg(coalesce(r1, 0)) FILTER (NOT refuse), 4) AS recall1, round(avg(coalesce(r5, 0)) FILTER (NOT refuse), 4) AS recall5, round(avg(coalesce(r10, 0)) FILTER (NOT refuse), 4) AS recall10,
+round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END) FILTER (NOT refuse), 4) AS hit5, round(avg(coalesce(1.0::DOUBLE / first, 0)) FILTER (NOT refuse), 4) AS mrr,
+round(avg(refused::INT::DOUBLE) FILTER (refuse), 4) AS refusal_accuracy, round(avg(refused::INT::DOUBLE) FILTER (NOT refuse), 4) AS false_refusal_rate
+FROM r GROUP BY GROUPING SETS ((split), ())""")
+def retrieval_evaluation(read):
+    """The benchmark's items as questions, a fifth of them to be refused; documents that hold an item, by id, as its ranking, those with an even id as expected."""
+    from lexgrove.operators.evals import evaluation, passages_in
+
+    b = read("benchmark")
+    items = b.select("item_id", F.when(F.col("item_id") % 3 == 0, "holdout").otherwise("dev").alias("split"), (F.col("item_id") % 5 == 4).alias("must_refuse"))
+    ranked = passages_in(b, read("documents")).select("item_id", F.col("doc_id").alias("id"), F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")).alias("rank"))
+    refusals = b.select("item_id", F.when((F.col("item_id") % 7).isin(1, 4), "low_score").alias("refused"))
+    return evaluation(items, ranked.where("id % 2 = 0").select("item_id", "id"), ranked, refusals)
+
+
+@query("""WITH i AS (SELECT user_id % 9 = 0 AS refuse, event_type <> 'error' AS answered, CASE WHEN event_id % 5 > 0 THEN (event_id % 4) / 4.0::DOUBLE END AS recall, event_id % 100 AS tin, user_id % 10 AS tout, value FROM events)
+SELECT count(*) FILTER (NOT refuse) AS answerable, round(avg(answered::INT::DOUBLE) FILTER (NOT refuse), 6) AS answered_rate, round(avg(CASE WHEN answered THEN coalesce(recall, 0) ELSE 0 END) FILTER (NOT refuse), 6) AS citation_recall,
+count(*) FILTER (refuse) AS must_refuse, round(avg((NOT answered)::INT::DOUBLE) FILTER (refuse), 6) AS refusal_accuracy, sum(tin)::BIGINT AS input_tokens, sum(tout)::BIGINT AS output_tokens,
+round(quantile_cont(value, 0.5), 6) AS latency_p50, list_sort(list(value))[floor(0.95 * (count(*) - 1))::BIGINT + 1] AS latency_p95 FROM i""")
+def generation_evaluation(read):
+    """Events as answers to a golden set."""
+    from lexgrove.operators.evals import generation_metrics
+
+    e = read("events")
+    recall = F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 4) / F.lit(4.0))
+    items = e.select((F.col("user_id") % 9 == 0).alias("must_refuse"), (F.col("event_type") != "error").alias("answered"), recall.alias("recall"), (F.col("event_id") % 100).alias("input_tokens"), (F.col("user_id") % 10).alias("output_tokens"), F.col("value").alias("latency"))
+    return generation_metrics(items).withColumn("latency_p50", F.round("latency_p50", 6))
+
+
 @query()
 def rate_limit(read):
     from lexgrove.streaming.admission import admitted

@@ -102,6 +102,21 @@ def latest_meta(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.max(F.struct("at", "value")).alias("_e")).select("key", F.col("_e.value").alias("value"))
 
 
+def unknown(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """OP-F07, J13, X04: the keys of rows that known doesn't have, each once; a null key is unknown."""
+    return rows.select(key).distinct().join(known.select(key).distinct(), key, "left_anti")
+
+
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """OP-A21, P18: keys that more than one row has, and n."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def listed(rows: DataFrame, by: str, what: str) -> DataFrame:
+    """OP-A02: by, and what: its different values there, in order, joined by commas."""
+    return rows.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(what)), ",").alias(what))
+
+
 def violations(provisions: DataFrame) -> DataFrame:
     """rule, id: what breaks the model: malformed, foreign (not of its document), orphan, duplicate, ordinal."""
     p = provisions.select("id", "document_id", "parent_id", "ordinal")
