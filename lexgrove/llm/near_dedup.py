@@ -41,7 +41,7 @@ THRESHOLD = 75
 #: The threshold less 4.5 standard deviations of the estimate there.
 LEAST_ESTIMATE = 0.60
 #: Members of a block whose full sets are compared; such blocks whose signatures are compared at once, on either side; parts that a bucket's rows are joined in.
-BLOCK, BLOCKS_AT_ONCE, SALTS = 256, 16, 8
+BLOCK, BLOCKS_AT_ONCE, SALTS = 256, 4, 8
 #: Words whose hashes a worker remembers before it starts anew.
 REMEMBERED = 300_000
 
