@@ -102,7 +102,7 @@ def resolution_id(number: str, year: str) -> str:
     return f"res-anpd-{int(number)}-{year}"
 
 
-def act_of(toks: list[Token]) -> str:
+def act_of(toks: tuple[Token, ...]) -> str:
     """The act a question is about: a resolution it numbers, the access law, or the default."""
     for i in range(len(toks)):
         for _, phrase in RESOLUTION:
@@ -134,7 +134,7 @@ def lone_letter(t: Token | None) -> bool:
     return t is not None and t.kind == "word" and t.text in "abcdefghijklmnopqrstuvwxyz" and len(t.text) == 1
 
 
-def numeral(toks: list[Token], i: int) -> tuple[str, int] | None:
+def numeral(toks: tuple[Token, ...], i: int) -> tuple[str, int] | None:
     """A Roman numeral at i, with a letter that a dash ties to it, and the token after it."""
     t = at(toks, i)
     if t is None or t.kind != "word" or not roman_number(t.text):
@@ -147,7 +147,7 @@ def numeral(toks: list[Token], i: int) -> tuple[str, int] | None:
 class Question:
     """Reads what follows the word article, level by level; each level moves on only if it is there."""
 
-    def __init__(self, toks: list[Token], i: int, doc: str) -> None:
+    def __init__(self, toks: tuple[Token, ...], i: int, doc: str) -> None:
         self.toks, self.i, self.found = toks, i, Place(doc)
 
     def value(self, k: int = 0) -> str | None:

@@ -16,6 +16,7 @@ All other parts are signs that stand for themselves.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -60,7 +61,9 @@ class Token(NamedTuple):
     glued: bool  # nothing stands between it and the one before
 
 
-def tokens(text: str) -> list[Token]:
+@functools.lru_cache(256)
+def tokens(text: str) -> tuple[Token, ...]:
+    """A text's tokens. The last texts are remembered, as one line is read in several ways."""
     out, end = [], -1
     for m in PARTS.finditer(text):
         t = m[0]
@@ -68,7 +71,7 @@ def tokens(text: str) -> list[Token]:
         value = folded(t) if kind == "word" else "o" if kind == "ordinal" else '"' if t in QUOTES else "-" if t in DASHES else t
         out.append(Token(kind, value, t, m.start(), m.end(), m.start() == end))
         end = m.end()
-    return out
+    return tuple(out)
 
 
 class Found(NamedTuple):
@@ -77,11 +80,11 @@ class Found(NamedTuple):
     values: dict[str, str]
 
 
-def at(toks: list[Token], i: int) -> Token | None:
+def at(toks: tuple[Token, ...], i: int) -> Token | None:
     return toks[i] if 0 <= i < len(toks) else None
 
 
-def ordinal(toks: list[Token], i: int) -> int:
+def ordinal(toks: tuple[Token, ...], i: int) -> int:
     """After the number at i and its ordinal mark, which may have a full stop."""
     t = at(toks, i + 1)
     following = at(toks, i + 2)
@@ -90,7 +93,7 @@ def ordinal(toks: list[Token], i: int) -> int:
     return i + 1 + bool(t and t.text == "o" and t.glued)
 
 
-def thousands(toks: list[Token], i: int) -> tuple[str, int]:
+def thousands(toks: tuple[Token, ...], i: int) -> tuple[str, int]:
     """The digits of the number at i with its groups of three, and the token after it."""
     digits, i = toks[i].text, i + 1
     while (dot := at(toks, i)) and dot.value == "." and dot.glued and (t := at(toks, i + 1)) and t.kind == "number" and t.glued and len(t.text) == 3:
@@ -98,7 +101,7 @@ def thousands(toks: list[Token], i: int) -> tuple[str, int]:
     return digits, i
 
 
-def date_after(toks: list[Token], i: int) -> tuple[str, int] | None:
+def date_after(toks: tuple[Token, ...], i: int) -> tuple[str, int] | None:
     """The year of a date at i, and the token after it."""
     i += bool((t := at(toks, i)) and t.value == ",")
     words = lambda k: [t.value for t in toks[i : i + k]]
@@ -116,12 +119,12 @@ class Phrase:
     def __init__(self, line: str) -> None:
         self.parts = [(p.rstrip("?") if len(p) > 1 else p, len(p) > 1 and p.endswith("?")) for p in line.split()]
 
-    def match(self, toks: list[Token], i: int = 0) -> Found | None:
+    def match(self, toks: tuple[Token, ...], i: int = 0) -> Found | None:
         values: dict[str, str] = {}
         after = self._from(toks, i, 0, values)
         return None if after is None else Found(i, after, values)
 
-    def search(self, toks: list[Token], i: int = 0) -> Iterator[Found]:
+    def search(self, toks: tuple[Token, ...], i: int = 0) -> Iterator[Found]:
         while i < len(toks):
             found = self.match(toks, i)
             if found and found.after > i:
@@ -130,7 +133,7 @@ class Phrase:
             else:
                 i += 1
 
-    def _from(self, toks: list[Token], i: int, k: int, values: dict[str, str]) -> int | None:
+    def _from(self, toks: tuple[Token, ...], i: int, k: int, values: dict[str, str]) -> int | None:
         if k == len(self.parts):
             return i
         part, optional = self.parts[k]
@@ -139,7 +142,7 @@ class Phrase:
             return after
         return self._from(toks, i, k + 1, values) if optional else None
 
-    def _one(self, part: str, toks: list[Token], i: int, values: dict[str, str]) -> int | None:
+    def _one(self, part: str, toks: tuple[Token, ...], i: int, values: dict[str, str]) -> int | None:
         t = at(toks, i)
         if t is None:
             return None
@@ -177,7 +180,7 @@ class Phrase:
         return None
 
 
-def first_of(phrases: list[tuple[str, Phrase]], toks: list[Token], i: int) -> tuple[str, Found] | None:
+def first_of(phrases: list[tuple[str, Phrase]], toks: tuple[Token, ...], i: int) -> tuple[str, Found] | None:
     """The name of the first phrase that stands at i, and where."""
     for name, phrase in phrases:
         if found := phrase.match(toks, i):

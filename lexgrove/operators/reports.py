@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LONGEST = 600
@@ -44,6 +45,17 @@ def change_entries(changes: DataFrame) -> DataFrame:
     return changes.select("document_id", "id", value.alias("value"))
 
 
+def headings_on_change(provisions: DataFrame) -> DataFrame:
+    """OP-W08, I06: id, headings: of a provision's headings (its path but for the labels of its own levels) those from the first one that the provision before it hasn't."""
+    levels = F.size(F.filter(F.split("id", ":"), lambda x: ~x.startswith("anx"))) - 1
+    own = provisions.select("document_id", "ordinal", "id", F.slice("path", F.lit(1), F.greatest(F.size("path") - levels, F.lit(0))).alias("_h"))
+    order = W.partitionBy("document_id").orderBy("ordinal", "id")
+    before = own.withColumn("_b", F.coalesce(F.lag("_h").over(order), F.array().cast("array<string>")))
+    same = F.transform("_h", lambda h, i: (F.size("_b") > i) & F.get("_b", i).eqNullSafe(h))
+    first = F.array_position(same, False)
+    return before.withColumn("_f", first).select("id", F.when(F.col("_f") > 0, F.slice("_h", F.col("_f").cast("int"), F.size("_h"))).otherwise(F.array().cast("array<string>")).alias("headings"))
+
+
 def escaped(c: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))

@@ -114,30 +114,11 @@ def _tree(read):
     return o.select(F.concat_ws(":", *parts).alias("id"), "o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-@query(f"""WITH {TREE},
-a AS (SELECT split_part(id, ':', 1) AS id, 3 AS d, o_totalprice FROM tree
-UNION ALL SELECT split_part(id, ':', 1) || ':' || split_part(id, ':', 2), 2, o_totalprice FROM tree
-UNION ALL SELECT regexp_replace(id, ':o[0-9]+$', ''), 1, o_totalprice FROM tree UNION ALL SELECT id, 0, o_totalprice FROM tree)
-SELECT id, round(sum(o_totalprice * pow(0.2::DOUBLE, d)), 2) AS score FROM a GROUP BY 1""")
-def ancestor_propagation(read):
-    t = _tree(read)
-    each = t.select(F.posexplode(T.ancestors(F.col("id"))).alias("n", "above"), "o_totalprice", F.size(F.split("id", ":")).alias("levels"))
-    part = F.col("o_totalprice") * F.pow(F.lit(0.2), (F.col("levels") - 1 - F.col("n")).cast("double"))
-    return each.groupBy(F.col("above").alias("id")).agg(F.round(F.sum(part), 2).alias("score"))
-
-
 @query(f"""WITH RECURSIVE {TREE}, up AS (SELECT id FROM tree UNION SELECT regexp_replace(id, ':[^:]+$', '') FROM up WHERE contains(id, ':')) SELECT id FROM up""")
 def ancestors_recursive(read):
     return _tree(read).select(F.explode(T.ancestors(F.col("id"))).alias("id")).distinct()
 
 
-@query(f"""WITH {TREE} SELECT id, substr(split_part(id, ':', 1), 2)::BIGINT AS region, substr(split_part(id, ':', 4), 2)::BIGINT AS leaf, 4::BIGINT AS levels, regexp_replace(id, ':[^:]+$', '') AS parent FROM tree""")
-def id_parse(read):
-    i = F.col("id")
-    part = lambda n: F.substring(F.element_at(F.split(i, ":"), n), 2, 20).cast("long")
-    return _tree(read).where(i.rlike("^r[0-9]+:n[0-9]+:c[0-9]+:o[0-9]+$")).select("id", part(1).alias("region"), part(4).alias("leaf"), F.size(F.split(i, ":")).cast("long").alias("levels"), F.element_at(T.above(i), -1).alias("parent"))
-
-
 @query(f"""WITH {TREE}, e AS (SELECT id, regexp_replace(id, ':o[0-9]+$', '') AS cited, CASE WHEN o_orderkey % 2 = 0 THEN id ELSE 'r9:n9' END AS other FROM tree)
 SELECT id, (cited = id OR starts_with(id, cited || ':')) AS up, (other = id OR starts_with(id, other || ':') OR starts_with(other, id || ':')) AS same FROM e""")
 def id_covers(read):
@@ -241,25 +222,6 @@ def struck_islands(read):
     return islands(read("events"), "user_id", ["ts", "event_id"], "event_type", "event_id").where("kind = 'error'").drop("kind")
 
 
-LINES = "l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
-
-
-def _lines(read):
-    return read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("long").alias("n"), "line")
-
-
-@query(f"WITH {LINES} SELECT doc_id, n, last_value(CASE WHEN length(line) <= 60 THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS heading FROM l")
-def carry_forward_heading(read):
-    upto = W.partitionBy("doc_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    return _lines(read).select("doc_id", "n", F.last(F.when(F.length("line") <= 60, F.col("n")), True).over(upto).alias("heading"))
-
-
-@query(f"WITH {LINES} SELECT doc_id, n FROM (SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM l) WHERE length(line) <= 60 AND length(next) > 60 AND NOT regexp_matches(line, '[;:]$')")
-def lead_rubric(read):
-    w = W.partitionBy("doc_id").orderBy("n")
-    return _lines(read).withColumn("next", F.lead("line").over(w)).where((F.length("line") <= 60) & (F.length("next") > 60) & ~F.col("line").rlike("[;:]$")).select("doc_id", "n")
-
-
 @query("""SELECT b.item_id, d.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown' WHEN length(trim(b.text, ' .;:,')) < 10 THEN 'too_short' WHEN NOT contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) THEN 'not_found' END AS issue
 FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 30""")
 def citation_check(read):
@@ -375,20 +337,6 @@ def terms_and_search(read):
     return holding_all(read("documents"), "text", ["TION", "er", "qüe"]).select("doc_id").orderBy("doc_id").limit(50)
 
 
-@query(f"WITH {TREE}, h AS (SELECT o_orderkey, regexp_replace(id, ':o[0-9]+$', '') AS above FROM tree) SELECT o_orderkey, above IS DISTINCT FROM lag(above) OVER (ORDER BY o_orderkey) AS new_heading FROM h".replace("OVER (ORDER BY", "OVER (PARTITION BY o_orderkey % 64 ORDER BY"))
-def heading_prefix_lag(read):
-    h = _tree(read).select("o_orderkey", F.element_at(T.above(F.col("id")), -1).alias("above"))
-    w = W.partitionBy(F.col("o_orderkey") % 64).orderBy("o_orderkey")
-    return h.select("o_orderkey", (~F.col("above").eqNullSafe(F.lag("above").over(w))).alias("new_heading"))
-
-
-@query("""SELECT o_orderkey, r_name || ' > ' || n_name || ' > ' || CASE WHEN length(c_name) <= 12 THEN c_name ELSE regexp_replace(substr(c_name, 1, 11), ' [^ ]*$', '') || '…' END AS content
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def chunk_context(read):
-    o = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return o.select("o_orderkey", F.concat_ws(" > ", "r_name", "n_name", T.clip(F.col("c_name"), 12)).alias("content"))
-
-
 @query("""WITH s AS (SELECT c_custkey AS qid, c_custkey % 9 AS explicit, c_custkey % 7 AS missing, c_custkey % 5 AS foreign_, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS best FROM customer)
 SELECT qid, CASE WHEN explicit = 1 THEN NULL WHEN missing = 1 THEN 'nonexistent_provision' WHEN foreign_ = 1 THEN 'out_of_scope' WHEN best IS NULL OR best < 1000 THEN 'low_score' END AS refused FROM s""")
 def refusal_cascade(read):
