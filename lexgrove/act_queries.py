@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexgrove.functions import grammar as G
 from lexgrove.functions import text as T
 from lexgrove.operators import search as S
-from lexgrove.queries import POSTED, BM25, TOP10, TREE, _tree, query
+from lexgrove.queries import BM25, POSTED, TOP10, TREE, _tree, dealt, query
 
 ROMANS = "[" + ", ".join(f"'{G.roman(n)}'" for n in range(1, 100)) + "]"
 ACTS = """o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS art FROM orders),
@@ -75,7 +75,7 @@ SELECT * FROM o WHERE rank <= 10""")
 def explicit_first(read):
     from lexgrove.operators.evals import passages_in
 
-    b, d = read("benchmark"), read("documents")
+    b, d = read("benchmark"), dealt(read("documents"))
     named = passages_in(b, d).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("id"))
     return S.explicit_first(named, S.bm25(b, S.postings(d), 10), 10).withColumn("rank", F.col("rank").cast("long"))
 

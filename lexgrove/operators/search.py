@@ -183,23 +183,24 @@ def cover_density(questions: DataFrame, posted: DataFrame, flag: int, n: int, ke
 
 
 def corpus_counts(posted: DataFrame, lot: Lot) -> tuple[int, float, np.ndarray]:
-    """Documents with tokens, their mean number of tokens, and for each term of the lot how many have it: one row of each task."""
+    """Documents with tokens, their mean number of tokens, and for each term of the lot how many have it. Tasks count on their own; a row for each term that any has met comes to the driver."""
     shared = posted.sparkSession.sparkContext.broadcast(list(lot.numbers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(shared.value, pa.string())
-        docs = size = 0
-        df = np.zeros(len(vocabulary), np.int64)
+        # The last two: documents, and tokens.
+        n = np.zeros(len(vocabulary) + 2, np.int64)
         for batch in batches:
             own = Batch(batch.column(0), vocabulary)
-            docs, size = docs + int((own.sizes > 0).sum()), size + int(own.sizes.sum())
-            df += np.bincount(np.unique(own.doc * len(vocabulary) + own.term) % len(vocabulary), minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([size]), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["docs", "size", "df"])
-
-    docs, size, df = 0, 0, np.zeros(len(lot.numbers), np.int64)
-    for r in posted.select("t").mapInArrow(run, "docs long, size long, df array<long>").toLocalIterator():
-        docs, size, df = docs + r.docs, size + r["size"], df + np.array(r.df)
-    return docs, size / max(1, docs), df
+            n[:-2] += np.bincount(np.unique(own.doc * len(vocabulary) + own.term) % len(vocabulary), minlength=len(vocabulary))
+            n[-2:] += int((own.sizes > 0).sum()), int(own.sizes.sum())
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], names=["k", "n"])
+
+    n = np.zeros(len(lot.numbers) + 2, np.int64)
+    for r in posted.select("t").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        n[r.k] = r.n
+    return int(n[-2]), n[-1] / max(1, n[-2]), n[:-2]
 
 
 def bm25(questions: DataFrame, posted: DataFrame, n: int, k1: float = 1.2, b: float = 0.75, key: str = "item_id", text: str = "text") -> DataFrame:

@@ -32,6 +32,12 @@ def query(sql: str | None = None):
     return add
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, as one small file gives, dealt out to all of them; others as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df
+
+
 FOLD = "translate(lower(text), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿºª', 'aaaaaaceeeeiiiinooooouuuuyyoa')"
 TOKENS = f"regexp_extract_all({FOLD}, '[a-z0-9]+')"
 POSTED = f"""
@@ -51,7 +57,7 @@ def token_stats(read):
 
 def _lexical(flag: int, score: str):
     def f(read):
-        posted = S.postings(read("documents"))
+        posted = S.postings(dealt(read("documents")))
         return S.cover_density(read("benchmark"), posted, flag, 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
     f.__name__ = "lexical_topk" if flag == 4 else f"lexical_flag{flag}"
@@ -75,7 +81,7 @@ s AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBL
 
 @query(f"WITH {POSTED} {BM25} {TOP10}")
 def bm25_topk(read):
-    return S.bm25(read("benchmark"), S.postings(read("documents")), 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.bm25(read("benchmark"), S.postings(dealt(read("documents"))), 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 DENSE = "SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0"
@@ -97,7 +103,7 @@ v AS ({DENSE}), den AS (SELECT qid, id, score, rank FROM (SELECT *, row_number()
 f AS (SELECT qid, id, round(sum(w / (60 + rank)), 6) AS score, min(rank) AS best FROM (SELECT qid, id, rank, 0.5::DOUBLE AS w FROM lex UNION ALL SELECT qid, id, rank, 1.0 FROM den) GROUP BY qid, id)
 SELECT qid, id, score, best, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best, id) AS rank FROM f""")
 def hybrid_rrf(read):
-    lexical = S.bm25(read("benchmark"), S.postings(read("documents")), 10)
+    lexical = S.bm25(read("benchmark"), S.postings(dealt(read("documents"))), 10)
     fused = S.rrf([(lexical, 0.5), (_dense(read, 10), 1.0)])
     order = W.partitionBy("qid").orderBy(F.col("score").desc(), "best", "id")
     return fused.select("qid", "id", "score", F.col("best").cast("long").alias("best"), F.row_number().over(order).cast("long").alias("rank"))
@@ -285,7 +291,7 @@ def recall_mrr(read):
     from lexgrove.operators.evals import passages_in
 
     b = read("benchmark")
-    found = passages_in(b, read("documents")).withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")))
+    found = passages_in(b, dealt(read("documents"))).withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")))
     first = b.select("item_id").join(found.where("doc_id % 3 = 0").groupBy("item_id").agg(F.min("rank").alias("first")), "item_id", "left")
     return first.agg(F.count("*").alias("items"), F.round(F.avg(F.when(F.col("first") <= 1, 1.0).otherwise(0.0)), 6).alias("hit1"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
@@ -366,7 +372,7 @@ b AS (SELECT a.qid, a.id, a.rank AS r1, row_number() OVER (PARTITION BY a.qid OR
 c AS (SELECT qid, id, r1, round(1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2), 6) AS score FROM b)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r1) AS rank FROM c""")
 def rerank_blend(read):
-    posted = S.postings(read("documents"))
+    posted = S.postings(dealt(read("documents")))
     head = S.bm25(read("benchmark"), posted, 10)
     return S.blend(head, S.top(S.overlap(read("benchmark"), posted, head), 10)).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -392,7 +398,7 @@ def _metrics(read, step):
 
     b = read("benchmark")
     split = F.when(F.col("item_id") % 3 == 0, "holdout").otherwise("dev").alias("split")
-    found = passages_in(b, read("documents")).withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")))
+    found = passages_in(b, dealt(read("documents"))).withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")))
     return metrics_by_split(b.select("item_id", split), found.where(F.col("doc_id") % step == 0))
 
 
@@ -447,7 +453,7 @@ def retrieval_evaluation(read):
 
     b = read("benchmark")
     items = b.select("item_id", F.when(F.col("item_id") % 3 == 0, "holdout").otherwise("dev").alias("split"), (F.col("item_id") % 5 == 4).alias("must_refuse"))
-    ranked = passages_in(b, read("documents")).select("item_id", F.col("doc_id").alias("id"), F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")).alias("rank"))
+    ranked = passages_in(b, dealt(read("documents"))).select("item_id", F.col("doc_id").alias("id"), F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")).alias("rank"))
     refusals = b.select("item_id", F.when((F.col("item_id") % 7).isin(1, 4), "low_score").alias("refused"))
     return evaluation(items, ranked.where("id % 2 = 0").select("item_id", "id"), ranked, refusals)
 
