@@ -265,6 +265,78 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     return top(met.mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, score double"), n)
 
 
+#: Vectors that lists are fitted on: a bounded sample, those whose id's hash is least. Rounds of the fit.
+FIT_VECTORS, ROUNDS = 20_000, 12
+
+
+def fit_lists(vectors: DataFrame, lists: int) -> np.ndarray:
+    """Unit centres of `lists` lists, by spherical k-means on at most FIT_VECTORS of the vectors (id, v)."""
+    sample = vectors.where(F.size("v") > 0).select("id", F.col("v").cast("array<double>").alias("v")).orderBy(F.xxhash64("id"), "id").limit(FIT_VECTORS)
+    rows = sample.collect()
+    if not rows:
+        return np.zeros((0, 0))
+    m = unit(rows, np.concatenate([r.v for r in rows]))
+    centres = m[np.linspace(0, len(m) - 1, min(lists, len(m))).astype(int)]
+    for _ in range(ROUNDS):
+        near = (m @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, m)
+        filled = np.linalg.norm(sums, axis=1) > 0
+        centres = np.where(filled[:, None], sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
+    return centres
+
+
+def ann_index(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """OP-R05: id, v, list: every vector with its nearest centre. Kept as a table partitioned by list, a search reads only the lists it probes."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                near = (unit(batch, np.concatenate(batch["v"].to_numpy())) @ shared.value.T).argmax(1)
+                yield batch.assign(list=near.astype(np.int32))
+
+    return vectors.where(F.size("v") > 0).select("id", F.col("v").cast("array<double>").alias("v")).mapInPandas(run, f"id {kind}, v array<double>, list int")
+
+
+def ann_topk(queries: DataFrame, index: DataFrame, centres: np.ndarray, n: int, probes: int) -> DataFrame:
+    """OP-R05: qid, id, score, rank: the n best by exact cosine among the vectors of a query's `probes` nearest lists; ties by id.
+
+    Lots of at most LOT_QUESTIONS queries are broadcast; vectors aren't shuffled, only each task's best. With as many probes as
+    lists the result is that of dense_topk().
+    """
+    spark, kinds = index.sparkSession, (queries.schema["qid"].dataType.simpleString(), index.schema["id"].dataType.simpleString())
+    out, rows = None, []
+
+    def search(rows: list) -> DataFrame:
+        q = unit(rows, np.concatenate([r.q for r in rows]))
+        probed = np.zeros((len(rows), len(centres)), bool)
+        np.put_along_axis(probed, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes], True, 1)
+        shared = spark.sparkContext.broadcast(([r.qid for r in rows], q, probed))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, q, probed = shared.value
+            best = Best(len(qids), n)
+            for batch in batches:
+                if len(batch):
+                    scores = np.round(unit(batch, np.concatenate(batch["v"].to_numpy())) @ q.T, 6)
+                    best.add(np.where(probed.T[batch["list"].to_numpy()], scores, np.nan), batch["id"].tolist())
+            yield pd.DataFrame(best.rows(qids), columns=["qid", "id", "score"])
+
+        wanted = [int(k) for k in np.flatnonzero(probed.any(0))]
+        return index.where(F.col("list").isin(wanted)).mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, score double")
+
+    for r in queries.where(F.size("q") > 0).select("qid", F.col("q").cast("array<double>").alias("q")).toLocalIterator():
+        rows.append(r)
+        if len(rows) == LOT_QUESTIONS:
+            out = search(rows) if out is None else out.unionByName(search(rows))
+            rows = []
+    if rows and len(centres):
+        out = search(rows) if out is None else out.unionByName(search(rows))
+    return top(spark.createDataFrame([], f"qid {kinds[0]}, id {kinds[1]}, score double") if out is None else out, n)
+
+
 def rrf(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
     """OP-R12: qid, id, score, best: weighted reciprocal ranks of lists (qid, id, rank); ties by best rank, then id."""
     if k <= 0:
