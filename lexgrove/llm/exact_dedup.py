@@ -10,8 +10,9 @@ Texts are equal when identical after lower-casing A-Z. Two rounds of tries:
    one bucket after another through a trie of full byte strings. Different texts with one length
    and hash end in different terminals.
 
-Owners are joined back to the documents by SHA-256; the join is left to adaptive execution, which
-splits a hot text's rows.
+Owners are joined back to the documents by SHA-256. Those of texts with over HOT copies, of which there
+are at most one for each HOT rows, are broadcast once their bytes are counted, so a hot text's rows
+stay where they are; the other rows meet their owners in a shuffle, in which no text has more.
 
 Nulls: a null text is an empty text. A null doc_id never owns a text unless all its copies have
 null; then keep_id is null and each copy is kept. Repeated rows (one doc_id, one text) count in
@@ -29,9 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import id_text, table, texts
+from lexgrove.llm.common import id_text, table, texts, written
 
 BUDGET = 32 << 20
+#: Copies from which on a text is hot, and the bytes of hot texts' owners up to which they are broadcast; beyond, all texts are joined alike.
+HOT, BROADCAST = 10_000, 32 << 20
+OWNER_BYTES = 96
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -166,7 +170,7 @@ def final_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shas = [hashlib.sha256(t.lower()).digest() for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary())], names=["doc_id", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary())], names=["_id", "_sha"])
 
 
 def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -176,20 +180,34 @@ def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return dealt.mapInArrow(final_owners, "sha binary, keep_id long, group_size long")
 
 
-def exact_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+def with_owners(rows: DataFrame, found: DataFrame, hot: int = HOT) -> DataFrame:
+    """rows, which have _sha and _id, with keep_id and group_size. found: owners(), written."""
+    few = found.where(F.col("group_size") > hot)
+    if few.count() * OWNER_BYTES > BROADCAST:
+        few = few.limit(0)
+    both = lambda df, name: df.select(F.col("sha").alias(f"_{name}"), F.struct("keep_id", "group_size").alias(f"_by_{name}"))
+    met = rows.join(F.broadcast(both(few, "hot")), F.col("_sha") == F.col("_hot"), "left")
+    # Rows that are served have a key of their own, which meets nothing and lies anywhere.
+    key = F.when(F.col("_hot").isNull(), F.col("_sha")).otherwise(F.unhex(F.sha1(F.concat_ws(":", F.col("_id").cast("string"), F.hex("_sha"))))).alias("_key")
+    met = met.withColumn("_key", key).join(both(found, "cold").hint("merge"), F.col("_key") == F.col("_cold"), "left")
+    by = F.coalesce("_by_hot", "_by_cold")
+    return met.withColumns({"keep_id": by["keep_id"], "group_size": by["group_size"]}).drop("_hot", "_by_hot", "_cold", "_by_cold", "_key")
+
+
+def exact_groups(docs: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each document."""
-    own = id_text(docs).mapInArrow(digests, "doc_id long, sha binary")
-    found = own.join(owners(docs, budget).hint("merge"), "sha")
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    found = written(owners(docs, budget), "owners")
+    own = id_text(docs).mapInArrow(digests, "_id long, _sha binary")
+    met = with_owners(own, found, hot)
+    return met.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """docs with the owner of each text only; the same columns."""
     low = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    several = owners(docs, budget).where("group_size > 1").select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_several"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(low.cast("binary"), 256)).alias("_own"))
-    met = rows.join(several.hint("merge"), F.col("_own") == F.col("_sha"), "left")
-    return met.where(F.col("_several").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))).select("_row.*")
+    found = written(owners(docs, budget), "owners")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(low.cast("binary"), 256)).alias("_sha"))
+    return with_owners(rows, found).where(F.col("_id").eqNullSafe(F.col("keep_id"))).select("_row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,9 @@ def rows():
     return out
 
 
-def test_exact_owners(spark, rows):
-    got = exact_dedup.exact_groups(corpus(spark, rows), budget=4096).collect()
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_exact_owners(spark, rows, hot):
+    got = exact_dedup.exact_groups(corpus(spark, rows), budget=4096, hot=hot).collect()
     low = [(i, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for i, t, _ in rows]
     expect = []
     for i, t in low:
