@@ -260,3 +260,24 @@ def op2_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_decontamination's pairs of documents and items, a row each: what SQL can be held against without lists."""
+    found = op2_decontamination(spark, sf_dir).where("contaminated")
+    return found.select("doc_id", F.explode("item_ids").alias("item_id"), "n_items")
+
+
+#: Equal words of a document and an item, by alignment; of alignments with enough of them, every window that fits.
+OVERLAPS_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+i AS (SELECT item_id, w, len(w) AS size, least(len(w), 13) AS span, least(len(w), 13) - CASE WHEN len(w) >= 13 THEN 3 WHEN len(w) >= 9 THEN 2 WHEN len(w) = 8 THEN 1 ELSE 0 END AS least FROM iw WHERE len(w) > 0),
+d AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM dw),
+b AS (SELECT item_id, size, span, least, unnest(w) AS word, unnest(range(len(w))) AS q FROM i),
+c AS (SELECT doc_id, item_id, p - q AS shift, list(q) AS qs FROM d JOIN b USING (word) GROUP BY ALL HAVING count(*) >= any_value(least)),
+f AS (SELECT doc_id, item_id, span, least, qs, unnest(range(greatest(0, -shift), least(size, len(dw.w) - shift) - span + 1)) AS s FROM c JOIN i USING (item_id) JOIN dw USING (doc_id)),
+hit AS (SELECT DISTINCT doc_id, item_id FROM f WHERE len([q for q in qs if q >= s AND q < s + span]) >= least),
+hits AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY 1)
+SELECT doc_id, item_id, n AS n_items FROM hit JOIN hits USING (doc_id)
+"""

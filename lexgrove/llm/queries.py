@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm.decontamination import op2_decontamination
+from lexgrove.llm.decontamination import OVERLAPS_SQL, benchmark_overlaps, op2_decontamination
 from lexgrove.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from lexgrove.llm.mixing import OP8_SQL, op8_mixing
 from lexgrove.llm.near_dedup import OP1_SQL, op1_minhash
@@ -24,7 +24,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "benchmark_overlaps": benchmark_overlaps,
 }
 
 #: The others have none: SQL can't express them, or only far too slowly. tests/llm holds them against brute force.
-ORACLE_SQL = {"op1_minhash": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_suffix_array": OP6_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL = {"benchmark_overlaps": OVERLAPS_SQL, "op1_minhash": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_suffix_array": OP6_SQL, "op8_mixing": OP8_SQL}
