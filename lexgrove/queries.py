@@ -485,7 +485,10 @@ def generation_evaluation(read):
     return generation_metrics(items).withColumn("latency_p50", F.round("latency_p50", 6))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, (user_id % 4)::VARCHAR AS client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS n FROM events),
+a AS (SELECT id, client, n, true AS allowed, [us] AS recent FROM e WHERE n = 1
+UNION ALL SELECT id, client, n, len(held) < 3, CASE WHEN len(held) < 3 THEN list_append(held, us) ELSE held END FROM (SELECT e.id, e.client, e.n, e.us, [x for x in a.recent if x > e.us - 3600000000] AS held FROM a JOIN e ON e.client = a.client AND e.n = a.n + 1))
+SELECT id, client, allowed FROM a""")
 def rate_limit(read):
     from lexgrove.streaming.admission import admitted
 
