@@ -64,6 +64,19 @@ def valid_cpf(c: Column) -> Column:
     return c.rlike("^[0-9]{11}$") & ~c.rlike(r"^([0-9])\1{10}$") & (F.substring(c, 10, 2) == ends)
 
 
+def cpf_of(base: Column) -> Column:
+    """OP-D04: the eleven digits of nine and their check digits; made numbers for tests, never stored ones."""
+    one = F.concat(base, check_digit(base, list(range(10, 1, -1))).cast("string"))
+    return F.concat(one, check_digit(one, list(range(11, 1, -1))).cast("string"))
+
+
+def synthetic_cpf(seed: Column) -> Column:
+    """OP-D04: a valid CPF, as it is written, that a seed always gives; its first nine digits aren't all equal."""
+    n = F.pmod(F.xxhash64(seed), F.lit(999_999_998)) + 1
+    base = F.lpad(F.when(n % 111_111_111 == 0, n + 1).otherwise(n).cast("string"), 9, "0")
+    return F.regexp_replace(cpf_of(base), "(...)(...)(...)(..)", "$1.$2.$3-$4")
+
+
 def valid_cnpj(c: Column) -> Column:
     """OP-D03: twelve letters or digits and two check digits; a letter counts as its code less 48."""
     first = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]

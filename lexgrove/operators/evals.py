@@ -177,3 +177,30 @@ def citation_recall(cited: DataFrame, expected: DataFrame) -> DataFrame:
     met = below.unionByName(above).distinct().withColumn("_met", F.lit(1))
     out = sought.join(met, ["qid", "id"], "left").groupBy("qid").agg(F.count("*").alias("expected"), F.count("_met").alias("met"))
     return out.withColumn("recall", F.round(F.col("met") / F.col("expected"), 6))
+
+
+def pass_rates(results: DataFrame) -> DataFrame:
+    """OP-A15: check, passed, failed, skipped, pass_rate: of those that ran, 0 if none did. results: check, outcome."""
+    counts = results.groupBy("check").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("passed", "failed", "skipped")])
+    ran = F.col("passed") + F.col("failed")
+    return counts.withColumn("pass_rate", F.when(ran > 0, F.col("passed") / ran).otherwise(0.0))
+
+
+def score_floor(scores: DataFrame) -> DataFrame:
+    """OP-A23: one row, least and p05: the least score, and the one at place n // 20 from 0. Nulls without scores."""
+    n = scores.where("score is not null").count()
+    share = (n // 20 + 0.5) / n if n else 0.5
+    return scores.agg(F.min("score").alias("least"), F.expr(f"percentile_disc({share!r}D) within group (order by score)").alias("p05"))
+
+
+def missed(items: DataFrame, expected: DataFrame, ranked: DataFrame, refusals: DataFrame, within: int = 5) -> DataFrame:
+    """OP-F12: item_id, problem: answered (must be refused, but wasn't), refused (must be answered), or missed (nothing expected within the first ranks)."""
+    told = refusals.groupBy("item_id").agg(F.max("refused").alias("_refused"))
+    first = expected_ranks(expected.distinct(), ranked).groupBy("item_id").agg(F.min("rank").alias("_first"))
+    met = items.join(told, "item_id", "left").join(first, "item_id", "left")
+    problem = (
+        F.when(F.col("must_refuse") & F.col("_refused").isNull(), "answered")
+        .when(~F.col("must_refuse") & F.col("_refused").isNotNull(), "refused")
+        .when(~F.col("must_refuse") & (F.col("_first").isNull() | (F.col("_first") > within)), "missed")
+    )
+    return met.select("item_id", problem.alias("problem")).where("problem is not null")

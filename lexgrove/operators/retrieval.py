@@ -61,6 +61,16 @@ def chunks(provisions: DataFrame, names: DataFrame) -> DataFrame:
     return met.select("id", F.array_join(F.concat(F.array(head), F.coalesce("_above", F.array().cast("array<string>")), F.array("text")), "\n").alias("content"))
 
 
+#: Characters of a question (by default, and at most), and hits that may be asked for.
+LONGEST_QUESTION, HARD_LIMIT, MOST_HITS = 2_000, 20_000, 20
+
+
+def input_problem(question: Column, k: Column, longest: int = LONGEST_QUESTION) -> Column:
+    """OP-F08: empty, too_long, or bad_k; null if a question may be searched. A null k is the default."""
+    n = F.length(F.coalesce(question, F.lit("")))
+    return F.when(n < 1, "empty").when(n > min(longest, HARD_LIMIT), "too_long").when(k.isNotNull() & ~k.between(1, MOST_HITS), "bad_k")
+
+
 def lookup(provisions: DataFrame, ids: DataFrame) -> DataFrame:
     """OP-F01 to F03, J01: the provisions that ids (id; repeats count once) name, with normative: neither revoked nor vetoed."""
     return provisions.join(ids.select("id"), "id", "left_semi").withColumn("normative", ~F.col("revoked") & ~F.col("vetoed"))

@@ -291,8 +291,7 @@ def _mod11(s: str, weights: list[int]) -> str:
 SELECT c_custkey, good AS cpf, NOT regexp_matches(good, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') AS valid, false AS shifted FROM y""")
 def cpf_validate(read):
     base = F.lpad((F.col("c_custkey") * 7919 % 1000000000).cast("string"), 9, "0")
-    one = F.concat(base, T.check_digit(base, list(range(10, 1, -1))).cast("string"))
-    good = F.concat(one, T.check_digit(one, list(range(11, 1, -1))).cast("string"))
+    good = T.cpf_of(base)
     wrong = F.concat(F.substring("cpf", 1, 10), ((F.substring("cpf", 11, 1).cast("int") + 1) % 10).cast("string"))
     return read("customer").select("c_custkey", good.alias("cpf")).select("c_custkey", "cpf", T.valid_cpf(F.col("cpf")).alias("valid"), T.valid_cpf(wrong).alias("shifted"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -82,6 +82,23 @@ def check_vectors(vectors: DataFrame, expected: DataFrame, corpus_sha256: str, d
     return met.select("id", problem.alias("problem")).where("problem is not null")
 
 
+#: Fixed value: models whose names begin so share one space.
+SHARED_SPACE = "voyage-4"
+
+
+def model_family(model: Column) -> Column:
+    """OP-C12: models of one family have one space; others are families of their own."""
+    return F.when(model.startswith(SHARED_SPACE), SHARED_SPACE).otherwise(model)
+
+
+def space_problems(meta: DataFrame, model: str, dimension: int) -> DataFrame:
+    """OP-R11: problem: why a model's vectors can't be searched in an index with this meta (key, value). No rows: they can."""
+    held = meta.agg(F.max(F.when(F.col("key") == "model", F.col("value"))).alias("m"), F.max(F.when(F.col("key") == "dimension", F.col("value"))).alias("d"))
+    family = F.when(~model_family(F.col("m")).eqNullSafe(model_family(F.lit(model))), F.concat(F.lit("index of "), F.coalesce("m", F.lit("no model")), F.lit(f", query of {model}")))
+    size = F.when(~F.col("d").cast("int").eqNullSafe(F.lit(dimension)), F.concat(F.lit("index of dimension "), F.coalesce("d", F.lit("unknown")), F.lit(f", query of {dimension}")))
+    return held.select(F.explode(F.array_compact(F.array(family, size))).alias("problem"))
+
+
 def to_embed(chunks: DataFrame, indexed: DataFrame, model: str) -> DataFrame:
     """OP-S21: the chunks (id, document_id, source_sha256, ...) of documents that aren't indexed from these bytes by this model."""
     have = indexed.where(F.col("model") == model).select(F.col("id").alias("document_id"), "source_sha256").distinct()
