@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,11 +65,56 @@ def escaped(c: Column) -> Column:
     return c
 
 
-def act_pages(provisions: DataFrame) -> DataFrame:
-    """OP-S27, S31, A22: document_id, in_force, html: an act's provisions in order, marked where they no longer hold."""
+LINK = "array<struct<start: int, end: int, target: string>>"
+
+
+def spliced(text: Column, links: Column) -> Column:
+    """OP-C08: escaped HTML of a text with links at their offsets (code points). Of links that overlap the first stays; those that don't lie in the text go."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, every: pd.Series) -> pd.Series:
+        def one(text: str | None, own) -> str:
+            text, out, at = text or "", [], 0
+            for link in sorted([] if own is None else own, key=lambda x: (x["start"], -x["end"])):
+                a, b = link["start"], link["end"]
+                if at <= a < b <= len(text):
+                    out += [html.escape(text[at:a]), f'<a href="#{html.escape(link["target"])}">{html.escape(text[a:b])}</a>']
+                    at = b
+            return "".join([*out, html.escape(text[at:])])
+
+        return pd.Series([one(t, x) for t, x in zip(texts, every)])
+
+    return run(text, links)
+
+
+def earlier_wordings(versions: DataFrame) -> DataFrame:
+    """OP-S31: id, earlier: a folded block of a provision's wordings before its last one, oldest first, each with its days and the act that brought it."""
+    day = lambda c: F.coalesce(F.date_format(c, "dd/MM/yyyy"), F.lit("?"))
+    own = versions.withColumn("_last", F.max("seq").over(W.partitionBy("id"))).where(F.col("seq") < F.col("_last"))
+    by = F.coalesce(F.concat(F.lit(" ("), escaped(F.col("introduced_by")), F.lit(")")), F.lit(""))
+    line = F.concat(F.lit("<p>"), day("valid_from"), F.lit(" – "), day("valid_to"), by, F.lit(": "), escaped(F.coalesce("text", F.lit(""))), F.lit("</p>"))
+    lines = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))).alias("_l"))
+    return lines.select("id", F.concat(F.lit("<details><summary>Redações anteriores</summary>"), F.array_join(F.transform("_l", lambda x: x["l"]), ""), F.lit("</details>")).alias("earlier"))
+
+
+def act_pages(provisions: DataFrame, links: DataFrame | None = None, versions: DataFrame | None = None, headings: bool = False) -> DataFrame:
+    """OP-S27, S31, A22: document_id, in_force, html: an act's provisions in order, marked where they no longer hold.
+
+    links: source, start, end, target, as the edges of cross-references; versions: as temporal.dated() gives them; headings: print them where they change.
+    """
     status = F.when(F.col("revoked"), " <em>revogado</em>").when(F.col("vetoed"), " <em>vetado</em>").otherwise("")
-    block = F.concat(F.lit('<p id="'), "id", F.lit('"><b>'), escaped(F.col("label")), F.lit("</b>"), status, F.lit(" "), escaped(F.col("text")), F.lit("</p>"))
-    each = provisions.groupBy("document_id").agg(F.count_if(~F.col("revoked") & ~F.col("vetoed")).alias("in_force"), F.array_sort(F.collect_list(F.struct("ordinal", "id", block.alias("b")))).alias("_b"))
+    own, body, more, lead = provisions, escaped(F.coalesce("text", F.lit(""))), F.lit(""), F.lit("")
+    if links is not None:
+        own = own.join(links.groupBy(F.col("source").alias("id")).agg(F.collect_list(F.struct("start", "end", "target")).alias("_links")), "id", "left")
+        body = spliced(F.col("text"), F.col("_links").cast(LINK))
+    if versions is not None:
+        own = own.join(earlier_wordings(versions), "id", "left")
+        more = F.coalesce("earlier", F.lit(""))
+    if headings:
+        own = own.join(headings_on_change(provisions), "id", "left")
+        lead = F.array_join(F.transform(F.coalesce("headings", F.array().cast("array<string>")), lambda h: F.concat(F.lit("<h2>"), escaped(h), F.lit("</h2>"))), "")
+    block = F.concat(lead, F.lit('<p id="'), "id", F.lit('"><b>'), escaped(F.col("label")), F.lit("</b>"), status, F.lit(" "), body, F.lit("</p>"), more)
+    each = own.withColumn("_block", block).groupBy("document_id").agg(F.count_if(~F.col("revoked") & ~F.col("vetoed")).alias("in_force"), F.array_sort(F.collect_list(F.struct("ordinal", "id", F.col("_block").alias("b")))).alias("_b"))
     return each.select("document_id", "in_force", F.array_join(F.transform("_b", lambda x: x["b"]), "\n").alias("html"))
 
 
