@@ -529,11 +529,12 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents")).drop("gone", "text_sha256")
 
 
-#: Texts are written as hexadecimal digits, two for each byte. All windows are grouped by their hashes, which DuckDB keeps in 64 bits.
+#: Windows are cut from pieces of 911 bytes and grouped by their hashes, which DuckDB keeps in 64 bits; what is left of a text is put together as hexadecimal digits.
 OP6_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x FROM documents),
-b AS (SELECT doc_id, unnest(range(0, strlen(text) - 399)) AS p, x FROM t),
-h AS (SELECT doc_id, p, hash(substr(x, 2 * p + 1, 800)) AS h FROM b),
+u AS (SELECT doc_id, strlen(text) AS n, encode(text) AS e, unnest(range(0, strlen(text) - 399, 512)) AS a FROM t),
+b AS (SELECT doc_id, a, e[a + 1:a + 911] AS e, unnest(range(0, least(512, n - 399 - a))) AS p FROM u),
+h AS MATERIALIZED (SELECT doc_id, a + p AS p, hash(e[p + 1:p + 400]) AS h FROM b),
 twice AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
 r AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, -1) AS gap FROM h WHERE h IN (FROM twice)),
 i AS (SELECT doc_id, p, sum((gap > 0 OR p = 0)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM r),
@@ -542,7 +543,7 @@ k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a)
 kept AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS x
   FROM k JOIN t USING (doc_id) GROUP BY doc_id),
 w AS (SELECT doc_id, [x for x in string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM t),
-v AS (SELECT doc_id, unnest([{'p': i, 'h': hash(array_to_string(w[i:i + 50], ' '))} for i in range(1, len(w) - 49)], recursive := true) FROM w),
+v AS MATERIALIZED (SELECT doc_id, unnest([{'p': i, 'h': hash(array_to_string(w[i:i + 50], ' '))} for i in range(1, len(w) - 49)], recursive := true) FROM w),
 shared AS (SELECT h FROM v GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 q AS (SELECT doc_id, count(DISTINCT n) AS passage_words FROM (SELECT doc_id, unnest(range(p, p + 51)) AS n FROM v WHERE h IN (FROM shared)) GROUP BY 1)
 SELECT t.doc_id, strlen(t.text)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
