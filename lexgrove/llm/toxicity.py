@@ -47,6 +47,8 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (5, 6, 7)
 #: Words whose features a worker remembers before it starts anew.
 REMEMBERED = 500_000
+#: A column of a feature and its count; rows of the fit that are weighed at once.
+PAIRS, ROWS_AT_ONCE = np.dtype(">u4"), 256
 
 
 def words(text: bytes) -> Counter:
@@ -106,40 +108,47 @@ def marking(counts: dict[str, tuple[int, int]], n1: int, n0: int) -> dict[str, b
     return {w: a * n0 > b * n1 for w, (a, b) in sorted(counts.items()) if a + b >= LEAST_DOCS and abs(g2(a, b, n1, n0)) >= LEAST_G2}
 
 
-def counted(text: bytes, kept: dict) -> tuple[dict[str, int], int]:
-    """How often a text has each kept feature, and its number of words."""
+def counted(text: bytes, column: dict[str, int]) -> tuple[bytes, int]:
+    """How often a text has each kept feature: their columns, in order, and counts as PAIRS; and its number of words."""
     all_words, found = words(text), Counter()
     for w, n in all_words.items():
         for f in features(w):
-            if f in kept:
-                found[f] += n
-    return dict(found), max(1, sum(all_words.values()))
+            if f in column:
+                found[column[f]] += n
+    return np.array(sorted(found.items()), PAIRS).tobytes(), max(1, sum(all_words.values()))
 
 
-def fit_counts(rows: list[tuple[dict[str, int], int, int]], kept: dict[str, bool], rounds: int = 60, ridge: float = 1e-4) -> OrdinalModel:
-    """rows: a text's kept features, its number of words, and whether it is toxic.
+def fit_counts(rows: list[tuple[bytes, int, int]], kept: dict[str, bool], rounds: int = 60, ridge: float = 1e-4) -> OrdinalModel:
+    """rows: a text's kept features as counted() packs them, its number of words, and whether it is toxic.
 
-    Both thresholds are stacked: a row of x with minus one in the column of its threshold. Newton steps, halved until the loss falls.
+    Both thresholds share the rows of x. Newton steps, halved until the loss falls; x is the only large array.
     """
-    column = {w: i for i, w in enumerate(kept)}
-    x, share = np.zeros((len(rows), len(kept))), np.zeros(len(rows))
+    k, marks = len(kept), np.array(list(kept.values()), bool)
+    x, share = np.zeros((len(rows), k)), np.zeros(len(rows))
     for i, (found, size, _) in enumerate(rows):
-        for f, n in found.items():
-            x[i, column[f]] = math.log1p(100 * n / size)
-        share[i] = sum(n for f, n in found.items() if kept[f]) / size
+        at, n = np.frombuffer(found, PAIRS).reshape(-1, 2).T.astype(np.int64)
+        x[i, at] = np.log1p(100 * n / size)
+        share[i] = n[marks[at]].sum() / size
     y = np.array([v for *_, v in rows])
     grade = np.where(y == 1, 1 + (share > np.median(share[y == 1])), 0)
-    rows_ = [np.concatenate([x, np.tile(-np.eye(2)[k], (len(x), 1))], 1) for k in (0, 1)]
-    z, target = np.concatenate(rows_), np.concatenate([grade > 0, grade > 1]).astype(float)
-    penalty = ridge * len(x) * np.append(np.ones(len(kept)), [1e-6, 1e-6])
+    target = np.stack([grade > 0, grade > 1], 1).astype(float)
+    penalty = ridge * len(x) * np.append(np.ones(k), [1e-6, 1e-6])
     sign = np.where(target > 0, -1, 1)
-    loss = lambda v: np.logaddexp(0, sign * (z @ v)).sum() + penalty @ (v * v) / 2
-    v = np.zeros(z.shape[1])
+    margins = lambda v: (x @ v[:k])[:, None] - v[k:]
+    loss = lambda v: np.logaddexp(0, sign * margins(v)).sum() + penalty @ (v * v) / 2
+    v = np.zeros(k + 2)
     now = loss(v)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ v, -500, 500)))
-        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty)
-        down = z.T @ (target - p) - penalty * v
+        p = 1 / (1 + np.exp(-np.clip(margins(v), -500, 500)))
+        weight, missing = p * (1 - p) + 1e-9, target - p
+        h = np.diag(penalty)
+        for i in range(0, len(x), ROWS_AT_ONCE):
+            part = x[i : i + ROWS_AT_ONCE]
+            h[:k, :k] += (part * weight[i : i + ROWS_AT_ONCE].sum(1)[:, None]).T @ part
+        h[:k, k:] = -(x.T @ weight)
+        h[k:, :k] = h[:k, k:].T
+        h[k:, k:] += np.diag(weight.sum(0))
+        down = np.append(x.T @ missing.sum(1), -missing.sum(0)) - penalty * v
         step, t = np.linalg.solve(h, down), 1.0
         if down @ step <= 1e-9 * (1 + now):
             break
@@ -147,7 +156,7 @@ def fit_counts(rows: list[tuple[dict[str, int], int, int]], kept: dict[str, bool
             t /= 2
         v, now = v + t * step, then
     low, high = float(v[-2]), float(v[-1])
-    return OrdinalModel({k: float(w) for k, w in zip(kept, v)}, (low, max(low, high)))
+    return OrdinalModel({f: float(w) for f, w in zip(kept, v)}, (low, max(low, high)))
 
 
 def fit_ordinal(rows: list[tuple[bytes, int]]) -> OrdinalModel:
@@ -160,7 +169,8 @@ def fit_ordinal(rows: list[tuple[bytes, int]]) -> OrdinalModel:
     if not n1 or n1 == len(rows):
         return OrdinalModel()
     kept = marking({f: (counts[1][f], counts[0][f]) for f in counts[0].keys() | counts[1].keys()}, n1, len(rows) - n1)
-    return fit_counts([(*counted(t, kept), y) for t, y in rows], kept) if kept else OrdinalModel()
+    column = {f: i for i, f in enumerate(kept)}
+    return fit_counts([(*counted(t, column), y) for t, y in rows], kept) if kept else OrdinalModel()
 
 
 def presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +180,11 @@ def presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["feature", "toxic"])
 
 
-def counts_of(kept: dict):
+def counts_of(column: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [counted(t, kept) for t in texts(batch)]
-            found = pa.array([list(f.items()) for f, _ in each], pa.map_(pa.string(), pa.int64()))
+            each = [counted(t, column) for t in texts(batch)]
+            found = pa.array([f for f, _ in each], pa.binary())
             yield pa.RecordBatch.from_arrays([found, pa.array([n for _, n in each], pa.int64()), batch.column(1)], names=["found", "size", "toxic"])
 
     return run
@@ -193,8 +203,10 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalM
         # What is below the least statistic stays away from the driver; marking() draws the line itself.
         kept = marking({r.feature: (r.a, r.n - r.a) for r in counts.where(g2_column(n1, n - n1) >= LEAST_G2 - 0.01).collect()}, n1, n - n1)
         if kept:
-            each = sorted((sorted(r.found.items()), r.size, r.toxic) for r in found.mapInArrow(counts_of(kept), "found map<string, long>, size long, toxic int").collect())
-            model = fit_counts([(dict(f), size, y) for f, size, y in each], kept)
+            column = {f: i for i, f in enumerate(kept)}
+            each = found.mapInArrow(counts_of(column), "found binary, size long, toxic int").collect()
+            # Packed as they are, bytes are in the order of the features and counts they stand for.
+            model = fit_counts(sorted((bytes(r.found), r.size, r.toxic) for r in each), kept)
     discard(found)
     return model
 

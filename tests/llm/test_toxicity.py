@@ -1,6 +1,7 @@
 """Op 9: held-out accuracy, the fit on executors against that at hand, and the cases of its docstring."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -59,3 +60,17 @@ def test_very_long_and_tied_texts():
     model = toxicity.fit_ordinal(rows)
     assert model.probabilities(b"vile " * 300_000)[0] > 0.9 and model.probabilities(b"word " * 300_000)[0] < 0.5
     assert len({model.probabilities(rows[3][0]) for _ in range(3)}) == 1
+
+
+def test_the_driver_holds_little_more_than_the_rows_of_the_fit(spark):
+    r = random.Random(5)
+    marks = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(100)]
+    rows = [(i, " ".join(["plain", *[w for w in marks if r.random() < (0.6 if i % 2 else 0.2)]])) for i in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = toxicity.fitted(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.weights) >= 390  # nine letters make a word and three prefixes
+    assert peak < 2.5 * len(rows) * len(model.weights) * 8
